@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from tideline.llm import license_scan, sharding, simhash, url_filter
+from tideline.llm import decontam, langid, license_scan, sharding, simhash, token_counts, url_filter
 from tideline.llm.common import table
 
 
+def op2_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -18,9 +26,16 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scans, op6_url_filters, op7_simhash_near_dedup, op9_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_counts, op3_license_scans, op5_decontamination, op6_url_filters, op7_simhash_near_dedup, op8_language_id, op9_sharding)
+}
 ORACLE_SQL: dict[str, str] = {}
