@@ -198,7 +198,12 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     )
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False) -> DataFrame:
-    """The documents, each as often as its copies say; columns as given."""
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, nearest: bool = False) -> DataFrame:
+    """The documents, each as often as its copies say; columns as given.
+
+    nearest rounds each rate to the nearest whole number instead of by hash: totals are then met as closely as
+    whole documents can, and no document is dropped or doubled by chance.
+    """
     m = mix(docs, labels, weights, relative)
-    return m.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)
+    copies = F.floor(F.col("rate") + 0.5).cast("int") if nearest else F.col("copies")
+    return m.select(*docs.columns, copies.alias("_n")).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select(*docs.columns)

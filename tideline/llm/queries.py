@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontam, langid, license_scan, sharding, simhash, token_counts, url_filter
+from tideline.llm import decontam, fingerprints, langid, license_scan, mixing, sa_dedup, sharding, simhash, token_counts, url_filter
 from tideline.llm.common import table
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -14,6 +18,11 @@ def op3_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,8 +43,15 @@ def op9_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    return sa_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_license_scans, op5_decontamination, op6_url_filters, op7_simhash_near_dedup, op8_language_id, op9_sharding)
-}
+    for f in (
+        op1_document_fingerprints, op2_token_counts, op3_license_scans, op4_mixing, op5_decontamination,
+        op6_url_filters, op7_simhash_near_dedup, op8_language_id, op9_sharding, op10_suffix_array_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
