@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tideline.plans import relational, time  # noqa: F401
+from tideline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
