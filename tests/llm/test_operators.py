@@ -1,0 +1,387 @@
+"""Each training-data operator against brute force, and on nulls, empty tables, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tideline.llm import common, decontam, fingerprints, langid, license_scan, mixing, sa_dedup, sharding, simhash, token_counts, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, fp string, rate string, slot string, score string, component_id string"
+LONG = "word and other words here. " * 3000
+
+
+def docs(spark, rows, parts=3):
+    """rows of (doc_id, text); the other columns have names that operators use themselves."""
+    full = [(i, t, "en", "s", None if t is None else len(t), "x", "y", "z", "a", "b", "c") for i, t in rows]
+    return spark.createDataFrame(full, DOCS).repartition(parts)
+
+
+EDGE = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (None, "no id at all"), (5, LONG), (6, "漢字 ünï 😀"), (7, "tie tie tie tie"), (8, "tie tie tie tie")]
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, i) for i in range(400, 600)] + [(i, i + 1) for i in range(700, 760)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        root[max(ra, rb)] = min(ra, rb)
+    got = {r.node: r.label for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+    assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# 1
+
+def test_fingerprints(spark):
+    rows = [(i, t) for i, t in EDGE if i is not None] + [(9, "b line\na line"), (10, "a line\nb line"), (11, "a line\nb line")]
+    got = {(r.doc_id): r for r in fingerprints.fingerprint_edits(docs(spark, rows)).collect()}
+    order = sorted({(i, t or "") for i, t in rows}, reverse=True)
+    assert len(got) == len(order)
+    for k, (i, t) in enumerate(order):
+        nxt, h = order[(k + 1) % len(order)][1], len(t) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
+        assert got[i].n_chars == len(t) and 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[9].fingerprint == got[10].fingerprint == got[11].fingerprint
+    assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint
+    assert got[7].fingerprint == got[8].fingerprint
+    assert got[11].near_next == 1.0
+    assert fingerprints.fingerprint_edits(docs(spark, [])).count() == 0
+    one = fingerprints.fingerprint_edits(docs(spark, [(None, "abcd")])).collect()[0]
+    assert one.doc_id is None and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_fingerprints_are_homomorphic(spark):
+    d = spark.createDataFrame([(1, "first line, here\nsecond line. and more words"), (2, "first line, here")], "doc_id long, text string")
+    lanes = {r.doc_id: r.lanes for r in fingerprints.fingerprint_lanes(d, ["doc_id"]).collect()}
+    x = spark.createDataFrame([(lanes[1], lanes[2], "second line. and more words")], "a array<long>, b array<long>, p string")
+    r = x.select(fingerprints.insert(F.col("b"), F.col("p")).alias("more"), fingerprints.delete(F.col("a"), F.col("p")).alias("less")).first()
+    assert r.more == lanes[1] and r.less == lanes[2]
+
+
+# 2
+
+def test_token_counts_match_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_counts.default_vocabulary())
+    rng = random.Random(2)
+    alphabet = [*"abcde ' \n\t<|>0129.,!éß漢  ", "<|endoftext|>", "'ll", "'s", "  ", "the", "ing", " ", "\x1c"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(80))) for _ in range(3000)] + ["a" * 50_000, "<|endoftext|><|endoftext|>", LONG]
+    c = token_counts.counter(token_counts.default_vocabulary())
+    assert [c.count(t) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    got = token_counts.count_tokens(docs(spark, EDGE)).collect()
+    want = sorted((i or 0, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in EDGE)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == want
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    assert token_counts.count_tokens(docs(spark, [])).count() == 0
+
+
+# 3
+
+def brute_licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_scan(spark):
+    rng = random.Random(3)
+    bits = ["CC", "by", "general", "Public", "LICENSE", "all", "rights", "reserved", "K", "é", "x", "GENERAL PUBLIC LICENSE", "cc-by"]
+    rows = [(100 + i, "".join(rng.choice(bits) + rng.choice([" ", "-", "\n", "[", "_", "É"]) for _ in range(rng.randrange(30)))) for i in range(60)]
+    rows += [*EDGE, (50, "Licensed under the Apache License, Version 2.0."), (51, "x Licensed under the new Apache License, Version 2.0"), (52, "Released under the MIT License"), (53, "cc BY"), (54, "cc bY")]
+    got = license_scan.scan(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for i, t in rows:
+        r = by[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(t), t
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+    assert by[50].labels == "apache" and by[50].score == 1 and by[51].labels == "apache" and by[52].labels == "mit"
+    assert license_scan.scan(docs(spark, [])).count() == 0
+
+
+# 4
+
+def test_mixing(spark):
+    # 399 labelled documents: with the 87 of the smallest table posteriors are too soft to reach the targets
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = mixing.mix(d.select("doc_id", "text"), labels).collect()
+    assert len(rows) == d.count() and all(r.rate >= 0 and abs(sum(r.posterior.values()) - 1) < 1e-6 for r in rows)
+    total = sum(r.n_tokens for r in rows)
+    got = {k: sum(r.n_tokens * r.rate * r.posterior[k] for r in rows) / total for k in rows[0].posterior}
+    for k, share in mixing.WEIGHTS.items():
+        assert abs(got[k] - share) < 0.03, got
+    assert all(r.n_tokens == len(r.text.split()) for r in rows)
+
+
+def test_rates_are_projected_gradient(spark):
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([0.2, 0.2, 0.2], 400)
+    tokens = rng.integers(1, 500, 400)
+    soft = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
+    goal = {"a": 0.5 * tokens.sum(), "b": 0.4 * tokens.sum(), "c": 0.1 * tokens.sum()}
+    history, at = mixing.fit_rates(soft, goal, ["a", "b", "c"])
+    r = np.ones(400)
+    for e in history:
+        r = np.maximum(0, r - (p @ np.array(e) + mixing.PULL * (r - 1)))
+    assert np.allclose(list(at.values()), (r * tokens) @ p)
+    assert max(abs(at[k] - goal[k]) for k in goal) < 0.03 * tokens.sum()
+
+
+def test_mixing_edges(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (7, None, 1), (None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert mixing.mix(docs(spark, EDGE), labels).count() == len(EDGE)
+    assert mixing.mix(docs(spark, []), labels).count() == 0
+    none = mixing.mix(docs(spark, EDGE), labels.limit(0)).collect()
+    assert len(none) == len(EDGE) and all(r.rate == 1 for r in none)
+    back = mixing.resample(docs(spark, EDGE), labels.limit(0), {})
+    assert back.columns == docs(spark, EDGE).columns and back.count() == len(EDGE) and {r.rate for r in back.collect()} == {"z"}
+    with pytest.raises(ValueError):
+        mixing.mix(docs(spark, EDGE), labels, {"q1_t0": -1.0})
+
+
+# 5
+
+def test_decontamination(spark):
+    item = "Alice bought 3 apples for 12 dollars and Alice sold 3 pears to Bob. What is left of the money now?"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "plain words that stand in one long line without any slots in them")], "item_id long, text string")
+    rows = [
+        (1, "Before it. " + item + " After it."),
+        (2, "So Maria bought 5 apples for 90 dollars and Maria sold 5 pears to Tom. What is left of the money now?"),
+        (3, "So Maria bought 5 apples for 90 dollars and Clara sold 7 pears to Tom. What is left of the money now?"),
+        (4, "xx plain words that stand in one long line without any slots in them yy"),
+        (5, "plain words that stand apart from everything else in this line of text"),
+        (6, None), (7, ""), (8, LONG), (9, "Before it. " + item), (9, "Before it. " + item), (None, item),
+    ]
+    got = decontam.contaminated(docs(spark, rows), bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 1), (4, 4), (9, 1)]
+    assert all(r.similarity >= 0.8 for r in got)
+    kept = decontam.keep_clean(docs(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7, 8] and kept.columns == docs(spark, rows).columns
+    assert decontam.contaminated(docs(spark, []), bench).count() == 0
+    assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_decontamination_finds_planted_items(spark, sf):
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts, items = d.collect(), b.collect()
+    norm = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    planted = {(x.doc_id, i.item_id) for x in texts for i in items if norm(i.text) in norm(x.text)}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
+    assert planted <= got
+
+
+# 6
+
+def test_url_filter(spark):
+    canon = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "https://a.example.org/es/x", None), (2, "http://alias.net/p", canon.format("https://a.example.org/es/x")), (3, "https://EXAMPLE.org/en/12?q", ""),
+        (4, None, None), (5, "no scheme", "x"), (6, "http://x.com/fr/1#a", ""), (7, "http://x.com/de/1", ""), (8, "http://badexample.org/es/", ""),
+        (9, "http://m.other.net/q", '<meta http-equiv="refresh" content="0; url=http://x.com/de/1">'), (10, "http://other.net/q", ""), (11, "http://free.net/z", ""),
+        (12, "http://both.net/1", canon.format("http://x.com/de/1") + '<meta http-equiv="refresh" content="0;url=http://x.com/fr/1">'), (11, "http://free.net/z", ""),
+    ]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("verdict", F.lit("clash")).withColumn("node", F.lit(1))
+    got = url_filter.judge(p).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got}
+    assert by[1] == ("a.example.org", "/es/x", "example.org/es/", "block") and by[3] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert by[4] == by[5] == ("", "", None, "allow") and by[6][2:] == ("com/fr/", "allow") and by[7][2:] == ("com/de/", "block") and by[8][2:] == ("org/", "allow")
+    assert by[2][2:] == (None, "block") and by[11][2:] == (None, "allow")
+    # the component of 7, 9, 10 and 12 holds an explicit allow (6), which takes precedence
+    assert by[9][3] == by[10][3] == by[12][3] == "allow"
+    without = {r.page_id: r.verdict for r in url_filter.judge(p.where("page_id <> 12")).collect()}
+    assert without[9] == without[10] == "block"
+    assert url_filter.judge(p.limit(0)).count() == 0
+
+
+# 7
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else ([" ".join(words)] if words else [])
+    bits, h = [0] * 64, [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    for x in h:
+        for b in range(64):
+            bits[b] += x >> b & 1
+    return sum(1 << b for b in range(64) if 2 * bits[b] > len(h))
+
+
+def test_simhash(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(1000 + (i or 0), t) for i, t in EDGE] + [(2000, " A B É"), (2001, "\x1ca b\x0bc\x85d")]
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    root = {i: i for i in fps}
+    for i in fps:
+        for j in fps:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = i, j
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    got = simhash.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", find(i)) for i in fps}
+    assert len(got) == len(fps)
+    kept = simhash.keep_representatives(docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in fps}) and kept.columns == docs(spark, rows).columns
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    assert {r.component_id for r in simhash.near_duplicates(docs(spark, [(None, "a"), (None, "b c d e")])).collect()} == {None}
+
+
+@pytest.mark.parametrize("n", [2, 10, 24, 25, 400])
+def test_bk_shards_lose_no_component(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+    v = base[rng.integers(0, 5, n)]
+    for _ in range(4):
+        v = v ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    v = np.unique(v)
+
+    def groups(pairs):
+        root = list(range(len(v)))
+        at = {x: i for i, x in enumerate(v.tolist())}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            ra, rb = find(at[a]), find(at[b])
+            root[max(ra, rb)] = min(ra, rb)
+        return [find(i) for i in range(len(v))]
+
+    all_pairs = [(a, b) for i, a in enumerate(v.tolist()) for b in v.tolist()[:i] if (a ^ b).bit_count() <= 3]
+    u, w = simhash.shard_links(v, 3)
+    assert groups(zip(u.tolist(), w.tolist())) == groups(all_pairs) and len(u) < len(v)
+
+
+def test_every_close_pair_shares_a_shard():
+    rng = random.Random(0)
+    for n in (10, 10**7, 10**10):
+        masks = simhash.block_choices(n)
+        for _ in range(300):
+            d = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not d & m for m in masks)
+    assert len(simhash.block_choices(10)) == 4 < len(simhash.block_choices(10**7))
+
+
+# 8
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aab", "▁ab"]
+    m = langid.fit([("ab aab ba", "x"), ("bb b bab", "y")], pieces)
+
+    def brute(word):
+        w, total = langid.MARK + word, 0
+        for mask in range(1 << (len(w) - 1)):
+            parts, start = [], 0
+            for i in range(len(w) - 1):
+                if mask >> i & 1:
+                    parts.append(w[start : i + 1])
+                    start = i + 1
+            p = 1
+            for x in [*parts, w[start:]]:
+                r = m.row.get(x)
+                p = p * (m.probs[r] if r is not None else (langid.UNKNOWN if len(x) == 1 else 0))
+            total = total + p
+        return np.log(total)
+
+    words = ["a", "ab", "abba", "aabb", "zab", "zz"]
+    assert np.allclose(m.words(words), [brute(w) for w in words]) and np.allclose([m.long_word(w) for w in words], [brute(w) for w in words])
+    assert np.isfinite(m.long_word("ab" * 5000)).all()
+
+
+def test_language_id(spark, sf):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+    edge = docs(spark, EDGE)
+    e = langid.identify(edge).collect()
+    assert len(e) == len(EDGE) and {r.lang_pred for r in e if r.doc_id in (1, 2, 3)} == {"und"} and {r.lang_pred for r in e if r.doc_id in (4, 5)} == {"en"}
+    assert langid.identify(docs(spark, [])).count() == 0
+    assert {r.lang_pred for r in langid.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    kept = langid.keep_identified(edge)
+    assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 4, 5, 6, 7, 8]
+
+
+# 9
+
+def test_sharding(spark):
+    names = [f"s{i}" for i in range(7)]
+    table = sharding.fill_table(names, 1009)
+    sizes = Counter(table)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    fewer = sharding.fill_table(names[:-1], 1009)
+    moved = sum(names[a] != names[:-1][b] for a, b in zip(table, fewer) if a != 6)
+    assert moved < 0.2 * 1009
+    got = sharding.place(docs(spark, EDGE), names, 1009)
+    assert got.count() == len(EDGE) and got.columns[-2:] == ["slot", "shard"]
+    for r in got.collect():
+        slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:12], 16) % 1009
+        assert (r.slot, r.shard) == (slot, names[table[slot]])
+    assert sharding.place(docs(spark, [])).count() == 0
+    for bad in (1000, 5):
+        with pytest.raises(ValueError):
+            sharding.fill_table(names, bad)
+
+
+# 10
+
+def brute_dedup(rows, n):
+    seen, out = set(), {}
+    for i, t in sorted({(-1 if i is None else i, t or "") for i, t in rows}):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - n + 1):
+            if raw[p : p + n] in seen:
+                gone[p : p + n] = b"\1" * n
+            seen.add(raw[p : p + n])
+        runs = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[i] = (len(raw), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_dedup(spark, seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("ab" if seed == 1 else "abcdé ñ", k=rng.randrange(250))) for _ in range(10)]
+    cut = lambda b: b[rng.randrange(len(b) + 1) :][: rng.randrange(120)]
+    rows = [(i, "".join(cut(rng.choice(base)) for _ in range(rng.randrange(6))) + rng.choice(["", "a" * 90])) for i in range(40)]
+    rows += [(rows[3][0], rows[3][1]), (None, rows[5][1]), (99, None), (100, "")]
+    got = sa_dedup.deduplicate(docs(spark, rows), 24).collect()
+    want = brute_dedup(rows, 24)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[-1 if r.doc_id is None else r.doc_id]
+
+
+def test_substring_dedup_on_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sa_dedup.deduplicate(docs(spark, rows)).collect()
+    want = brute_dedup(rows, 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert sa_dedup.deduplicate(docs(spark, [])).count() == 0
+    assert sa_dedup.deduplicate(docs(spark, EDGE)).count() == len(EDGE)

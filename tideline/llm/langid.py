@@ -260,9 +260,6 @@ def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str | None = None) -> DataFrame:
     """The documents whose language is found with a posterior of `least` or more; columns as given."""
-    model = train(docs, vocabulary)
-    found = predict(docs, model, *docs.columns) if "lang_pred" not in docs.columns and "score" not in docs.columns else None
-    if found is None:
-        taken = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-        return predict(taken, model, "_row").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    taken = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    found = predict(taken, train(docs, vocabulary), "_row")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")

@@ -204,6 +204,6 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], rela
     nearest rounds each rate to the nearest whole number instead of by hash: totals are then met as closely as
     whole documents can, and no document is dropped or doubled by chance.
     """
-    m = mix(docs, labels, weights, relative)
+    m = mix(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), labels, weights, relative)
     copies = F.floor(F.col("rate") + 0.5).cast("int") if nearest else F.col("copies")
-    return m.select(*docs.columns, copies.alias("_n")).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select(*docs.columns)
+    return m.select("_row", copies.alias("_n")).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_row.*")

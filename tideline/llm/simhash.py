@@ -210,11 +210,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each near-duplicate group: the one whose doc_id names the component. Columns as given.
 
-    Of rows that repeat the kept doc_id one stays (the smallest by all its columns' hash). A group with null doc_ids only keeps one row as well.
+    Of rows that repeat the kept doc_id one stays (the smallest by the hash of all its columns). A group with null doc_ids only keeps one row as well.
     """
     kept = near_duplicates(docs, radius).select("component_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.component_id), "left_semi")
-    order = [F.xxhash64(*docs.columns).alias("_h")]
-    best = rows.select("*", *order).groupBy("doc_id").agg(F.min("_h").alias("_m"))
-    rows = rows.select("*", *order).join(best.withColumnRenamed("doc_id", "_id"), F.expr("doc_id <=> _id and _h = _m"), "left_semi")
-    return rows.drop("_h")
+    row = F.struct(*docs.columns)
+    taken = docs.select("doc_id", row.alias("_row"))
+    rows = taken.join(kept, taken.doc_id.eqNullSafe(kept.component_id), "left_semi")
+    if docs.select("doc_id").distinct().count() < docs.count():
+        rows = rows.groupBy("doc_id").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return rows.select("_row.*")
