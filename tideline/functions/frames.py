@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.scalar import correlation
+
 #: Temperature bands in degrees.
 BANDS = {"human": (30.0, 40.0), "hot": (45.0, 150.0), "cold": (-5.0, 15.0), "ambient": (16.0, 29.0)}
 #: Joints of a pose, and weights of its centre of mass.
@@ -164,7 +166,7 @@ def pose_features(frames: DataFrame, window: list[str], t: str, joints: str = "j
     zone = lambda h, lo, hi: F.count_if((F.col(h) >= lo) & (F.col(h) < hi)) / F.count("*")
     out = [F.avg("_step").alias("speed"), F.max("_step").alias("speed_max"), F.avg(F.abs("_sv")).alias("acceleration"), F.avg("_still").alias("static_share"),
         F.avg("com_x").alias("com_x"), F.avg("com_y").alias("com_y"), F.stddev_pop("com_x").alias("com_x_std"), F.stddev_pop("com_y").alias("com_y_std"),
-        F.avg(F.when(F.col("_sw") > 5, F.col("_hands") / F.col("_sw"))).alias("hand_separation"), F.avg("_sym").alias("symmetry"), F.avg("_lean").alias("lean"), F.coalesce(F.corr("left_wrist_v", "right_wrist_v"), F.lit(0.0)).alias("bilateral")]
+        F.avg(F.when(F.col("_sw") > 5, F.col("_hands") / F.col("_sw"))).alias("hand_separation"), F.avg("_sym").alias("symmetry"), F.avg("_lean").alias("lean"), correlation("left_wrist_v", "right_wrist_v").alias("bilateral")]
     for side, h in (("left", "_lh"), ("right", "_rh")):
         out += [F.avg(h).alias(f"{side}_hand_mean_height"), F.max(h).alias(f"{side}_hand_max_height"), zone(h, 0.0, 0.3).alias(f"{side}_low"), zone(h, 0.3, 0.8).alias(f"{side}_mid"), zone(h, 0.8, 1.5).alias(f"{side}_high"), F.count_if(F.col(h) > 1.1).alias(f"{side}_overhead")]
     for g, ns in {"arms": ("left_wrist", "right_wrist", "left_elbow", "right_elbow"), "legs": ("left_knee", "right_knee", "left_ankle", "right_ankle"), "head": ("nose", "left_ear", "right_ear")}.items():

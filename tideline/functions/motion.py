@@ -6,13 +6,12 @@ no order is needed. The spectral ones (FFT, Welch, step peaks) work on a window'
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.scalar import correlation
 from tideline.operators.timeops import wrapped_turn
 
 RATE = 50.0
@@ -73,19 +72,12 @@ def ordered_features(df: DataFrame, keys: list[str], order: list[str], lag: int)
     })
     jerk = F.col("am") - 2 * F.col("_p") + F.col("_q")
     return d.groupBy(*keys).agg(
-        _corr_of("am", "_l").alias("autocorr"), (F.count_if(F.signum("am") * F.signum("_p") < 0) / F.count("*")).alias("zero_cross_rate"),
+        correlation("am", "_l").alias("autocorr"), (F.count_if(F.signum("am") * F.signum("_p") < 0) / F.count("*")).alias("zero_cross_rate"),
         (-F.coalesce(F.sum(jerk**2), F.lit(0.0))).alias("smoothness"), F.ln(1 + F.var_pop("am") + F.var_pop("gm")).alias("intensity"),
         F.count_if(F.col("_t") > 0.2).alias("tilt_changes"), F.coalesce(F.avg("_h"), F.lit(0.0)).alias("heading_change"),
     )
 
 
-def _corr_of(a: str, b: str) -> Column:
-    both = F.col(b).isNotNull()
-    x = F.when(both, F.col(a))
-    cov = F.avg(x * F.col(b)) - F.avg(x) * F.avg(b)
-    return F.coalesce(F.nanvl(F.try_divide(cov, F.stddev_pop(x) * F.stddev_pop(b)), F.lit(0.0)), F.lit(0.0))
-
-
 def spectrum(x: np.ndarray, rate: float = RATE) -> dict[str, float]:
     """Dominant frequency (without DC), centroid and entropy (nats) of the first half of the magnitude spectrum."""
     n = len(x)
@@ -160,5 +152,3 @@ def spectral_features(df: DataFrame, keys: list[str], order: list[str], value: s
     f = F.pandas_udf(all_of, ", ".join(f"{n} double" for n in names))
     return series.select(*keys, f("x").alias("f")).select(*keys, "f.*")
 
-
-TWO_PI = 2 * math.pi

@@ -59,3 +59,10 @@ def hand_of(path: Column) -> Column:
 def local_shift(ts: Column, from_zone: str, to_zone: str) -> Column:
     """Zone-less local time of one zone as that of another."""
     return F.convert_timezone(F.lit(from_zone), F.lit(to_zone), ts)
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson's correlation of the rows that have both; 0 where either is constant, which the built-in one divides by."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.coalesce(F.nanvl(F.try_divide(F.avg(x * y) - F.avg(x) * F.avg(y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)), F.lit(0.0))

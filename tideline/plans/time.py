@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.config import DAY, HOUR, Density
-from tideline.functions.scalar import micros
+from tideline.functions.scalar import correlation, micros
 from tideline.operators import joins, select, timeops
 from tideline.plans.registry import EV, events, query, r6, read
 
@@ -165,10 +165,10 @@ def moving_average(spark, sf):
     return events(spark, sf).select("event_id", r6(F.avg("value").over(w)).alias("average"))
 
 
-@query(f"WITH {EV}, l AS (SELECT user_id, value AS x, lag(value, 5) OVER (PARTITION BY user_id ORDER BY t, event_id) AS y FROM ev) SELECT user_id, round(corr(x, y), 5) AS r FROM l GROUP BY 1 HAVING count(y) > 5")
+@query(f"WITH {EV}, l AS (SELECT user_id, value AS x, lag(value, 5) OVER (PARTITION BY user_id ORDER BY t, event_id) AS y FROM ev) SELECT user_id, round(coalesce(CASE WHEN isnan(corr(x, y)) THEN NULL ELSE corr(x, y) END, 0), 5) AS r FROM l GROUP BY 1 HAVING count(y) > 5")
 def autocorrelation(spark, sf):
     d = events(spark, sf).select("user_id", F.col("value").alias("x"), F.lag("value", 5).over(Window.partitionBy("user_id").orderBy("t", "event_id")).alias("y"))
-    return d.groupBy("user_id").agg(F.round(F.corr("x", "y"), 5).alias("r"), F.count("y").alias("n")).where("n > 5").drop("n")
+    return d.groupBy("user_id").agg(F.round(correlation("x", "y"), 5).alias("r"), F.count("y").alias("n")).where("n > 5").drop("n")
 
 
 @query(f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS c FROM ev)
