@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tideline.llm import decontam, fingerprints, langid, license_scan, mixing, sa_dedup, sharding, simhash, token_counts, url_filter
 from tideline.llm.common import table
+from tideline.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_document_fingerprints(spark, sf_dir):
@@ -54,4 +55,3 @@ QUERIES = {
         op6_url_filters, op7_simhash_near_dedup, op8_language_id, op9_sharding, op10_suffix_array_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
