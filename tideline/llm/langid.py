@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from itertools import chain
@@ -30,7 +31,10 @@ UNKNOWN = 1e-9
 LONGEST_PIECE = 16
 #: Longer words are scored alone, with rescaling; words that a worker remembers.
 ARRAY_WORD, REMEMBERED = 40, 400_000
+#: Characters of text that a worker takes apart at a time (a longer text is taken alone).
+AT_ONCE = 500_000
 UNDETERMINED = "und"
+_READY: dict[str, Model] = {}
 
 
 def default_vocabulary() -> str:
@@ -58,18 +62,27 @@ class Model:
 
     def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
         self.languages, self.pieces, self.probs = languages, pieces, probs
-        self.row = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.key = uuid.uuid4().hex
         self.prepare()
 
     def __getstate__(self):
-        return self.languages, self.pieces, self.probs
+        return self.languages, self.pieces, self.probs, self.key
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.languages, self.pieces, self.probs, self.key = state
+
+    def in_worker(self) -> Model:
+        """This model, made ready once for all tasks of a worker; a worker keeps the last one only."""
+        if self.key not in _READY:
+            _READY.clear()
+            self.prepare()
+            _READY[self.key] = self
+        return _READY[self.key]
 
     def prepare(self):
-        """An open-addressed table of piece hashes, for lookups over arrays."""
+        """Piece numbers, and an open-addressed table of piece hashes for lookups over arrays."""
+        self.row = {p: i for i, p in enumerate(self.pieces)}
+        self.longest = max(map(len, self.pieces), default=1)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(self.languages)))
         size = 1 << 18
@@ -147,6 +160,19 @@ class Model:
 
     def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior under equal priors; a text without letters has none and 0."""
+        names, sure, start = [], [np.zeros(0)], 0
+        while start < len(texts):
+            end, size = start + 1, len(texts[start] or "")
+            while end < len(texts) and size + len(texts[end] or "") <= AT_ONCE:
+                size += len(texts[end] or "")
+                end += 1
+            n, s = self.some_texts(texts[start:end])
+            names += n
+            sure.append(s)
+            start = end
+        return names, np.concatenate(sure)
+
+    def some_texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         lists = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         new = [w for w in dict.fromkeys(chain.from_iterable(lists)) if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
@@ -235,7 +261,7 @@ def predict_udf(model: Model) -> Callable:
     shared: list[Model] = [model]
 
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, sure = shared[0].texts(texts.tolist())
+        names, sure = shared[0].in_worker().texts(texts.tolist())
         return pd.DataFrame({"lang_pred": names, "score": sure})
 
     return F.pandas_udf(predict, "lang_pred string, score double")
