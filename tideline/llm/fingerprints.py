@@ -61,7 +61,9 @@ def as_string(lanes: Column) -> Column:
 
 def fingerprint_lanes(docs: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """keys, text (not null), more -> keys, more, lanes. Rows with equal keys must be one row; nothing is shuffled that is partitioned by the keys."""
-    d = docs.select(*keys, *more, _wide_lanes(F.split("text", "\n")).alias("wide"), F.explode_outer(_pieces(F.col("text"))).alias("piece"))
+    # two steps: what stands beside a generator in one select is computed for each row that it makes
+    d = docs.select(*keys, *more, _wide_lanes(F.split("text", "\n")).alias("wide"), _pieces(F.col("text")).alias("pieces"))
+    d = d.select(*keys, *more, "wide", F.explode_outer("pieces").alias("piece"))
     d = d.select(*keys, *more, "wide", F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LOW))).alias(f"s{j}") for j in range(32)]
     g = d.groupBy(*keys, *more, "wide").agg(F.count("h").alias("n"), *sums)
