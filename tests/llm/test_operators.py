@@ -322,6 +322,7 @@ def test_language_id(spark, sf):
     e = langid.identify(edge).collect()
     assert len(e) == len(EDGE) and {r.lang_pred for r in e if r.doc_id in (1, 2, 3)} == {"und"} and {r.lang_pred for r in e if r.doc_id in (4, 5)} == {"en"}
     assert langid.identify(docs(spark, [])).count() == 0
+    assert langid.fit([("some words", "x")], ["▁", "a"]).texts(["² ½ 12 _", "a", "", None])[0] == ["und", "x", "und", "und"]
     assert {r.lang_pred for r in langid.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.keep_identified(edge)
     assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 4, 5, 6, 7, 8]

@@ -188,7 +188,7 @@ class Model:
             self.known.update(zip(new, range(start, start + len(new))))
         names, sure = [], np.zeros(len(texts))
         for k, ws in enumerate(lists):
-            if not ws:
+            if not any(c.isalpha() for w in ws for c in w):  # the pattern takes numerals such as U+00B2 as well
                 names.append(UNDETERMINED)
                 continue
             total = self.scores[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
