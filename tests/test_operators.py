@@ -146,6 +146,14 @@ def test_density_and_clusters(spark):
     label, sure = clustering.hdbscan(blobs)
     assert len(set(label[:20])) == 1 and len(set(label[20:40])) == 1 and label[0] != label[20] and label[0] >= 0 and ((sure >= 0) & (sure <= 1)).all()
     assert (clustering.hdbscan(blobs[:6])[0] == -1).all()
+    lam = clustering.yeo_johnson_lambda(np.expm1(rng.normal(1, 0.3, 4000)))
+    assert abs(lam) < 0.15 and clustering.yeo_johnson_lambda(np.ones(5)) == 1.0
+    assert np.allclose(clustering.yeo_johnson(np.array([-2.0, 0.0, 3.0]), 1.0), [-2, 0, 3])
+    wide = np.hstack([blobs[:40], rng.normal(size=(40, 1)) * 1e-9, blobs[:40] * 2])
+    label, _, best = clustering.hdbscan_search(wide)
+    assert len(set(label[label >= 0])) >= 2 and best["dims"] == 8
+    new, sure = clustering.assign(blobs[:40], np.repeat([0, 1], 20), np.array([[0.0, 0.0], [5.0, 5.0], [99.0, 99.0]]))
+    assert list(new) == [0, 1, -1] and sure[2] == 0
     sim = np.array([[1, 0.9, 0.1, 0.1], [0.9, 1, 0.1, 0.1], [0.1, 0.1, 1, 0.8], [0.1, 0.1, 0.8, 1]])
     for method in ("average", "ward", "single"):
         assert list(clustering.linkage(sim, method, k=2)) == [0, 0, 1, 1]

@@ -162,11 +162,28 @@ def pose_features(frames: DataFrame, window: list[str], t: str, joints: str = "j
     hands = F.sqrt((F.col("left_wrist_x") - F.col("right_wrist_x")) ** 2 + (F.col("left_wrist_y") - F.col("right_wrist_y")) ** 2)
     d = d.withColumns({"_step": step, "com_x": centre("x"), "com_y": centre("y"), "_sw": shoulders, "_lh": height("left"), "_rh": height("right"), "_hands": hands,
         "_sym": (pair("shoulder") + pair("elbow") + pair("wrist") + pair("hip")) / 4, "_lean": F.atan2(mid("left_shoulder", "right_shoulder", "x") - mid("left_hip", "right_hip", "x"), hip - mid("left_shoulder", "right_shoulder", "y"))})
+    length = lambda a, b: F.sqrt((F.col(f"{a}_x") - F.col(f"{b}_x")) ** 2 + (F.col(f"{a}_y") - F.col(f"{b}_y")) ** 2)
+
+    def bend(a: str, b: str, c: str) -> Column:
+        """The angle at b in degrees."""
+        along = (F.col(f"{a}_x") - F.col(f"{b}_x")) * (F.col(f"{c}_x") - F.col(f"{b}_x")) + (F.col(f"{a}_y") - F.col(f"{b}_y")) * (F.col(f"{c}_y") - F.col(f"{b}_y"))
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(along, length(a, b) * length(b, c))))))
+
+    limbs = {}
+    for side in ("left", "right"):
+        sh, el, wr, hi, kn, an = (f"{side}_{n}" for n in ("shoulder", "elbow", "wrist", "hip", "knee", "ankle"))
+        wide = F.when(F.col("_sw") > 5, F.col("_sw"))
+        limbs |= {
+            f"{side}_upper_arm": length(sh, el) / wide, f"{side}_forearm": length(el, wr) / wide, f"{side}_thigh": length(hi, kn) / wide, f"{side}_shin": length(kn, an) / wide,
+            f"{side}_reach": F.abs(F.col(f"{wr}_x") - F.col(f"{sh}_x")) / wide, f"{side}_elbow_angle": bend(sh, el, wr), f"{side}_knee_angle": bend(hi, kn, an), f"{side}_shoulder_angle": bend(hi, sh, el),
+        }
+    d = d.withColumns(limbs)
     d = d.withColumns({"_still": (F.coalesce(F.col("_step"), F.lit(0.0)) <= 2.0).cast("int"), "_sv": F.col("_step") - F.lag("_step").over(w)})
     zone = lambda h, lo, hi: F.count_if((F.col(h) >= lo) & (F.col(h) < hi)) / F.count("*")
     out = [F.avg("_step").alias("speed"), F.max("_step").alias("speed_max"), F.avg(F.abs("_sv")).alias("acceleration"), F.avg("_still").alias("static_share"),
         F.avg("com_x").alias("com_x"), F.avg("com_y").alias("com_y"), F.stddev_pop("com_x").alias("com_x_std"), F.stddev_pop("com_y").alias("com_y_std"),
         F.avg(F.when(F.col("_sw") > 5, F.col("_hands") / F.col("_sw"))).alias("hand_separation"), F.avg("_sym").alias("symmetry"), F.avg("_lean").alias("lean"), correlation("left_wrist_v", "right_wrist_v").alias("bilateral")]
+    out += [F.avg(n).alias(n) for n in limbs] + [F.stddev_pop(n).alias(f"{n}_std") for n in limbs if n.endswith("_angle")]
     for side, h in (("left", "_lh"), ("right", "_rh")):
         out += [F.avg(h).alias(f"{side}_hand_mean_height"), F.max(h).alias(f"{side}_hand_max_height"), zone(h, 0.0, 0.3).alias(f"{side}_low"), zone(h, 0.3, 0.8).alias(f"{side}_mid"), zone(h, 0.8, 1.5).alias(f"{side}_high"), F.count_if(F.col(h) > 1.1).alias(f"{side}_overhead")]
     for g, ns in {"arms": ("left_wrist", "right_wrist", "left_elbow", "right_elbow"), "legs": ("left_knee", "right_knee", "left_ankle", "right_ankle"), "head": ("nose", "left_ear", "right_ear")}.items():
