@@ -268,10 +268,11 @@ def anti_unprocessed(spark, sf):
     return joins.unprocessed(read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels"), ["doc_id"], failed="quality = 0")
 
 
-@query("SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 9 AS quality FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 9 ELSE quality END AS quality FROM labels")
 def upsert_results(spark, sf):
-    new = read(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(9).alias("quality"))
-    return joins.upsert(read(spark, sf, "labels").select("doc_id", "quality"), new, ["doc_id"])
+    """Reviewed labels (the toxic ones, graded 9) replace the earlier grades."""
+    old = read(spark, sf, "labels")
+    return joins.upsert(old.select("doc_id", "quality"), old.where("toxic = 1").select("doc_id", F.lit(9).alias("quality")), ["doc_id"])
 
 
 @query("SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY text, lang")
