@@ -176,6 +176,29 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    own = "Tom has 3 red apples in the old basket and then Ann has 5 red apples in the new basket of the house by the sea"
+    other = "then Bob bought 4 green pears for 9 dollars and sold all of them on the market in the old town"
+    bench = spark.createDataFrame([(1, own), (2, other)], "item_id long, text string")
+    again = other.replace("4", "6").replace("9", "8")
+    rows = [
+        (1, f"before it. {own}. after it."),
+        (2, f"before it. {other}. after it. {again}. {LONG}"),
+        (3, f"{LONG} {other}. and once more he bought 7 green pears for 2 dollars and went"),
+        (4, own.replace("has 3", "has 7").replace("has 5", "has 8")),
+        (5, f"{other.replace('of them', 'of them there and then')}. {again}"),
+        (7, own.replace("has 3", "has 7").replace("has 5", "has 7").replace("Tom", "Eve")),
+    ]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, rows), bench).collect())
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2), (7, 1)]
+    twice = spark.createDataFrame([(1, "we saw Alice take 3 apples home and later on we saw Alice bring 3 pears to Bob on the long way")], "item_id long, text string")
+    mixed = "we saw Maria take 3 apples home and later on we saw Clara bring 4 pears to Bob on the long way"
+    assert decontam.contaminated(docs(spark, [(1, mixed), (2, f"{mixed}. {mixed}")]), twice).count() == 0
+    # an item against all crossings of a text that repeats one window
+    met = [(i, p) for i in (0, 3, 6) for p in (10, 13, 16)]
+    assert [(0, 10), (3, 13), (6, 16)] in [sorted(x) for x in decontam.occurrences(met)]
+
+
 def test_decontamination_finds_planted_items(spark, sf):
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     texts, items = d.collect(), b.collect()

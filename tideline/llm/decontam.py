@@ -4,11 +4,14 @@ Texts become token sequences in which numbers, units after numbers and names (ca
 typed placeholders, so that a question with other numbers or names has the same templates. Windows of five tokens are
 hash-joined between documents and benchmark items; a pair is reported where the document holds 80 % or more of the
 item's distinct windows and its slots are consistent: what one value of the item became in the document must be one
-value at all its places. The benchmark's windows are broadcast only up to a checked number and else shuffled like the documents'.
+value at all places of an occurrence. Windows that meet in order, near one diagonal (document place - item place), are an
+occurrence; one consistent occurrence is enough, whatever else the document holds. The benchmark's windows are broadcast only up to a checked number and else shuffled like the documents'.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,72 @@ def _small(d: DataFrame, n: int) -> DataFrame:
     return F.broadcast(d) if n <= MOST_BROADCAST else d
 
 
+def occurrences(met: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """(item place, document place) of equal windows -> sets of them that can be one occurrence of the item.
+
+    These are the single diagonals, and chains that run forward in both texts and may change their diagonal; every step aside
+    costs a window, so that a chain doesn't leave its diagonal for a window that is met by chance.
+    """
+    lines = defaultdict(list)
+    for i, p in met:
+        lines[p - i].append((i, p))
+    out = [*lines.values()]
+    if len(lines) == 1:
+        return out
+    met = sorted(set(met), key=lambda x: (x[1], x[0]))
+    longest = max(i for i, _ in met) - min(i for i, _ in met) + 1
+    score, back, first = {}, {}, 0
+    for k, (i, p) in enumerate(met):
+        # a step aside of more than the item's own length costs more than any chain holds
+        while met[first][1] < p - 2 * longest:
+            first += 1
+        best, at = 0, None
+        for j, q in met[first:k]:
+            if j < i and q < p and (gain := score[j, q] - abs((p - i) - (q - j))) > best:
+                best, at = gain, (j, q)
+        score[i, p], back[i, p] = best + 1, at
+    used = set()
+    for end in sorted(met, key=lambda x: -score[x]):
+        chain, at = [], end
+        while at is not None and at not in used:
+            chain.append(at)
+            at = back[at]
+        used.update(chain)
+        out.append(chain)
+    return out
+
+
+def judge(places: list, slots: list, n_windows: int, similarity: float, size: int) -> int | None:
+    """The number of slots of a pair that is consistent, over all its places or within one occurrence of each text of the item; else None."""
+    filled = {(s.ih, s.ipos, s.pos): s for s in slots or []}
+
+    def consistent(ih: int | None, met: list[tuple[int, int]]) -> set | None:
+        became = {}
+        for i, p in {(i + k, p + k) for i, p in met for k in range(size)}:
+            s = filled.get((ih, i, p))
+            if s is not None and became.setdefault((s.kind, s.old), s.new) != s.new:
+                return None
+        return set(became)
+
+    everywhere = defaultdict(set)
+    for s in slots or []:
+        everywhere[s.kind, s.old].add(s.new)
+    if all(len(x) == 1 for x in everywhere.values()):
+        return len(everywhere)
+    texts = defaultdict(dict)
+    for x in places:
+        texts[x.ih][x.ipos, x.pos] = x.h
+    held, found = set(), set()
+    for ih, at in texts.items():
+        good = [(len({at[m] for m in met}), met) for met in occurrences(list(at))]
+        for _, met in sorted(good, key=lambda x: -x[0]):
+            if (slotted := consistent(ih, met)) is not None:
+                held |= {at[m] for m in met}
+                found |= slotted
+                break
+    return len(found) if len(held) >= similarity * n_windows else None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(documents, benchmark) -> doc_id, item_id, n_windows, n_shared, similarity, n_slots: the contaminated pairs only.
 
@@ -71,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     at_item = known.select("h", "item_id", "ih", F.col("pos").alias("ipos"))
     hits = _windows(rows, ["doc_id", "th"], size).join(_small(at_item, known.count()), "h")
     pairs = hits.groupBy("doc_id", "th", "item_id").agg(
-        F.size(F.collect_set("h")).cast("long").alias("n_shared"), F.collect_set(F.struct("ih", "ipos", "pos")).alias("places")
+        F.size(F.collect_set("h")).cast("long").alias("n_shared"), F.collect_set(F.struct("ih", "ipos", "pos", "h")).alias("places")
     )
     pairs = pairs.join(wanted, "item_id").withColumn("similarity", F.col("n_shared") / F.col("n_windows"))
     pairs = cut(pairs.where(F.col("similarity") >= similarity))
@@ -86,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     ids = check.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     held = held.join(_small(ids, n), F.expr("doc_id <=> _d and th = _t"), "left_semi").dropDuplicates(["doc_id", "th"])
-    place = check.select("doc_id", "th", "item_id", F.explode("places").alias("p")).select("doc_id", "th", "item_id", "p.*")
+    place = check.select("doc_id", "th", "item_id", F.explode("places").alias("p")).select("doc_id", "th", "item_id", "p.*").drop("h")
     place = place.select("doc_id", "th", "item_id", "ih", "ipos", "pos", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
     place = place.select("doc_id", "th", "item_id", "ih", (F.col("ipos") + F.col("k")).alias("ipos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
 
@@ -98,11 +167,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     mine = slot_values(held, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "_d", "th": "_t", "pos": "_p", "value": "new"}).drop("kind")
     theirs = slot_values(benchmark.select("item_id", "text", F.xxhash64("text").alias("ih")).dropDuplicates(["item_id", "ih"]), ["item_id", "ih"]).withColumnsRenamed({"item_id": "_i", "ih": "_h", "pos": "_q", "value": "old"})
     filled = place.join(theirs, F.expr("item_id <=> _i and ih = _h and ipos = _q")).join(mine, F.expr("doc_id <=> _d and th = _t and pos = _p"))
-    one = filled.groupBy("doc_id", "th", "item_id", "kind", "old").agg(F.count_distinct("new").alias("became"))
-    judged = one.groupBy("doc_id", "th", "item_id").agg(F.count("*").alias("n_slots"), F.max("became").alias("most"))
-    judged = judged.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i"})
-    checked = check.join(judged, F.expr("doc_id <=> _d and th = _t and item_id <=> _i"), "left").where("most is null or most = 1")
-    return plain.unionByName(checked.select(*out, F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))).distinct()
+    slots = filled.groupBy("doc_id", "th", "item_id").agg(F.collect_list(F.struct("ih", "ipos", "pos", "kind", "old", "new")).alias("slots"))
+    slots = slots.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i"})
+    judged = check.join(slots, F.expr("doc_id <=> _d and th = _t and item_id <=> _i"), "left")
+    judging = F.udf(lambda places, slots, n: judge(places, slots, n, similarity, size), "long")
+    checked = judged.withColumn("n_slots", judging("places", "slots", "n_windows")).where("n_slots is not null")
+    return plain.unionByName(checked.select(*out, "n_slots")).distinct()
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
