@@ -199,6 +199,17 @@ def test_decontamination_judges_each_occurrence(spark):
     assert [(0, 10), (3, 13), (6, 16)] in [sorted(x) for x in decontam.occurrences(met)]
 
 
+def test_decontamination_finds_short_and_number_heavy_items(spark):
+    texts = ["12 + 30 + 45 + 7 + 9", "What is 2+2?", "Yes", "Tom met Ann, Bob, Eve and Kim Lee", "Ann likes red and blue", "?!", "the sum of 1 2 3 4 5 6 7 is what we now want to know in the end"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"so it says {t} and more") for i, t in enumerate(texts)] + [(10, "Sum: 12 + 30 + 45 + 7 + 8"), (11, "what is 2+3?"), (12, "12 + 30 + 45 + 7 + 9"), (13, "what is 2 + 2"), (None, "yes"), (14, None)]
+    rows += [(15, "Is the sum of 8 2 3 4 5 6 7 is what we now want to know in the end"), (16, LONG)]
+    got = decontam.contaminated(docs(spark, rows), bench).collect()
+    want = [(i, i) for i in range(7) if i != 5] + [(12, 0), (13, 1), (15, 6), (-1, 2)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in got) == sorted(want)
+    assert all(0.8 <= r.similarity <= 1 and r.n_shared <= r.n_windows for r in got)
+
+
 def test_decontamination_finds_planted_items(spark, sf):
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     texts, items = d.collect(), b.collect()

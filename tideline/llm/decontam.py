@@ -5,7 +5,8 @@ typed placeholders, so that a question with other numbers or names has the same
 hash-joined between documents and benchmark items; a pair is reported where the document holds 80 % or more of the
 item's distinct windows and its slots are consistent: what one value of the item became in the document must be one
 value at all places of an occurrence. Windows that meet in order, near one diagonal (document place - item place), are an
-occurrence; one consistent occurrence is enough, whatever else the document holds. The benchmark's windows are broadcast only up to a checked number and else shuffled like the documents'.
+occurrence; one consistent occurrence is enough, whatever else the document holds. Windows that are placeholders nearly
+alone are matched by their raw tokens, and items of under five tokens as a whole. The benchmark's windows are broadcast only up to a checked number and else shuffled like the documents'.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import cut
 
 WINDOW, SIMILARITY = 5, 0.8
-#: A window may have this many placeholders at most: more say nothing.
+#: A window may have this many placeholders at most: with more, its template says nothing and its raw tokens are matched.
 MOST_SLOTS = 3
 #: Benchmark windows, and candidate documents, that are broadcast at most (about 100 bytes each).
 MOST_BROADCAST = 500_000
@@ -46,14 +47,42 @@ def canonical_tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}¤]+"), "")
 
 
-def _windows(d: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """keys, c (canonical tokens) -> keys, pos, h, slots of every window."""
+def _windows(d: DataFrame, keys: list[str], size: int, raw: bool) -> DataFrame:
+    """keys, c (canonical tokens), r (raw tokens, if raw) -> keys, pos, h, slots of every window.
+
+    h is of the template, or of the raw tokens where a template has too many placeholders (without raw such windows are left out).
+    """
     n = F.greatest(F.size("c") - (size - 1), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice("c", k + 1, n).alias(f"w{k}") for k in range(size)])
+    zipped = F.arrays_zip(*[F.slice(c, k + 1, n).alias(f"{c}{k}") for c in ("cr" if raw else "c") for k in range(size)])
     d = d.select(*keys, F.posexplode(zipped).alias("pos", "w"))
-    each = [F.col(f"w.w{k}") for k in range(size)]
+    each = [F.col(f"w.c{k}") for k in range(size)]
     slots = sum((F.when(x.isin(NUM, NAME, UNIT), 1).otherwise(0) for x in each), F.lit(0))
-    return d.select(*keys, "pos", F.xxhash64(*each).alias("h"), slots.alias("slots"))
+    h = F.xxhash64(*each)
+    if raw:
+        h = F.when(slots <= MOST_SLOTS, h).otherwise(F.xxhash64(F.lit("raw"), *[F.lower(f"w.r{k}") for k in range(size)]))
+    d = d.select(*keys, "pos", h.alias("h"), slots.alias("slots"))
+    return d if raw else d.where(F.col("slots") <= MOST_SLOTS)
+
+
+def _inside(c: Column, r: Column) -> Column:
+    """Canonical tokens of a text that stands inside a sentence: a capitalised first word is a name there."""
+    name = (F.size("c") > 0) & F.get(r, F.lit(0)).rlike(r"^\p{Lu}\p{Ll}[\p{L}\p{M}]*$")
+    return F.when(name, F.concat(F.array(F.lit(NAME)), F.slice(c, 2, F.greatest(F.size(c), F.lit(1))))).otherwise(c)
+
+
+def _short(docs: DataFrame, items: DataFrame, size: int) -> DataFrame | None:
+    """doc_id, item_id of the items of under `size` tokens that a document holds as a whole; None without such items."""
+    items = items.where(F.size("r").between(1, size - 1))
+    known = cut(items.select("item_id", F.size("r").alias("n"), F.xxhash64(*[F.lower(F.get("r", F.lit(k))) for k in range(size - 1)]).alias("h")).distinct())
+    lengths = [x.n for x in known.select("n").distinct().collect()]
+    if not lengths:
+        return None
+    zipped = F.arrays_zip(*[F.slice("r", k + 1, F.greatest(F.size("r") - k, F.lit(0))).alias(f"w{k}") for k in range(size - 1)])
+    each = [F.lower(f"w.w{k}") for k in range(size - 1)]
+    spans = [F.when(each[n - 1].isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*each[:n]).alias("h"))) for n in lengths]
+    d = docs.select("doc_id", raw_tokens(F.col("text")).alias("r")).select("doc_id", F.explode(zipped).alias("w"))
+    d = d.select("doc_id", F.explode(F.array(*spans)).alias("s")).where("s is not null").select("doc_id", "s.n", "s.h")
+    return d.join(_small(known, known.count()), ["n", "h"]).select("doc_id", "item_id").distinct()
 
 
 def _small(d: DataFrame, n: int) -> DataFrame:
@@ -95,7 +124,7 @@ def occurrences(met: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def judge(places: list, slots: list, n_windows: int, similarity: float, size: int) -> int | None:
+def judge(places: list, slots: list, n_all: int, n_template: int, similarity: float, size: int) -> int | None:
     """The number of slots of a pair that is consistent, over all its places or within one occurrence of each text of the item; else None."""
     filled = {(s.ih, s.ipos, s.pos): s for s in slots or []}
 
@@ -107,14 +136,15 @@ def judge(places: list, slots: list, n_windows: int, similarity: float, size: in
                 return None
         return set(became)
 
+    by_template = {(x.ih, x.ipos + k, x.pos + k) for x in places if not x.raw for k in range(size)}
     everywhere = defaultdict(set)
-    for s in slots or []:
-        everywhere[s.kind, s.old].add(s.new)
+    for at in by_template & set(filled):
+        everywhere[filled[at].kind, filled[at].old].add(filled[at].new)
     if all(len(x) == 1 for x in everywhere.values()):
-        return len(everywhere)
+        return len({(s.kind, s.old) for s in filled.values()})
     texts = defaultdict(dict)
     for x in places:
-        texts[x.ih][x.ipos, x.pos] = x.h
+        texts[x.ih][x.ipos, x.pos] = (x.w, x.raw)
     held, found = set(), set()
     for ih, at in texts.items():
         good = [(len({at[m] for m in met}), met) for met in occurrences(list(at))]
@@ -123,29 +153,44 @@ def judge(places: list, slots: list, n_windows: int, similarity: float, size: in
                 held |= {at[m] for m in met}
                 found |= slotted
                 break
-    return len(found) if len(held) >= similarity * n_windows else None
+    of_template = sum(not raw for _, raw in held)
+    return len(found) if len(held) >= similarity * n_all or (n_template and of_template >= similarity * n_template) else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(documents, benchmark) -> doc_id, item_id, n_windows, n_shared, similarity, n_slots: the contaminated pairs only.
 
-    Null texts, and items of fewer than `size` tokens or placeholders nearly alone, match nothing. Items that share an item_id
+    n_windows, n_shared and similarity are of an item's template windows, or of all its windows where more of those are shared.
+    Null texts, and items without a token, match nothing; a text of fewer than `size` tokens is matched as a whole, as one window. Items that share an item_id
     are one item (all their windows). Rows that repeat a doc_id and text count once; a null doc_id is
     reported as null. Extra columns are ignored; empty tables give an empty result.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), canonical_tokens(F.col("text")).alias("c"))
-    items = benchmark.select("item_id", F.xxhash64("text").alias("ih"), canonical_tokens(F.col("text")).alias("c"))
-    known = cut(_windows(items, ["item_id", "ih"], size).where(F.col("slots") <= MOST_SLOTS).distinct())
-    wanted = known.groupBy("item_id").agg(F.count_distinct("h").cast("long").alias("n_windows"), F.bool_or(F.col("slots") > 0).alias("slotted"))
-    at_item = known.select("h", "item_id", "ih", F.col("pos").alias("ipos"))
-    hits = _windows(rows, ["doc_id", "th"], size).join(_small(at_item, known.count()), "h")
-    pairs = hits.groupBy("doc_id", "th", "item_id").agg(
-        F.size(F.collect_set("h")).cast("long").alias("n_shared"), F.collect_set(F.struct("ih", "ipos", "pos", "h")).alias("places")
+    items = benchmark.select("item_id", F.xxhash64("text").alias("ih"), canonical_tokens(F.col("text")).alias("c"), raw_tokens(F.col("text")).alias("r"))
+    both = F.array(F.struct(F.lit(False).alias("inside"), F.col("c")), F.struct(F.lit(True).alias("inside"), _inside(F.col("c"), F.col("r")).alias("c")))
+    known = _windows(items.select("item_id", "ih", "r", F.explode(both).alias("b")).select("item_id", "ih", "r", "b.*"), ["item_id", "ih", "inside"], size, True)
+    own = ~F.col("inside")
+    known = known.groupBy("item_id", "ih", "pos").agg(F.max(F.when(own, F.col("h"))).alias("w"), F.max(F.when(own, F.col("slots"))).alias("slots"), F.max("slots").alias("most"), F.collect_set("h").alias("h"))
+    known = cut(known.select("item_id", "ih", F.col("pos").alias("ipos"), "w", "slots", (F.col("slots") > MOST_SLOTS).alias("raw"), "most", F.explode("h").alias("h")))
+    wanted = known.groupBy("item_id").agg(
+        F.count_distinct("w").cast("long").alias("n_all"), F.count_distinct(F.when(~F.col("raw"), F.col("w"))).cast("long").alias("n_template"), F.bool_or(F.col("slots") > 0).alias("slotted")
     )
-    pairs = pairs.join(wanted, "item_id").withColumn("similarity", F.col("n_shared") / F.col("n_windows"))
-    pairs = cut(pairs.where(F.col("similarity") >= similarity))
+    # documents need raw tokens only where the benchmark has a window that is matched by them
+    raw = known.where(F.col("most") > MOST_SLOTS).head() is not None
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), canonical_tokens(F.col("text")).alias("c"), *([raw_tokens(F.col("text")).alias("r")] if raw else []))
+    at_item = known.select("h", "item_id", "ih", "ipos", "w", "raw")
+    hits = _windows(rows, ["doc_id", "th"], size, raw).join(_small(at_item, known.count()), "h")
+    pairs = hits.groupBy("doc_id", "th", "item_id").agg(
+        F.size(F.collect_set("w")).cast("long").alias("s_all"), F.size(F.collect_set(F.when(~F.col("raw"), F.col("w")))).cast("long").alias("s_template"),
+        F.collect_set(F.struct("ih", "ipos", "pos", "w", "raw")).alias("places"),
+    )
+    share = {k: F.struct((F.col(f"s_{k}") / F.col(f"n_{k}")).alias("similarity"), F.col(f"n_{k}").alias("n_windows"), F.col(f"s_{k}").alias("n_shared")) for k in ("all", "template")}
+    pairs = pairs.join(wanted, "item_id").withColumn("best", F.greatest(share["all"], F.when(F.col("n_template") > 0, share["template"])))
+    pairs = cut(pairs.select("doc_id", "th", "item_id", "places", "slotted", "n_all", "n_template", "best.*").where(F.col("similarity") >= similarity))
     out = ["doc_id", "item_id", "n_windows", "n_shared", "similarity"]
     plain = pairs.where("not slotted").select(*out, F.lit(0).cast("long").alias("n_slots"))
+    if (short := _short(docs, items, size)) is not None:
+        one = F.lit(1).cast("long")
+        plain = plain.unionByName(short.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_shared"), F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("n_slots")))
 
     # slot consistency, of the pairs whose item has placeholders
     check = pairs.where("slotted")
@@ -155,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     ids = check.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     held = held.join(_small(ids, n), F.expr("doc_id <=> _d and th = _t"), "left_semi").dropDuplicates(["doc_id", "th"])
-    place = check.select("doc_id", "th", "item_id", F.explode("places").alias("p")).select("doc_id", "th", "item_id", "p.*").drop("h")
+    place = check.select("doc_id", "th", "item_id", F.explode("places").alias("p")).select("doc_id", "th", "item_id", "p.*").drop("w", "raw")
     place = place.select("doc_id", "th", "item_id", "ih", "ipos", "pos", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
     place = place.select("doc_id", "th", "item_id", "ih", (F.col("ipos") + F.col("k")).alias("ipos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
 
@@ -170,8 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     slots = filled.groupBy("doc_id", "th", "item_id").agg(F.collect_list(F.struct("ih", "ipos", "pos", "kind", "old", "new")).alias("slots"))
     slots = slots.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i"})
     judged = check.join(slots, F.expr("doc_id <=> _d and th = _t and item_id <=> _i"), "left")
-    judging = F.udf(lambda places, slots, n: judge(places, slots, n, similarity, size), "long")
-    checked = judged.withColumn("n_slots", judging("places", "slots", "n_windows")).where("n_slots is not null")
+    judging = F.udf(lambda places, slots, n_all, n_template: judge(places, slots, n_all, n_template, similarity, size), "long")
+    checked = judged.withColumn("n_slots", judging("places", "slots", "n_all", "n_template")).where("n_slots is not null")
     return plain.unionByName(checked.select(*out, "n_slots")).distinct()
 
 
