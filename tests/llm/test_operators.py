@@ -113,6 +113,17 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_license_notices_that_follow_each_other(spark):
+    gap = "words of the text between them " * 3
+    rows = [
+        (1, "All rights reserved. All rights reserved."), (2, "CC BY, CC BY, licensed under CC BY-NC 4.0"), (3, "All rights reserved. " * 4 + gap + "All rights reserved."),
+        (4, "CC BY, CC BY, licensed under the CC BY-NC 4.0"), (5, "cc by cc by cc by cc by cc by cc by"), (6, "All rights reserved."),
+    ]
+    got = {r.doc_id: (r.labels, r.score, r.n_spans) for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got[1] == ("proprietary,reserved", 1.0, 2) and got[3] == ("proprietary,reserved", 1.0, 5) and got[6] == ("proprietary,reserved", 1.0, 1)
+    assert "cc-by-nc" in got[2][0].split(",") and "cc-by-nc" in got[4][0].split(",") and got[5] == ("cc-by", 1.0, 0)
+
+
 # 4
 
 def test_mixing(spark):

@@ -3,7 +3,8 @@
 All rolling word 2-grams of all documents are hash-joined to the 2-gram positions of license templates; a hit votes for
 the diagonal (document position - template position). Neighbouring diagonals of a template are merged, so that
 words put in or left out move a passage by a few diagonals without losing it, and each merged span is verified by
-the share of the template's 2-grams that it holds and by its length. Base phrases are templates whose
+the share of the template's 2-grams that it holds and by its length. A merged span that is too long, as where notices follow
+each other closely, is searched for all spans within it that are not. Base phrases are templates whose
 2-grams must all lie on one diagonal. The template table is a parameter of fixed, checked size, so it is broadcast;
 documents are never shuffled, only their hits and their word counts are.
 """
@@ -43,6 +44,25 @@ def words(text: Column) -> Column:
     return pieces(F.coalesce(text, F.lit("")), SEPARATORS)
 
 
+def spans_within(hits: Column, t_words: Column, repeats: int) -> Column:
+    """Hits (pos, tpos) in order -> (first, share, last) of the span of the greatest allowed length from each hit on, where it holds enough."""
+    longest = F.floor(F.lit(STRETCH) * t_words).cast("int")
+
+    def held(x: Column, i: Column) -> Column:
+        near = F.filter(F.slice(hits, i + 1, longest * repeats), lambda y: y["pos"] - x["pos"] + 2 <= longest)
+        share = F.size(F.array_distinct(F.transform(near, lambda y: y["tpos"]))) / (t_words - 1)
+        return F.struct(x["pos"].alias("first"), share.alias("share"), (F.array_max(F.transform(near, lambda y: y["pos"])) + 1).alias("last"))
+
+    return F.filter(F.transform(hits, held), lambda x: x["share"] >= COVERAGE)
+
+
+def apart(spans: Column) -> Column:
+    """How many of the spans, taken from the left, share no word."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
+    step = lambda a, x: F.when(x["first"] > a["last"], F.struct(x["last"].alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
+    return F.aggregate(spans, start, step, lambda a: a["n"])
+
+
 def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """documents -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans; a row per row.
 
@@ -53,6 +73,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
     known = [(True, p.split(), label) for p, label in base.items()] + [(False, p.split(), label) for label, ps in templates.items() for p in ps]
     if any(len(w) < 2 or not " ".join(w).isascii() for _, w, _ in known) or sum(len(w) for _, w, _ in known) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates need two ASCII words each, and {MOST_TEMPLATE_WORDS} in all at most")
+    repeats = max((w[k:].count(x) for _, w, _ in known for k, x in enumerate(w)), default=1)
     spark = docs.sparkSession
     grams = spark.createDataFrame([(i, j, a, b) for i, (_, w, _) in enumerate(known) for j, (a, b) in enumerate(zip(w, w[1:]))], "t int, tpos int, ta string, tb string")
     grams = grams.withColumn("h", F.xxhash64("ta", "tb"))
@@ -73,12 +94,16 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
         F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"),
         F.min(F.col("diagonal") + F.array_min("seen")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("seen") + 1).alias("last"),
+        F.flatten(F.collect_list(F.transform("seen", lambda x: F.struct((F.col("diagonal") + x).alias("pos"), x.alias("tpos"))))).alias("hits"),
     )
-    span = span.withColumn("share", F.col("votes") / (F.col("t_words") - 1))
-    span = span.where((F.col("share") >= COVERAGE) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("t_words")))
+    span = span.withColumn("share", F.col("votes") / (F.col("t_words") - 1)).where(F.col("share") >= COVERAGE)
+    short = F.col("last") - F.col("first") + 1 <= STRETCH * F.col("t_words")
+    whole = F.array(F.struct(F.col("first"), F.col("share"), F.col("last")))
+    span = span.withColumn("spans", F.when(short, whole).otherwise(spans_within(F.array_sort("hits"), F.col("t_words"), repeats))).where("size(spans) > 0")
+    span = span.withColumn("n", apart(F.col("spans"))).withColumn("share", F.array_max(F.transform("spans", lambda x: x["share"])))
     exact = diagonals.where("is_base and size(seen) = t_words - 1")
-    found = exact.select(*key, "label", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("share")).unionByName(
-        span.select(*key, "label", F.lit(None).cast("long").alias("start"), "share")
+    found = exact.select(*key, "label", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("share"), F.lit(0).alias("n")).unionByName(
+        span.select(*key, "label", F.lit(None).cast("long").alias("start"), "share", "n")
     )
     per = found.groupBy(*key).agg(
         F.count("start").alias("n_base"),
@@ -87,7 +112,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
-        F.count(F.when(F.col("start").isNull(), 1)).alias("n_spans"),
+        F.sum("n").alias("n_spans"),
     )
     per = per.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     out = counted.join(per, F.expr("doc_id <=> _d and th = _t"), "left")
