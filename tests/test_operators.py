@@ -135,6 +135,14 @@ def test_frames(spark):
     assert len(v) == 34 and math.isclose(v[0], 0 + 1 + 2)
 
 
+def test_label_sanitize_reads_whole_texts(spark, sf):
+    from tideline.plans.catalog import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
+    got = {r.doc_id: r.label for r in QUERIES["label_sanitize"](spark, sf).collect()}
+    assert got == {i: t.translate(str.maketrans(" -/", "___")) for i, t in texts.items()} and max(map(len, got.values())) > 40
+
+
 def test_density_and_clusters(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(100, 2))

@@ -91,7 +91,7 @@ def label_map_default(spark, sf):
 
 @query("SELECT doc_id, translate(left(text, 40), ' -/', '___') AS label FROM documents WHERE text IS NOT NULL")
 def label_sanitize(spark, sf):
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", scalar.sanitize(F.substring("text", 1, 40)).alias("label"))
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", scalar.sanitize(F.col("text")).alias("label"))
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE role IS NOT NULL AND lower(role) NOT IN ('', 'nan', 'no_match', 'unknown', 'unknown_location', 'unknown_activity')")
