@@ -168,6 +168,18 @@ def test_density_and_clusters(spark):
     assert list(clustering.linkage(sim, least=0.85)) == [0, 0, 1, 2]
 
 
+def test_hdbscan_query_searches_whole_vectors(spark, sf):
+    from tideline.plans.catalog import QUERIES
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").orderBy("vec_id").collect()
+    got = {r.vec_id: r.label for r in QUERIES["hdbscan_clusters"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for name in {r.label for r in rows}:
+        own = [r for r in rows if r.label == name]
+        want = clustering.hdbscan_search(np.array([r.embedding for r in own], dtype=float))[0]
+        assert [got[r.vec_id] for r in own] == list(want)
+
+
 def test_segments(spark):
     d = spark.createDataFrame([(1, "a", t, 1, 0.95, t) for t in (0, 3, 10)] + [(1, "b", 11, 2, 0.95, 100), (1, "b", 30, 2, 0.95, 101), (1, "b", 50, -1, 0.99, 102), (1, "b", 70, 3, 0.99, 103)], "k int, sensor string, window_end bigint, label int, confidence double, id bigint")
     from tideline.config import Segments

@@ -52,19 +52,25 @@ def _core_distances(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (-1 noise) and membership strengths of one bounded group of points: mutual reachability, minimum spanning tree,
-    condensed tree, excess of mass."""
+    """Labels (-1 noise) and membership strengths of one group of points: mutual reachability, minimum spanning tree,
+    condensed tree, excess of mass. Distances are computed row by row and not held, so memory grows with the points alone."""
     n = len(x)
     if n < 2 * min_cluster_size:
         return np.full(n, -1), np.zeros(n)
-    d, core = _core_distances(x, min_samples)
-    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    sq, k = (x * x).sum(axis=1), min(min_samples, n - 1)
+
+    def distances(rows) -> np.ndarray:
+        return np.sqrt(np.maximum(sq[rows, None] + sq[None, :] - 2 * x[rows] @ x.T, 0))
+
+    step = max(1, 4_000_000 // n)
+    core = np.concatenate([np.partition(distances(np.arange(i, min(i + step, n))), k, axis=1)[:, k].copy() for i in range(0, n, step)])
     seen, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     edges, at = [], 0
     for _ in range(n - 1):
         seen[at] = True
-        closer = reach[at] < best
-        link[closer], best = at, np.minimum(best, reach[at])
+        reach = np.maximum(np.maximum(distances([at])[0], core[at]), core)
+        closer = reach < best
+        link[closer], best = at, np.minimum(best, reach)
         at = int(np.argmin(np.where(seen, np.inf, best)))
         edges.append((best[at], int(link[at]), at))
     edges.sort()
@@ -96,11 +102,8 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5) -> t
 
     # condensed tree: cluster -> points that fall out with their lambda, and clusters that split off
     born, points, below, todo = {root: 0.0}, {root: []}, {root: []}, [(root, root)]
-    order = []
     while todo:
         i, c = todo.pop()
-        if c not in order:
-            order.append(c)
         lam = 1 / max(height[i], 1e-12)
         big = [k for k in kids[i] if size[k] >= min_cluster_size]
         for k in kids[i]:
@@ -226,11 +229,9 @@ def assign(x: np.ndarray, label: np.ndarray, new: np.ndarray, k: int = 5) -> tup
     return out, np.where(out >= 0, np.exp(-far[np.arange(len(new)), near]), 0.0)
 
 
-def hdbscan_groups(df: DataFrame, keys: list[str], id_: str, vector: str, most: int = 20_000, search: bool = False, **params: int) -> DataFrame:
-    """keys, id, label, confidence: density clusters of each group (participant and sensor), with given parameters or by a search over prepared vectors. A group of over `most` points is refused, as the distances of a group are held at once."""
+def hdbscan_groups(df: DataFrame, keys: list[str], id_: str, vector: str, search: bool = False, **params: int) -> DataFrame:
+    """keys, id, label, confidence: density clusters of each group (participant and sensor), with given parameters or by a search over prepared vectors. A group of any size has its own task; time grows with the square of its points."""
     schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in [*keys, id_]) + ", label int, confidence double"
-    if (over := df.groupBy(*keys).count().where(F.col("count") > most).head()) is not None:
-        raise ValueError(f"a group has over {most} points: {over}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_)

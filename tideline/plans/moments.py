@@ -90,8 +90,8 @@ def kmeans_clusters(spark, sf):
 
 @query()
 def hdbscan_clusters(spark, sf):
-    d = read(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"))
-    return clustering.hdbscan_groups(d.withColumnRenamed("label", "sensor"), ["sensor"], "vec_id", "v")
+    d = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    return clustering.hdbscan_groups(d.withColumnRenamed("label", "sensor"), ["sensor"], "vec_id", "v", search=True)
 
 
 @query()
