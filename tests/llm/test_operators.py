@@ -254,6 +254,21 @@ def test_url_filter(spark):
     assert url_filter.judge(p.limit(0)).count() == 0
 
 
+def test_url_filter_resolves_every_target(spark):
+    canon, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://x.com/de/y", ""), (2, "http://x.com/x", refresh.format("/de/y")), (3, "http://a.net/p", canon.format("//x.com/de/y")), (4, "http://x.com/de/q?s", None),
+        (5, "http://x.com/b/c", refresh.format("../de/./y")), (6, "http://a.net/2", canon.format("http://free.net/") + canon.format("http://x.com/de/y")),
+        (7, "http://a.net/3", f'<link title="{"x" * 3000}" rel="canonical" href="http://x.com/de/y">'), (8, "http://a.net/4", canon.format("mailto:a@x.com")), (9, "http://a.net/5", canon.format("page.html")),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "allow"}
+    links = ["/de/y", "page.html", "//h/p", "?q", "#f", "https://h/p", "../../../z", "", "g/..", "page.html?a=../b"]
+    d = spark.createDataFrame([(x, "http://e.com/a/b?k#z") for x in links], "l string, b string").coalesce(1)
+    at = [r[0] for r in d.select(url_filter.resolve(F.col("l"), F.col("b"))).collect()]
+    assert at == ["http://e.com/de/y", "http://e.com/a/page.html", "http://h/p", "http://e.com/a/b?q", "http://e.com/a/b?k", "https://h/p", "http://e.com/z", None, "http://e.com/a/", "http://e.com/a/page.html?a=../b"]
+
+
 # 7
 
 def brute_fingerprint(text):

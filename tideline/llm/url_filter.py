@@ -15,8 +15,8 @@ from tideline.llm.common import ascii_lower, connected_components, cut
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-CANONICAL = r"(?is)<link\b[^>]{0,2000}?\brel\s*=\s*[\"']?canonical\b[^>]{0,2000}?>"
-REFRESH = r"(?is)<meta\b[^>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]{0,2000}?>"
+CANONICAL = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*?>"
+REFRESH = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?>"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -43,6 +43,32 @@ def canonical_address(url: Column) -> Column:
     return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", "")))
 
 
+def targets(tag: str, name: str) -> Column:
+    """What all tags of this kind name as their target; empty strings where one names none."""
+    return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1))
+
+
+def resolve(link: Column, base: Column) -> Column:
+    """A link as an absolute url, by the url of the page that it stands on (RFC 3986); null for empty links and schemes without an authority."""
+    scheme, host = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
+    path, query = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    way, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    full = F.when(way.startswith("/"), way).otherwise(F.concat(folder, way))
+    # . goes, and .. takes the name before it along
+    parts = F.split(F.regexp_replace(full, r"/\.{1,2}$", "$0/"), "/")
+    step = lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 1), F.slice(a, 1, F.size(a) - 1)).when(x == "..", a).otherwise(F.concat(a, F.array(x)))
+    full = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    return (
+        F.when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when((link == "") | link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("#"), F.concat(scheme, F.lit("://"), host, query))
+        .when(link.startswith("?"), F.concat(scheme, F.lit("://"), host, path, link))
+        .otherwise(F.concat(scheme, F.lit("://"), host, full, rest))
+    )
+
+
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """(rule, verdict) of the longest rule that fits: longest host, then longest path; at equal length block comes first."""
     for verdict, h, p in rules:
@@ -58,10 +84,10 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def edges(pages: DataFrame) -> DataFrame:
     """pages -> (u, v) between addresses."""
-    link = F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    d = pages.select(address(F.col("url")).alias("u"), canonical_address(F.col("url")).alias("c"), address(link).alias("l"), address(to).alias("r"))
-    return d.select("u", F.explode(F.array("c", "l", "r")).alias("v")).where("u is not null and v is not null and u <> v")
+    declared = F.concat(targets(CANONICAL, "href"), targets(REFRESH, "url"))
+    d = pages.select(F.col("url"), address(F.col("url")).alias("u"), canonical_address(F.col("url")).alias("c"), declared.alias("to")).where("u is not null")
+    v = F.concat(F.array("c"), F.transform(F.coalesce("to", F.array().cast("array<string>")), lambda x: address(resolve(x, F.col("url")))))
+    return d.select("u", F.explode(v).alias("v")).where("v is not null and u <> v")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
