@@ -9,8 +9,8 @@ A phrase is what shares one trigger: the starts p whose window has its minimum t
 * Parse: what differs around an equal trigger (ends of repeats) is resolved among the n-byte suffixes of those
   phrases only: equal suffixes are put in corpus order and all but the first repeat.
 
-A phrase carries the n bytes that follow each of its starts, so the order of suffixes is needed to n bytes only and comes
-from the dictionary's words alone: the parse's own suffix array, which would order text beyond them, isn't built. Texts
+No suffix array is built, neither the dictionary's nor the parse's: a phrase carries the n bytes that follow each of its
+starts, and only equality to n bytes decides what repeats, so grouping by hash replaces both arrays. Texts
 are read for the parse, and move once to meet what repeats in them; a mapper drops equal phrases of its own batch
 before the shuffle, so that a passage of a third of all documents arrives about once a batch.
 """
