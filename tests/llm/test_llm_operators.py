@@ -413,7 +413,7 @@ def test_sharding(spark):
 
 def brute_dedup(rows, n):
     seen, out = set(), {}
-    for i, t in sorted({(-1 if i is None else i, t or "") for i, t in rows}):
+    for i, t in sorted({(-1 if i is None else i, t or "") for i, t in rows}, key=lambda x: (x[0] != -1, x)):
         raw = t.encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - n + 1):
@@ -446,3 +446,16 @@ def test_substring_dedup_on_documents(spark, sf):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     assert sa_dedup.deduplicate(docs(spark, [])).count() == 0
     assert sa_dedup.deduplicate(docs(spark, EDGE)).count() == len(EDGE)
+
+
+def test_substring_dedup_splits_hot_triggers(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(30)
+    rows = [(i, text(rng.randrange(12)) + " " + passage[rng.randrange(9) :] + " " + text(rng.randrange(12))) for i in range(150)]
+    rows += [(200 + i, passage[40:] + text(3)) for i in range(3)] + [(-5, passage[:130])]
+    want = brute_dedup(rows, 60)
+    for parts in (1, 4):
+        got = sa_dedup.deduplicate(docs(spark, rows, parts), 60).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want

@@ -9,10 +9,14 @@ A phrase is what shares one trigger: the starts p whose window has its minimum t
 * Parse: what differs around an equal trigger (ends of repeats) is resolved among the n-byte suffixes of those
   phrases only: equal suffixes are put in corpus order and all but the first repeat.
 
-No suffix array is built, neither the dictionary's nor the parse's: a phrase carries the n bytes that follow each of its
-starts, and only equality to n bytes decides what repeats, so grouping by hash replaces both arrays. Texts
-are read for the parse, and move once to meet what repeats in them; a mapper drops equal phrases of its own batch
-before the shuffle, so that a passage of a third of all documents arrives about once a batch.
+No suffix array is built, neither the dictionary's nor the parse's (the README has the figures): a phrase carries the n
+bytes that follow each of its starts, and only equality to n bytes decides what repeats, so grouping by 128 bits of hash
+replaces both arrays.
+
+Texts move once, to their own keys, and that exchange is read three times. Hot triggers are split where texts are parsed: a
+phrase that came before in the batch repeats whole at once, and a trigger that a batch holds many times in different phrases leaves
+two of them in its group and sends the others on to the suffixes directly. A suffix that came before in the batch repeats at
+once as well. So a group has a few rows for each batch of texts and not one for each document.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ from tideline.llm.common import cut
 
 #: Length of strings that count as repeats, and bytes hashed for the trigger and after it.
 LENGTH, TRIGGER, AFTER = 100, 8, 32
-BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-#: Bytes of text that are parsed at a time (a longer text is parsed alone).
-AT_ONCE = 4_000_000
+BASES = np.uint64(0x9E3779B97F4A7C15 | 5), np.uint64(0xD6E8FEB86659FD93 | 5)
+#: Bytes of text that are parsed at a time (a longer text is parsed alone), and phrases of a trigger from which it is hot in them.
+AT_ONCE, HOT = 8_000_000, 32
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -43,21 +47,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any substring of a byte array, from prefix sums modulo 2**64."""
 
-    _powers: tuple[np.ndarray, np.ndarray] | None = None
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls._powers is None or len(cls._powers[0]) < n:
+    def powers(cls, n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._powers.get(int(base), ((), ()))[0]) < n:
             size = max(n, 1 << 16)
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            up, down = np.full(size, BASE), np.full(size, inverse)
+            up, down = np.full(size, base), np.full(size, np.uint64(pow(int(base), -1, 1 << 64)))
             up[0] = down[0] = 1
-            cls._powers = np.cumprod(up), np.cumprod(down)
-        return cls._powers
+            cls._powers[int(base)] = np.cumprod(up), np.cumprod(down)
+        return cls._powers[int(base)]
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = self.powers(len(data) + 1)
-        values = _mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[data]
+    def __init__(self, data: np.ndarray, base: np.uint64 = BASES[0]):
+        up, self.down = self.powers(len(data) + 1, base)
+        values = _mix(np.arange(256, dtype=np.uint64) + base)[data]
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values * up[: len(data)], out=self.prefix[1:])
 
@@ -83,141 +86,188 @@ def _triggers(data: np.ndarray, length: int, trigger: int, after: int) -> np.nda
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _bytes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
 def _parse(data: np.ndarray, length: int, trigger: int, after: int):
-    """Phrases of one text: first start, last start, hash after the trigger, hash of all bytes and the trigger's place."""
+    """Phrases of one text: hash after the trigger, hash of all bytes and the trigger's place, and place().
+
+    Starts up to `half` bytes before the trigger share length - half bytes after it, all others the half + 1 bytes before
+    it: 8 bits of hash of either side (0 where a phrase has no such start) tell most phrases apart that share a trigger by chance.
+    """
     at = _triggers(data, length, trigger, after)
     cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
     first, last = np.r_[0, cuts], np.r_[cuts, len(at)] - 1
     t = at[first]
     h = Rolling(data)
-    place = (t - first).astype(np.uint64) << np.uint64(8)
-    return first, last, h(t, t + after), _mix(h(first, last + length) ^ _mix(place + np.uint64(1)))
+    half = (length - after) // 2
+    near, far = last >= t - half, first < t - half
+    right = np.where(near, 1 + h(t, np.minimum(t + length - half, len(data))) % np.uint64(255), np.uint64(0))
+    left = np.where(far, 1 + h(np.maximum(t - half - 1, 0), t) % np.uint64(255), np.uint64(0))
+    k, c = h(t, t + after), _mix(h(first, last + length) ^ _mix(((t - first).astype(np.uint64) << np.uint64(8)) + np.uint64(1)))
+    return k, c, place(first, last, right.astype(np.int64), left.astype(np.int64))
+
+
+def place(first: np.ndarray, last: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A phrase's first start, bits of both sides and starts less one, as one number in text order."""
+    return first << 31 | right << 23 | left << 15 | (last - first)
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value for the first time."""
+    return np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])
+
+
+def spans_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last starts."""
+    places = np.asarray(places, np.int64)
+    first = places >> 31
+    return first, first + (places & 0x7FFF)
+
+
+#: What is known of a phrase when its batch is parsed: it is WHOLE a repeat, or its trigger is hot and it is SENT on, or STAYS for those sent on.
+PLAIN, WHOLE, SENT, STAYS = range(4)
 
 
 def _phrases(length: int, trigger: int, after: int):
-    """(doc, th, text) -> a row for each phrase: k, c, doc and pos.
+    """(id, text) -> a row for each phrase: k (hash after the trigger), c (hash of all bytes), id, place and what is known of it.
 
-    k is the hash after the trigger. c holds the hash of the phrase's bytes, the number of its starts less one, and whether an
-    equal phrase comes before it in the batch: such a phrase repeats whole and needs no comparison, so its k is
-    scattered. pos is th and the first start.
+    Phrases that are decided need no comparison, so their k is scattered.
     """
 
     def combine(held: list[tuple]) -> pd.DataFrame:
-        k, c, doc, pos = (np.concatenate(x) for x in zip(*held))
-        d = pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "doc": doc, "pos": pos}).drop_duplicates(["doc", "pos"])
-        order = np.lexsort((d["pos"], d["doc"]))
-        d = d.iloc[order]
-        own = d.duplicated(["k", "c"]).to_numpy()
-        salt = _mix(_mix(d["doc"].to_numpy().view(np.uint64)) ^ d["pos"].to_numpy().view(np.uint64)).view(np.int64)
-        d["k"] = np.where(own, salt, d["k"].to_numpy())
-        d["c"] = d["c"].to_numpy() | own
-        return d
+        k, c, ids, places = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((places, ids, c, k))
+        k, c, ids, places = k[order], c[order], ids[order], places[order]
+        new_k = _changes(k)
+        new = new_k | _changes(c)
+        known = np.where(new, PLAIN, WHOLE).astype(np.int8)
+        words = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_k))[np.cumsum(new_k) - 1]
+        of_hot = np.flatnonzero(new & (words > HOT))
+        known[of_hot] = SENT
+        first = np.flatnonzero(_changes(k[of_hot]))
+        known[of_hot[np.concatenate([first, first + 1])]] = STAYS
+        decided = (known == WHOLE) | (known == SENT)
+        k[decided] = _mix(_mix(ids[decided].view(np.uint64)) ^ places[decided].view(np.uint64))
+        return pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "place": places, "known": known})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for f in frames:
-            held, size = [], 0
-            for doc, th, text in zip(f["doc"].to_numpy(), f["th"].to_numpy(), f["text"]):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            for i, text in zip(f["id"].to_numpy(), f["text"]):
+                raw = _bytes_of(text)
                 if len(raw) < length:
                     continue
-                first, last, k, c = _parse(raw, length, trigger, after)
-                c = (c << np.uint64(16)) | ((last - first).astype(np.uint64) << np.uint64(1))
-                held.append((k, c, np.full(len(k), doc), (np.int64(th) << np.int64(32)) | first))
+                k, c, places = _parse(raw, length, trigger, after)
+                held.append((k, c, np.full(len(k), i), places))
                 size += len(raw)
                 if size >= AT_ONCE:
                     yield combine(held)
                     held, size = [], 0
-            if held:
-                yield combine(held)
+        if held:
+            yield combine(held)
 
     return run
 
 
-def _unpack(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    spans = np.asarray(spans, np.int64)
-    return spans >> 32, spans & 0xFFFFFFFF
+def _suffixes(length: int):
+    """(id, text, ends: phrases) -> 128 bits of hash and the place of each start's suffix; again: an equal suffix came before it in the batch."""
 
-
-def _starts(length: int):
-    """(doc, th, text, spans of starts) -> the hash and the place of each start's suffix."""
+    def combine(held: list[tuple]) -> pd.DataFrame:
+        s, z, ids, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, ids, z, s))
+        s, z, ids, at = s[order], z[order], ids[order], at[order]
+        again = ~(_changes(s) | _changes(z))
+        s[again] = _mix(_mix(ids[again].view(np.uint64)) ^ at[again].view(np.uint64))
+        z[again] = 0
+        return pd.DataFrame({"s": s.view(np.int64), "z": z.view(np.int64), "id": ids, "at": at, "again": again})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for f in frames:
-            for doc, th, text, spans in zip(f["doc"].to_numpy(), f["th"].to_numpy(), f["text"], f["spans"]):
-                h = Rolling(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-                first, last = _unpack(spans)
-                p = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)]))
-                yield pd.DataFrame({"s": h(p, p + length).view(np.int64), "doc": doc, "pos": (np.int64(th) << np.int64(32)) | p})
+            for i, text, ends in zip(f["id"].to_numpy(), f["text"], f["ends"]):
+                raw = _bytes_of(text)
+                first, last = spans_of(ends)
+                p = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+                held.append((Rolling(raw)(p, p + length), Rolling(raw, BASES[1])(p, p + length), np.full(len(p), i), p))
+                size += len(raw)
+                if size >= AT_ONCE:
+                    yield combine(held)
+                    held, size = [], 0
+        if held:
+            yield combine(held)
 
     return run
 
 
 def _removals(length: int):
-    """(doc, th, text, spans of starts that repeat) -> what removing their strings leaves."""
+    """(row, text, whole: phrases, single: starts that repeat) -> row and what removing their strings leaves."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            removed, runs, digest = [], [], []
-            for text, spans in zip(f["text"], f["spans"]):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                first, last = _unpack(spans)
+            out = []
+            for text, whole, single in zip(f["text"], f["whole"], f["single"]):
+                raw = _bytes_of(text)
+                first, last = spans_of(whole if whole is not None else [])
+                single = np.asarray(single if single is not None else [], np.int64)
                 edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last + length, -1)
+                np.add.at(edge, np.r_[first, single], 1)
+                np.add.at(edge, np.r_[last, single] + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                digest.append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
-            yield pd.DataFrame({"doc": f["doc"], "th": f["th"], "n_removed": removed, "n_spans": runs, "kept_sha256": digest})
+                runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+            d = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pd.concat([f[["doc", "known", "n"]].reset_index(drop=True), d], axis=1)
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, th, text) -> doc, th, whole, ends: arrays of spans of starts, packed as first << 32 | last.
+def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, text) -> id, whole, ends: arrays of phrases (see place()).
 
     whole: every start repeats an earlier one. ends: the trigger also stands in other phrases, so that single starts may repeat.
     """
     trigger, after = min(TRIGGER, length // 4), min(AFTER, length // 3)
-    phrases = docs.select("doc", "th", "text").mapInPandas(_phrases(length, trigger, after), "k long, c long, doc long, pos long")
+    phrases = texts.select("id", "text").mapInPandas(_phrases(length, trigger, after), "k long, c long, id long, place long, known byte")
     # one exchange by the trigger's key; phrases of a key are sorted by content, then in corpus order
-    by_key = Window.partitionBy("k").orderBy("c", "doc", "pos")
     every = Window.partitionBy("k")
-    same = F.lag(F.struct("doc", "pos")).over(by_key) == F.struct("doc", "pos")
-    d = phrases.select("c", "doc", "pos", F.lag("c").over(by_key).alias("before"), same.alias("same"), F.min("c").over(every).alias("low"), F.max("c").over(every).alias("high"))
-    whole = F.expr("c & 1 = 1 or (before is not null and before = c and not same)")
-    d = d.where(whole | F.expr("low < high"))
-    first = F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF))
-    span = F.shiftleft(first, 32).bitwiseOR(first + F.shiftright("c", 1).bitwiseAND(F.lit(0x7FFF)))
-    d = d.select("doc", F.shiftright("pos", 32).alias("th"), span.alias("span"), whole.alias("is_whole"))
-    return d.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("is_whole"), F.col("span"))).alias("whole"), F.collect_list(F.when(~F.col("is_whole"), F.col("span"))).alias("ends"))
+    d = phrases.select("*", F.lag("c").over(every.orderBy("c", "id", "place")).alias("before"), F.min("c").over(every).alias("low"), F.max("c").over(every).alias("high"), F.max("known").over(every).alias("most"))
+    whole = F.expr(f"known = {WHOLE} or coalesce(before = c, false)")
+    d = d.select("k", "c", "id", "place", "known", "most", whole.alias("whole")).where(F.expr(f"whole or known = {SENT} or low < high"))
+    # of the others of a trigger, those go on that share a side with another phrase
+    for name, shift in (("right", 23), ("left", 15)):
+        d = d.withColumn(name, F.shiftright("place", shift).bitwiseAND(F.lit(0xFF)))
+        side = Window.partitionBy("k", name)
+        d = d.withColumn(f"by_{name}", (F.col(name) > 0) & (F.min("c").over(side) < F.max("c").over(side)))
+    d = d.where(F.expr(f"whole or most >= {SENT} or by_right or by_left"))
+    return d.groupBy("id").agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("place"))).alias("ends"))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents -> doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is left without repeated strings of `length` bytes.
 
     A byte goes if it lies in a string of `length` bytes that starts earlier as well: in a document of smaller doc_id, or in the
-    same document before it. Null texts are empty; texts under `length` bytes never lose any. A null doc_id comes before all others.
+    same document before it. Null texts are empty; texts under `length` bytes never lose any; a very long text is parsed
+    alone, with a few hundred bytes of memory to each of its bytes. A null doc_id comes before all others.
     Rows that repeat a doc_id and text are one document and each get its result; different texts of one
     doc_id are ordered by their hash. Extra columns are ignored; an empty table gives an empty result.
     """
     if not 16 <= length < 1 << 15:
         raise ValueError("length must be from 16 to 32767 bytes")
+    key = ["doc", "known", "th"]
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.shiftright(F.xxhash64(text), 32).alias("th"))
-    texts = rows.select("doc", "th", "text")
-    found = cut(repeats(texts, length))
-    ends = found.where(F.size("ends") > 0).select("doc", "th", F.col("ends").alias("spans"))
-    suffixes = texts.join(ends, ["doc", "th"]).mapInPandas(_starts(length), "s long, doc long, pos long")
-    in_order = Window.partitionBy("s").orderBy("doc", "pos")
-    again = suffixes.select("doc", "pos", F.dense_rank().over(in_order).alias("n")).where("n > 1")
-    p = F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF))
-    again = again.groupBy("doc", F.shiftright("pos", 32).alias("th")).agg(F.collect_list(F.shiftleft(p, 32).bitwiseOR(p)).alias("single"))
-    spans = found.select("doc", "th", "whole").join(again, ["doc", "th"], "left").select("doc", "th", F.concat("whole", F.coalesce("single", F.expr("array()"))).alias("spans"))
-    spans = spans.where(F.size("spans") > 0)
-    changed = texts.join(spans, ["doc", "th"]).mapInPandas(_removals(length), "doc long, th long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "th"])
-    kept = rows.select("doc_id", "doc", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"))
-    return kept.join(changed, ["doc", "th"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
-    )
+    texts = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # ids in corpus order; what follows carries one number for a document
+    ids = cut(texts.groupBy(*key).agg(F.count("*").alias("n")).sort("known", "doc", "th").select("*", F.monotonically_increasing_id().alias("id")))
+    moved = texts.dropDuplicates(key) if ids.where("n > 1").head() else texts.repartition(*key)
+    found = repeats(moved.join(ids.hint("shuffle_hash"), key), length)
+    ends = ids.join(found.where(F.size("ends") > 0), "id").select(*key, "id", "ends")
+    suffixes = moved.join(ends.hint("shuffle_hash"), key).select("id", "text", "ends").mapInPandas(_suffixes(length), "s long, z long, id long, at long, again boolean")
+    before = F.lag("id").over(Window.partitionBy("s", "z").orderBy("id", "at"))
+    single = suffixes.select("id", "at", (F.col("again") | before.isNotNull()).alias("repeats")).where("repeats").groupBy("id").agg(F.collect_list("at").alias("single"))
+    gone = ids.join(found.select("id", "whole"), "id", "left").join(single, "id", "left").select(*key, "n", "whole", "single")
+    left = moved.join(gone.hint("shuffle_hash"), key).select("doc", "known", "n", "text", "whole", "single")
+    left = left.mapInPandas(_removals(length), "doc long, known boolean, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    each = left.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return each.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
