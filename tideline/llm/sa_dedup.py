@@ -6,27 +6,28 @@ A phrase is what shares one trigger: the starts p whose window has its minimum t
 
 * Dictionary: phrases meet by the hash of the bytes after the trigger. Equal phrases (all their bytes) are one
   dictionary word; every occurrence but the first in corpus order repeats it whole.
-* Parse: what differs around an equal trigger (ends of repeats) is resolved among the n-byte suffixes of those
-  phrases only: equal suffixes are put in corpus order and all but the first repeat.
+* Parse: what differs around an equal trigger (ends of repeats) is resolved within those phrases only, first
+  in blocks of a few starts at equal distances from the trigger, then, where blocks differ that share all but a few bytes, among their
+  n-byte suffixes: equal suffixes are put in corpus order and all but the first repeat.
 
 No suffix array is built, neither the dictionary's nor the parse's (the README has the figures): a phrase carries the n
 bytes that follow each of its starts, and only equality to n bytes decides what repeats, so grouping by 128 bits of hash
 replaces both arrays.
 
-Texts move once, to their own keys, and that exchange is read three times. Hot triggers are split where texts are parsed: a
+Texts move once, to their own keys, and that exchange is read for every step. Hot triggers are split where texts are parsed: a
 phrase that came before in the batch repeats whole at once, and a trigger that a batch holds many times in different phrases leaves
-two of them in its group and sends the others on to the suffixes directly. A suffix that came before in the batch repeats at
+two of them in its group and sends the others on to the next step directly. A suffix that came before in the batch repeats at
 once as well. So a group has a few rows for each batch of texts and not one for each document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import cut
@@ -36,6 +37,8 @@ LENGTH, TRIGGER, AFTER = 100, 8, 32
 BASES = np.uint64(0x9E3779B97F4A7C15 | 5), np.uint64(0xD6E8FEB86659FD93 | 5)
 #: Bytes of text that are parsed at a time (a longer text is parsed alone), and phrases of a trigger from which it is hot in them.
 AT_ONCE, HOT = 8_000_000, 32
+#: Starts of a block.
+BLOCK = 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ def _bytes_of(text: str) -> np.ndarray:
 
 
 def _parse(data: np.ndarray, length: int, trigger: int, after: int):
-    """Phrases of one text: hash after the trigger, hash of all bytes and the trigger's place, and place().
+    """Phrases of one text: hash after the trigger, hash of all bytes and the trigger's place, place(), and bits of both sides.
 
     Starts up to `half` bytes before the trigger share length - half bytes after it, all others the half + 1 bytes before
     it: 8 bits of hash of either side (0 where a phrase has no such start) tell most phrases apart that share a trigger by chance.
@@ -106,12 +109,28 @@ def _parse(data: np.ndarray, length: int, trigger: int, after: int):
     right = np.where(near, 1 + h(t, np.minimum(t + length - half, len(data))) % np.uint64(255), np.uint64(0))
     left = np.where(far, 1 + h(np.maximum(t - half - 1, 0), t) % np.uint64(255), np.uint64(0))
     k, c = h(t, t + after), _mix(h(first, last + length) ^ _mix(((t - first).astype(np.uint64) << np.uint64(8)) + np.uint64(1)))
-    return k, c, place(first, last, right.astype(np.int64), left.astype(np.int64))
+    return k, c, place(first, last, t - first), (right << np.uint64(8) | left).astype(np.int32)
+
+
+def _blocks(data: np.ndarray, places: np.ndarray, length: int):
+    """Blocks of the phrases at these places: hash of the bytes that all starts of a block share, of all its bytes, its place, and no sides."""
+    first, last = spans_of(places)
+    t = first + (np.asarray(places, np.int64) >> 15 & 0x7FFF)
+    near, far = (t - last) // BLOCK, (t - first) // BLOCK
+    n = far - near + 1
+    t, first, last = np.repeat(t, n), np.repeat(first, n), np.repeat(last, n)
+    j = np.repeat(near, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    low, high = t - BLOCK * j - BLOCK + 1, t - BLOCK * j
+    first, last = np.maximum(first, low), np.minimum(last, high)
+    h = Rolling(data)
+    k = _mix(h(high, low + length) ^ _mix(j.astype(np.uint64)))
+    c = _mix(h(first, last + length) ^ _mix((high - first).astype(np.uint64) << np.uint64(8) | (last - first).astype(np.uint64)))
+    return k, c, place(first, last, np.zeros(len(first), np.int64)), np.zeros(len(first), np.int32)
 
 
-def place(first: np.ndarray, last: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """A phrase's first start, bits of both sides and starts less one, as one number in text order."""
-    return first << 31 | right << 23 | left << 15 | (last - first)
+def place(first: np.ndarray, last: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+    """First start, the trigger's distance and starts less one, as one number in text order."""
+    return first << 30 | trigger << 15 | (last - first)
 
 
 def _changes(x: np.ndarray) -> np.ndarray:
@@ -122,7 +141,7 @@ def _changes(x: np.ndarray) -> np.ndarray:
 def spans_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last starts."""
     places = np.asarray(places, np.int64)
-    first = places >> 31
+    first = places >> 30
     return first, first + (places & 0x7FFF)
 
 
@@ -130,16 +149,16 @@ def spans_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PLAIN, WHOLE, SENT, STAYS = range(4)
 
 
-def _phrases(length: int, trigger: int, after: int):
-    """(id, text) -> a row for each phrase: k (hash after the trigger), c (hash of all bytes), id, place and what is known of it.
+def _pieces(cut_up: Callable, length: int):
+    """(id, text, and phrases if these are to be cut up) -> a row for each piece: k (what its starts share), c (all it holds), id, place, sides, known.
 
-    Phrases that are decided need no comparison, so their k is scattered.
+    Pieces that are decided need no comparison, so their k is scattered.
     """
 
     def combine(held: list[tuple]) -> pd.DataFrame:
-        k, c, ids, places = (np.concatenate(x) for x in zip(*held))
+        k, c, places, sides, ids = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((places, ids, c, k))
-        k, c, ids, places = k[order], c[order], ids[order], places[order]
+        k, c, places, sides, ids = k[order], c[order], places[order], sides[order], ids[order]
         new_k = _changes(k)
         new = new_k | _changes(c)
         known = np.where(new, PLAIN, WHOLE).astype(np.int8)
@@ -150,17 +169,17 @@ def _phrases(length: int, trigger: int, after: int):
         known[of_hot[np.concatenate([first, first + 1])]] = STAYS
         decided = (known == WHOLE) | (known == SENT)
         k[decided] = _mix(_mix(ids[decided].view(np.uint64)) ^ places[decided].view(np.uint64))
-        return pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "place": places, "known": known})
+        return pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "place": places, "sides": sides, "known": known})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for f in frames:
-            for i, text in zip(f["id"].to_numpy(), f["text"]):
+            for i, text, *phrases in f.itertuples(index=False):
                 raw = _bytes_of(text)
                 if len(raw) < length:
                     continue
-                k, c, places = _parse(raw, length, trigger, after)
-                held.append((k, c, np.full(len(k), i), places))
+                piece = cut_up(raw, *phrases)
+                held.append((*piece, np.full(len(piece[0]), i, np.int64)))
                 size += len(raw)
                 if size >= AT_ONCE:
                     yield combine(held)
@@ -171,8 +190,11 @@ def _phrases(length: int, trigger: int, after: int):
     return run
 
 
+PIECES = "k long, c long, id long, place long, sides int, known byte"
+
+
 def _suffixes(length: int):
-    """(id, text, ends: phrases) -> 128 bits of hash and the place of each start's suffix; again: an equal suffix came before it in the batch."""
+    """(id, text, ends: blocks) -> 128 bits of hash and the place of each start's suffix; again: an equal suffix came before it in the batch."""
 
     def combine(held: list[tuple]) -> pd.DataFrame:
         s, z, ids, at = (np.concatenate(x) for x in zip(*held))
@@ -202,18 +224,18 @@ def _suffixes(length: int):
 
 
 def _removals(length: int):
-    """(row, text, whole: phrases, single: starts that repeat) -> row and what removing their strings leaves."""
+    """(row, text, whole: pieces and single: starts that repeat) -> row and what removing their strings leaves."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for text, whole, single in zip(f["text"], f["whole"], f["single"]):
+            for text, phrases, blocks, single in zip(f["text"], f["phrases"], f["blocks"], f["single"]):
                 raw = _bytes_of(text)
-                first, last = spans_of(whole if whole is not None else [])
-                single = np.asarray(single if single is not None else [], np.int64)
+                first, last = spans_of(np.concatenate([np.asarray([] if x is None else x, np.int64) for x in (phrases, blocks)]))
+                single = np.asarray([] if single is None else single, np.int64)
                 edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, np.r_[first, single], 1)
-                np.add.at(edge, np.r_[last, single] + length, -1)
+                np.add.at(edge, np.concatenate([first, single]), 1)
+                np.add.at(edge, np.concatenate([last, single]) + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
@@ -223,25 +245,28 @@ def _removals(length: int):
     return run
 
 
-def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, text) -> id, whole, ends: arrays of phrases (see place()).
+def settle(pieces: DataFrame, by_sides: bool = False) -> DataFrame:
+    """Pieces -> id, found: array of (place, whole).
 
-    whole: every start repeats an earlier one. ends: the trigger also stands in other phrases, so that single starts may repeat.
+    whole: every start of the piece repeats an earlier one. Otherwise other pieces share what its starts share, so
+    that single starts may repeat; all other pieces are left out.
     """
-    trigger, after = min(TRIGGER, length // 4), min(AFTER, length // 3)
-    phrases = texts.select("id", "text").mapInPandas(_phrases(length, trigger, after), "k long, c long, id long, place long, known byte")
-    # one exchange by the trigger's key; phrases of a key are sorted by content, then in corpus order
+    # one exchange by what the starts share; pieces of a key are sorted by content, then in corpus order
     every = Window.partitionBy("k")
-    d = phrases.select("*", F.lag("c").over(every.orderBy("c", "id", "place")).alias("before"), F.min("c").over(every).alias("low"), F.max("c").over(every).alias("high"), F.max("known").over(every).alias("most"))
+    d = pieces.select("*", F.lag("c").over(every.orderBy("c", "id", "place")).alias("before"), F.min("c").over(every).alias("low"), F.max("c").over(every).alias("high"), F.max("known").over(every).alias("most"))
     whole = F.expr(f"known = {WHOLE} or coalesce(before = c, false)")
-    d = d.select("k", "c", "id", "place", "known", "most", whole.alias("whole")).where(F.expr(f"whole or known = {SENT} or low < high"))
-    # of the others of a trigger, those go on that share a side with another phrase
-    for name, shift in (("right", 23), ("left", 15)):
-        d = d.withColumn(name, F.shiftright("place", shift).bitwiseAND(F.lit(0xFF)))
-        side = Window.partitionBy("k", name)
-        d = d.withColumn(f"by_{name}", (F.col(name) > 0) & (F.min("c").over(side) < F.max("c").over(side)))
-    d = d.where(F.expr(f"whole or most >= {SENT} or by_right or by_left"))
-    return d.groupBy("id").agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("place"))).alias("ends"))
+    d = d.select("k", "c", "id", "place", "sides", "known", "most", whole.alias("whole")).where(F.expr(f"whole or known = {SENT} or low < high"))
+    if by_sides:
+        for name, bits in (("right", F.shiftright("sides", 8)), ("left", F.col("sides").bitwiseAND(F.lit(0xFF)))):
+            side = Window.partitionBy("k", name)
+            d = d.withColumn(name, bits).withColumn(f"by_{name}", (F.col(name) > 0) & (F.min("c").over(side) < F.max("c").over(side)))
+        d = d.where(F.expr(f"whole or most >= {SENT} or by_right or by_left"))
+    return d.groupBy("id").agg(F.collect_list(F.struct("place", "whole")).alias("found"))
+
+
+def _places(whole: bool) -> Column:
+    """Places of the found pieces that repeat whole, or of those that don't."""
+    return F.transform(F.filter("found", lambda x: x["whole"] == F.lit(whole)), lambda x: x["place"])
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -261,13 +286,20 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # ids in corpus order; what follows carries one number for a document
     ids = cut(texts.groupBy(*key).agg(F.count("*").alias("n")).sort("known", "doc", "th").select("*", F.monotonically_increasing_id().alias("id")))
     moved = texts.dropDuplicates(key) if ids.where("n > 1").head() else texts.repartition(*key)
-    found = repeats(moved.join(ids.hint("shuffle_hash"), key), length)
-    ends = ids.join(found.where(F.size("ends") > 0), "id").select(*key, "id", "ends")
-    suffixes = moved.join(ends.hint("shuffle_hash"), key).select("id", "text", "ends").mapInPandas(_suffixes(length), "s long, z long, id long, at long, again boolean")
+    trigger, after = min(TRIGGER, length // 4), min(AFTER, length // 3)
+
+    def of(found: DataFrame) -> DataFrame:
+        """Texts with the pieces that are not settled."""
+        ends = ids.join(found.select("id", _places(False).alias("ends")).where("size(ends) > 0"), "id").select(*key, "id", "ends")
+        return moved.join(ends.hint("shuffle_hash"), key).select("id", "text", "ends")
+
+    phrases = settle(moved.join(ids.hint("shuffle_hash"), key).select("id", "text").mapInPandas(_pieces(lambda raw: _parse(raw, length, trigger, after), length), PIECES), by_sides=True)
+    blocks = settle(of(phrases).mapInPandas(_pieces(lambda raw, places: _blocks(raw, places, length), length), PIECES))
+    suffixes = of(blocks).mapInPandas(_suffixes(length), "s long, z long, id long, at long, again boolean")
     before = F.lag("id").over(Window.partitionBy("s", "z").orderBy("id", "at"))
     single = suffixes.select("id", "at", (F.col("again") | before.isNotNull()).alias("repeats")).where("repeats").groupBy("id").agg(F.collect_list("at").alias("single"))
-    gone = ids.join(found.select("id", "whole"), "id", "left").join(single, "id", "left").select(*key, "n", "whole", "single")
-    left = moved.join(gone.hint("shuffle_hash"), key).select("doc", "known", "n", "text", "whole", "single")
+    gone = ids.join(phrases.select("id", _places(True).alias("phrases")), "id", "left").join(blocks.select("id", _places(True).alias("blocks")), "id", "left").join(single, "id", "left")
+    left = moved.join(gone.drop("id").hint("shuffle_hash"), key)
     left = left.mapInPandas(_removals(length), "doc long, known boolean, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     each = left.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return each.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
