@@ -150,7 +150,7 @@ PLAIN, WHOLE, SENT, STAYS = range(4)
 
 
 def _pieces(cut_up: Callable, length: int):
-    """(id, text, and phrases if these are to be cut up) -> a row for each piece: k (what its starts share), c (all it holds), id, place, sides, known.
+    """(id, text, and phrases if these are to be cut up) -> a row for each piece: k (what its starts share), c (all it holds), id, place, sides << 2 | known.
 
     Pieces that are decided need no comparison, so their k is scattered.
     """
@@ -169,7 +169,9 @@ def _pieces(cut_up: Callable, length: int):
         known[of_hot[np.concatenate([first, first + 1])]] = STAYS
         decided = (known == WHOLE) | (known == SENT)
         k[decided] = _mix(_mix(ids[decided].view(np.uint64)) ^ places[decided].view(np.uint64))
-        return pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "place": places, "sides": sides, "known": known})
+        # in text order ids and places compress well on their way
+        d = pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "place": places, "sides": sides << 2 | known})
+        return d.iloc[np.lexsort((places, ids))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -190,7 +192,7 @@ def _pieces(cut_up: Callable, length: int):
     return run
 
 
-PIECES = "k long, c long, id long, place long, sides int, known byte"
+PIECES = "k long, c long, id long, place long, sides int"
 
 
 def _suffixes(length: int):
@@ -253,11 +255,12 @@ def settle(pieces: DataFrame, by_sides: bool = False) -> DataFrame:
     """
     # one exchange by what the starts share; pieces of a key are sorted by content, then in corpus order
     every = Window.partitionBy("k")
+    pieces = pieces.withColumn("known", F.col("sides").bitwiseAND(F.lit(3)))
     d = pieces.select("*", F.lag("c").over(every.orderBy("c", "id", "place")).alias("before"), F.min("c").over(every).alias("low"), F.max("c").over(every).alias("high"), F.max("known").over(every).alias("most"))
     whole = F.expr(f"known = {WHOLE} or coalesce(before = c, false)")
     d = d.select("k", "c", "id", "place", "sides", "known", "most", whole.alias("whole")).where(F.expr(f"whole or known = {SENT} or low < high"))
     if by_sides:
-        for name, bits in (("right", F.shiftright("sides", 8)), ("left", F.col("sides").bitwiseAND(F.lit(0xFF)))):
+        for name, bits in (("right", F.shiftright("sides", 10)), ("left", F.shiftright("sides", 2).bitwiseAND(F.lit(0xFF)))):
             side = Window.partitionBy("k", name)
             d = d.withColumn(name, bits).withColumn(f"by_{name}", (F.col(name) > 0) & (F.min("c").over(side) < F.max("c").over(side)))
         d = d.where(F.expr(f"whole or most >= {SENT} or by_right or by_left"))
