@@ -247,11 +247,16 @@ def _removals(length: int):
     return run
 
 
-def settle(pieces: DataFrame, by_sides: bool = False) -> DataFrame:
-    """Pieces -> id, found: array of (place, whole).
+def _place(first: Column, last: Column, trigger: Column) -> Column:
+    """As place()."""
+    return F.shiftleft(first, 30).bitwiseOR(F.shiftleft(trigger, 15)).bitwiseOR(last - first)
+
+
+def settle(pieces: DataFrame, half: int | None = None) -> DataFrame:
+    """Pieces -> id, found: array of place << 1 | whole.
 
     whole: every start of the piece repeats an earlier one. Otherwise other pieces share what its starts share, so
-    that single starts may repeat; all other pieces are left out.
+    that single starts may repeat; all other pieces are left out. With half (see _parse()) so are the starts whose side no other piece shares.
     """
     # one exchange by what the starts share; pieces of a key are sorted by content, then in corpus order
     every = Window.partitionBy("k")
@@ -259,17 +264,21 @@ def settle(pieces: DataFrame, by_sides: bool = False) -> DataFrame:
     d = pieces.select("*", F.lag("c").over(every.orderBy("c", "id", "place")).alias("before"), F.min("c").over(every).alias("low"), F.max("c").over(every).alias("high"), F.max("known").over(every).alias("most"))
     whole = F.expr(f"known = {WHOLE} or coalesce(before = c, false)")
     d = d.select("k", "c", "id", "place", "sides", "known", "most", whole.alias("whole")).where(F.expr(f"whole or known = {SENT} or low < high"))
-    if by_sides:
+    if half is not None:
         for name, bits in (("right", F.shiftright("sides", 10)), ("left", F.shiftright("sides", 2).bitwiseAND(F.lit(0xFF)))):
             side = Window.partitionBy("k", name)
-            d = d.withColumn(name, bits).withColumn(f"by_{name}", (F.col(name) > 0) & (F.min("c").over(side) < F.max("c").over(side)))
-        d = d.where(F.expr(f"whole or most >= {SENT} or by_right or by_left"))
-    return d.groupBy("id").agg(F.collect_list(F.struct("place", "whole")).alias("found"))
+            d = d.withColumn(name, bits).withColumn(f"by_{name}", F.expr(f"most >= {SENT}") | ((F.col(name) > 0) & (F.min("c").over(side) < F.max("c").over(side))))
+        first, mask = F.shiftright("place", 30), F.lit(0x7FFF).cast("long")
+        last, t = first + F.col("place").bitwiseAND(mask), first + F.shiftright("place", 15).bitwiseAND(mask)
+        left, right = F.greatest(first, t - half), F.least(last, t - half - 1)
+        kept = F.when(F.expr("whole or (by_right and by_left)"), F.col("place")).when(F.col("by_right"), _place(left, last, t - left)).when(F.col("by_left"), _place(first, right, t - first))
+        d = d.where(F.expr("whole or by_right or by_left")).withColumn("place", kept)
+    return d.groupBy("id").agg(F.collect_list(F.col("place") * 2 + F.col("whole").cast("long")).alias("found"))
 
 
 def _places(whole: bool) -> Column:
     """Places of the found pieces that repeat whole, or of those that don't."""
-    return F.transform(F.filter("found", lambda x: x["whole"] == F.lit(whole)), lambda x: x["place"])
+    return F.transform(F.filter("found", lambda x: x % 2 == int(whole)), lambda x: F.shiftright(x, 1))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -296,7 +305,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ends = ids.join(found.select("id", _places(False).alias("ends")).where("size(ends) > 0"), "id").select(*key, "id", "ends")
         return moved.join(ends.hint("shuffle_hash"), key).select("id", "text", "ends")
 
-    phrases = settle(moved.join(ids.hint("shuffle_hash"), key).select("id", "text").mapInPandas(_pieces(lambda raw: _parse(raw, length, trigger, after), length), PIECES), by_sides=True)
+    phrases = settle(moved.join(ids.hint("shuffle_hash"), key).select("id", "text").mapInPandas(_pieces(lambda raw: _parse(raw, length, trigger, after), length), PIECES), (length - after) // 2)
     blocks = settle(of(phrases).mapInPandas(_pieces(lambda raw, places: _blocks(raw, places, length), length), PIECES))
     suffixes = of(blocks).mapInPandas(_suffixes(length), "s long, z long, id long, at long, again boolean")
     before = F.lag("id").over(Window.partitionBy("s", "z").orderBy("id", "at"))
