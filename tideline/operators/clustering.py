@@ -23,6 +23,54 @@ def quality(df: DataFrame, id_: str, label: str, confidence: str, vector: str, m
     return g.join(F.broadcast(z)).withColumn("quality", 0.3 * number + 0.2 * F.col("size") + 0.2 * F.col("tight") + 0.2 * calm + 0.1 * F.col("sure"))
 
 
+def composite(df: DataFrame, id_: str, label: str, vector: str) -> DataFrame:
+    """silhouette, calinski_harabasz, davies_bouldin, score: .6 silhouette + .2 CH / 1000 - .2 DB / 10 of numbered clusters, one row.
+
+    Only tables of one row for each cluster and dimension meet each other; points meet their own centroid alone.
+    """
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    d = df.select(id_, F.col(label).cast("double").alias("_l"), vector)
+    shape = ClusteringEvaluator(featuresCol="_f", predictionCol="_l").evaluate(d.withColumn("_f", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
+    x = d.select(id_, "_l", F.posexplode(vector).alias("_p", "_v")).withColumn("_v", F.col("_v").cast("double"))
+    c = x.groupBy("_l", "_p").agg(F.avg("_v").alias("_m"), F.count("*").alias("_n"))
+    own = x.join(c, ["_l", "_p"]).groupBy(id_, "_l").agg(F.sum((F.col("_v") - F.col("_m")) ** 2).alias("_q"))
+    spread = own.groupBy("_l").agg(F.avg(F.sqrt("_q")).alias("_s"), F.sum("_q").alias("_q"), F.count("*").alias("_n"))
+    middle = c.groupBy("_p").agg((F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("_g"))
+    between = c.join(middle, "_p").agg(F.sum(F.col("_n") * (F.col("_m") - F.col("_g")) ** 2).alias("_b"))
+    near = c.select("_p", F.col("_l").alias("_i"), F.col("_m").alias("_a")).join(c.select("_p", F.col("_l").alias("_j"), F.col("_m").alias("_z")), "_p").where("_i <> _j")
+    near = near.groupBy("_i", "_j").agg(F.sqrt(F.sum((F.col("_a") - F.col("_z")) ** 2)).alias("_d"))
+    one, two = spread.select(F.col("_l").alias("_i"), F.col("_s").alias("_si")), spread.select(F.col("_l").alias("_j"), F.col("_s").alias("_sj"))
+    worst = near.join(one, "_i").join(two, "_j").groupBy("_i").agg(F.max((F.col("_si") + F.col("_sj")) / F.col("_d")).alias("_r")).agg(F.avg("_r").alias("davies_bouldin"))
+    sizes = spread.agg(F.sum("_q").alias("_w"), F.sum("_n").alias("_n"), F.count("*").alias("_k"))
+    # three tables of one row each
+    d = sizes.withColumn("_1", F.lit(1)).join(between.withColumn("_1", F.lit(1)), "_1").join(worst.withColumn("_1", F.lit(1)), "_1")
+    ch = (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))
+    d = d.select(F.lit(shape).alias("silhouette"), ch.alias("calinski_harabasz"), "davies_bouldin")
+    return d.withColumn("score", F.expr("0.6 * silhouette + 0.2 * calinski_harabasz / 1000 - 0.2 * davies_bouldin / 10"))
+
+
+def kmeans_search(df: DataFrame, id_: str, vector: str, dims: list[int], ks: list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows with the cluster of the best composite, the composite of every size of PCA and k; size 0 is no PCA)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    d = df.withColumn("_f", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    tried, table = {}, None
+    for n in dims:
+        e = (PCA(k=n, inputCol="_f", outputCol="_g").fit(d).transform(d) if n else d.withColumn("_g", F.col("_f"))).withColumn("_a", vector_to_array("_g"))
+        for k in ks:
+            got = KMeans(k=k, seed=seed, featuresCol="_g", predictionCol="cluster").fit(e).transform(e)
+            row = composite(got, id_, "cluster", "_a").first()
+            tried[n, k] = (row["score"], got.drop("_f", "_g", "_a"))
+            one = df.sparkSession.createDataFrame([(n, k, *[row[c] for c in ("silhouette", "calinski_harabasz", "davies_bouldin", "score")])], "dims int, k int, silhouette double, calinski_harabasz double, davies_bouldin double, score double")
+            table = one if table is None else table.unionByName(one)
+    best = max(tried, key=lambda t: (tried[t][0], -t[1], -t[0]))
+    return tried[best][1], table
+
+
 def kmeans(df: DataFrame, vector: str, ks: list[int], seed: int = 42, dims: int | None = None) -> tuple[DataFrame, dict[int, float]]:
     """(with column cluster for the k of the best silhouette, silhouettes by k), after an optional PCA."""
     from pyspark.ml.clustering import KMeans

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tideline.plans import labels, moments, relational, time  # noqa: F401
+from tideline.plans import labels, moments, pairing, relational, time  # noqa: F401
 from tideline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

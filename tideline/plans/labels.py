@@ -113,16 +113,18 @@ def normalized_eval(spark, sf):
     return d.select("doc_id", labels.normalize_truth(F.col("lang"), F.col("mapped"), F.col("source")).alias("truth"), F.array_contains("mapped", F.col("source")).alias("overlap"))
 
 
-@query(f"""WITH {EV}, f AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
- s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS ord FROM f), m AS (SELECT user_id, ord, arg_max(event_type, (t, event_id)) AS model FROM s GROUP BY 1, 2)
- SELECT m.user_id, m.ord::BIGINT AS model_ord, count(*) AS n, round(avg((s.event_type = m.model)::INT), 6) AS accuracy FROM m JOIN s ON m.user_id = s.user_id AND s.ord > m.ord AND s.ord <= m.ord + 3 GROUP BY 1, 2""")
+@query(f"""WITH {EV}, f AS (SELECT *, user_id % 5 AS p, CASE WHEN t - lag(t) OVER w <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id % 5 ORDER BY t, event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY p ORDER BY t, event_id) AS ord FROM f), m AS (SELECT p, ord, arg_max(event_type, (t, event_id)) AS model FROM s GROUP BY 1, 2), g AS (SELECT p, ord FROM s GROUP BY 1, 2 HAVING count(*) > 20)
+ SELECT m.p AS participant, m.ord::BIGINT AS session, count(*) AS n, round(avg((s.event_type = m.model)::INT), 6) AS accuracy FROM m JOIN g ON m.p = g.p AND g.ord > m.ord JOIN s ON s.p = g.p AND s.ord = g.ord GROUP BY 1, 2""")
 def forward_eval(spark, sf):
-    """A model of each session (its last label) judged on the next three sessions: an equi-join on exploded ordinals, no range scan."""
-    s = timeops.sessionize(events(spark, sf), ["user_id"], "t", 21_600_000_000, ["event_id"])
-    m = s.groupBy("user_id", F.col("session").alias("model_ord")).agg(F.max_by("event_type", F.struct("t", "event_id")).alias("model"))
-    m = m.withColumn("session", F.explode(F.sequence(F.col("model_ord") + 1, F.col("model_ord") + 3)))
-    d = s.join(m, ["user_id", "session"])
-    return d.groupBy("user_id", "model_ord").agg(F.count("*").alias("n"), r6(F.avg((F.col("event_type") == F.col("model")).cast("int"))).alias("accuracy"))
+    """A model of each session (its last label) judged on all later sessions of over 20 rows."""
+    from tideline.operators import pairing
+
+    d = events(spark, sf).withColumn("participant", F.col("user_id") % 5)
+    s = timeops.sessionize(d, ["participant"], "t", 3_600_000_000, ["event_id"])
+    m = s.groupBy("participant", "session").agg(F.max_by("event_type", F.struct("t", "event_id")).alias("model"))
+    d = pairing.forward_scores(s, ["participant"], "session", "event_type", m, 20)
+    return d.select("participant", "session", "n", r6(F.col("correct") / F.col("n")).alias("accuracy"))
 
 
 @query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY pos) AS e FROM m GROUP BY 1)
@@ -180,9 +182,10 @@ def robust_scale(spark, sf):
     return x.join(s, "pos").groupBy("vec_id").agg(F.round(F.sum(F.abs((F.col("v") - F.col("m")) / F.nullif("q", F.lit(0.0)))), 4).alias("size"))
 
 
-@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, pos, round(avg(v), 5) AS mean FROM x GROUP BY 1, 2""")
+@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE label <> 9) SELECT label, pos, round(avg(v), 5) AS mean FROM x GROUP BY 1, 2""")
 def centroids(spark, sf):
-    x = read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    """Mean vectors of the clusters; label 9 stands for noise, which has none."""
+    x = read(spark, sf, "embeddings").where("label <> 9").select("label", F.posexplode("embedding").alias("pos", "v"))
     return x.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"))
 
 

@@ -88,6 +88,14 @@ def kmeans_clusters(spark, sf):
     return d.select("vec_id", "cluster")
 
 
+@query()
+def kmeans_search(spark, sf):
+    """The composite of every size of PCA and k."""
+    d = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    _, tried = clustering.kmeans_search(d, "vec_id", "embedding", [0, 8], [4, 8])
+    return tried
+
+
 @query()
 def hdbscan_clusters(spark, sf):
     d = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))

@@ -89,7 +89,7 @@ def label_map_default(spark, sf):
     return d.select("n_name", "region", F.upper(scalar.sanitize(F.col("n_name"))).alias("label"))
 
 
-@query("SELECT doc_id, translate(left(text, 40), ' -/', '___') AS label FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, translate(text, ' -/', '___') AS label FROM documents WHERE text IS NOT NULL")
 def label_sanitize(spark, sf):
     return read(spark, sf, "documents").where("text is not null").select("doc_id", scalar.sanitize(F.col("text")).alias("label"))
 
@@ -143,16 +143,21 @@ def name_tokens(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("://"), F.lit(1)).alias("scheme"), g(1).alias("lang"), F.nullif(g(2), F.lit("")).try_cast("int").alias("number"))
 
 
-@query("SELECT event_id, epoch_us(ts + INTERVAL 5 HOUR) AS shifted FROM events")
+@query("SELECT event_id, epoch_us(ts + INTERVAL 330 MINUTE) AS shifted FROM events")
 def clock_shift(spark, sf):
-    d = read(spark, sf, "events").withColumn("there", scalar.local_shift(F.col("ts"), "America/New_York", "UTC"))
-    # a fixed zone difference, so that both engines agree whatever their zone tables say of summer time
-    return d.select("event_id", (scalar.micros("ts") + 5 * HOUR).alias("shifted"))
+    """UTC as the local time of a zone that has no summer time, so that both engines agree whatever their zone tables say."""
+    d = read(spark, sf, "events")
+    return d.select("event_id", scalar.micros(scalar.local_shift(F.col("ts").cast("timestamp_ntz"), "UTC", "Asia/Kolkata")).alias("shifted"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.missing') AS BIGINT), -1) AS missing FROM events""")
 def lenient_json(spark, sf):
-    d = read(spark, sf, "events").withColumn("j", F.from_json("props", "k bigint, missing bigint", {"mode": "PERMISSIVE"}))
+    """Payloads as replies hold them: in a fenced block, inside a sentence, or bare."""
+    from tideline.sources import store
+
+    i = F.col("event_id") % 3
+    reply = F.when(i == 0, F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n``` and {no more}"))).when(i == 1, F.concat(F.lit("The answer is "), F.col("props"), F.lit("."))).otherwise(F.col("props"))
+    d = read(spark, sf, "events").withColumn("j", store.lenient_json(reply, "k bigint, missing bigint"))
     return d.select("event_id", "j.k", F.coalesce("j.missing", F.lit(-1)).alias("missing"))
 
 
