@@ -98,6 +98,14 @@ def hot_regions(frame: Column, lo: float = BANDS["hot"][0], hi: float = BANDS["h
     return F.pandas_udf(count, "int")(frame)
 
 
+def compactness(frames: DataFrame, keys: list[str], frame: str, band: str = "hot") -> DataFrame:
+    """keys, compactness: the share of its bounding box that a frame's band fills; 0 where there is none of it."""
+    lo, hi = BANDS[band]
+    c = cells(frames, keys, frame).withColumn("_in", F.col("v").between(lo, hi))
+    y, x = F.when(F.col("_in"), F.col("y")), F.when(F.col("_in"), F.col("x"))
+    return c.groupBy(*keys).agg(F.coalesce(F.count_if("_in") / ((F.max(y) - F.min(y) + 1) * (F.max(x) - F.min(x) + 1)), F.lit(0.0)).alias("compactness"))
+
+
 def person_depth(depth: Column, mask: Column) -> Column:
     """The depth frame where the person's mask is set, else 0."""
     return F.zip_with(depth, mask, lambda r, m: F.zip_with(r, m, lambda v, b: F.when(b > 0, v.cast("double")).otherwise(0.0)))
@@ -152,7 +160,7 @@ def pose_features(frames: DataFrame, window: list[str], t: str, joints: str = "j
     count = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in some), F.lit(0))
     step = sum((F.coalesce(v, F.lit(0.0)) for v in some), F.lit(0.0)) / F.nullif(count, F.lit(0))
     seen = sum((F.when(F.col(f"{n}_x").isNotNull(), F.lit(m)).otherwise(0.0) for n, m in MASS.items()), F.lit(0.0))
-    centre = lambda p: F.when(seen > 0.6, sum((F.coalesce(F.col(f"{n}_{p}") * m, F.lit(0.0)) for n, m in MASS.items()), F.lit(0.0)) / seen)
+    centre = lambda p: F.when(F.round(seen, 9) > 0.6, sum((F.coalesce(F.col(f"{n}_{p}") * m, F.lit(0.0)) for n, m in MASS.items()), F.lit(0.0)) / seen)
     mid = lambda a, b, p: (F.col(f"{a}_{p}") + F.col(f"{b}_{p}")) / 2
     shoulders = F.sqrt((F.col("left_shoulder_x") - F.col("right_shoulder_x")) ** 2 + (F.col("left_shoulder_y") - F.col("right_shoulder_y")) ** 2)
     hip = mid("left_hip", "right_hip", "y")
@@ -191,6 +199,35 @@ def pose_features(frames: DataFrame, window: list[str], t: str, joints: str = "j
     return d.groupBy(*window).agg(*out)
 
 
+#: Joints of the parts whose confidence is told, and from where a joint counts.
+PARTS = {"face": range(5), "upper_body": range(5, 11), "lower_body": range(11, 17)}
+SEEN = 0.5
+
+
+def pose_metrics(joints: str = "joints") -> dict[str, Column]:
+    """Of one frame's first person: mean confidence of the joints that are seen, of all and by part (0 without any), and the body's angle from the vertical in degrees."""
+
+    def sure(which: Column) -> Column:
+        seen = F.filter(F.transform(which, lambda j: j["conf"].cast("double")), lambda c: c > SEEN)
+        return F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, c: a + c) / F.size(seen)).otherwise(0.0)
+
+    at = lambda n, p: F.when(F.get(F.col(joints), F.lit(JOINTS.index(n)))["conf"] > SEEN, F.get(F.col(joints), F.lit(JOINTS.index(n)))[p].cast("double"))
+    mid = lambda part, p: (at(f"left_{part}", p) + at(f"right_{part}", p)) / 2
+    angle = F.degrees(F.atan2(mid("shoulder", "x") - mid("hip", "x"), mid("hip", "y") - mid("shoulder", "y")))
+    parts = {f"{name}_confidence": sure(F.slice(joints, at_.start + 1, len(at_))) for name, at_ in PARTS.items()}
+    return {"overall_confidence": sure(F.col(joints)), **parts, "body_angle": angle}
+
+
+def segment_metrics(found: DataFrame, keys: list[str], confidence: str, area: str) -> DataFrame:
+    """keys and what a frame's segments are like: their confidences, how many are sure (over .8), fair (over .5) or not, and their mask areas."""
+    c, a = F.col(confidence), F.col(area)
+    return found.groupBy(*keys).agg(
+        F.avg(c).alias("avg_confidence"), F.max(c).alias("max_confidence"), F.min(c).alias("min_confidence"), F.count_if(c > 0.8).alias("high_conf_count"),
+        F.count_if((c > 0.5) & (c <= 0.8)).alias("med_conf_count"), F.count_if(c <= 0.5).alias("low_conf_count"), F.count("*").alias("total_segments"),
+        F.avg(a).alias("avg_mask_area"), F.max(a).alias("max_mask_area"), F.min(a).alias("min_mask_area"),
+    )
+
+
 def pose_vector(frames: DataFrame, window: list[str], t: str, k: int = 20, joints: str = "joints") -> DataFrame:
     """window, v: the largest value of every coordinate over runs of k frames, summed (all frames if there are fewer)."""
     flat = frames.select(*window, t, F.posexplode(F.flatten(F.transform(joints, lambda j: F.array(j["x"], j["y"])))).alias("pos", "v"))
