@@ -236,3 +236,48 @@ def test_providers(spark):
     assert not p.embed("").any() and math.isclose(float(np.linalg.norm(p.embed("some words"))), 1)
     d = spark.createDataFrame([(1, ["pot stove", "sink"]), (2, [])], "id int, frames array<string>")
     assert {r.id for r in providers.describe(d, "id", "frames", p).collect()} == {1}
+
+
+def test_neighbours_match_brute_force(spark):
+    import numpy as np
+
+    from tideline.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    x[7] = 0
+    d = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)] + [(60, None, "a"), (61, x[3].tolist(), None)], "id long, v array<double>, l string").repartition(3)
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    full = np.vstack([unit, np.zeros(5), unit[3]])
+    s = np.round(full @ full.T, 9)
+    want = {i: sorted((j for j in range(62) if j != i), key=lambda j: (-s[i, j], j))[:4] for i in (0, 7, 60)}
+    rows = neighbours.nearest_in_table(d, d.where("id in (0, 7, 60)"), "id", "v", 4).collect()
+    assert {q: [r.n for r in sorted((r for r in rows if r.q == q), key=lambda r: (-r.s, r.n))] for q in want} == want
+    assert neighbours.nearest_in_table(d, d.limit(0), "id", "v", 4).count() == 0
+    votes = neighbours.vote(d.where("id < 5"), ["id"], "v", d.where("id >= 5"), "l", 3).collect()
+    assert all(abs(sum(r.prob for r in votes if r.id == i) - 1) < 1e-9 for i in range(5))
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from tideline.operators import models
+
+    d = spark.createDataFrame([(i, [float(i % 3), float(i % 2)], f"c{i % 3}") for i in range(60)], "id long, v array<double>, l string")
+    for name in ("random_forest", "logistic", "svm"):
+        m = models.train(d, "v", "l", name)
+        m.save(str(tmp_path / name))
+        again = models.Trained.load(spark, str(tmp_path / name))
+        key = lambda r: (r.id, r.label)
+        assert sorted(m.predict(d, ["id"], "v").collect(), key=key) == sorted(again.predict(d, ["id"], "v").collect(), key=key)
+    one = models.train(d.where("l = 'c0'"), "v", "l", "svm")
+    one.save(str(tmp_path / "one"))
+    assert models.Trained.load(spark, str(tmp_path / "one")).labels == ["c0"]
+
+
+def test_densities_are_kept_as_text(spark):
+    from tideline.operators import density
+
+    d = spark.createDataFrame([("a" if i % 2 else "b", i, [float(i % 7), float(i % 5)]) for i in range(120)], "k string, t long, v array<double>")
+    m = density.fit_densities(d.where("t < 80"), ["k"], ["t"], "v")
+    out = density.score_only(d.where("t >= 80"), m, ["k"], "v").collect()
+    held = {r.k: density.DecayedMixture.from_json(r.model) for r in m.collect()}
+    assert len(out) == 40 and all(abs(r.score - held[r.k].log_density(__import__("numpy").array([r.v]))[0]) < 1e-9 for r in out)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tideline.config import Density
 
 
+#: What a fitted mixture is made of.
+STATE = ("weight", "mean", "cov", "m", "c")
+
+
 class DecayedMixture:
     """Weights, means and second moments that forget: w <- d w + (1 - d) mean p, and so on for each block of rows.
 
@@ -65,6 +72,19 @@ class DecayedMixture:
         self.weight = self.weight / self.weight.sum()
 
 
+    def to_json(self) -> str:
+        """All that a mixture knows, as text."""
+        return json.dumps({"k": self.k, "decay": self.decay, "epsilon": self.epsilon, **{n: getattr(self, n).tolist() for n in STATE}})
+
+    @classmethod
+    def from_json(cls, text: str) -> DecayedMixture:
+        d = json.loads(text)
+        m = cls(d["k"], d["decay"], d["epsilon"])
+        for n in STATE:
+            setattr(m, n, np.array(d[n]))
+        return m
+
+
 def score_series(x: np.ndarray, cfg: Density = Density()) -> pd.DataFrame:
     """Of each full block after the first: start, mean log density before its update, its least likely row and that row's strongest feature."""
     b = cfg.block
@@ -92,3 +112,32 @@ def density_scores(df: DataFrame, keys: list[str], order: list[str], vector: str
         return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "block", "score", "low_row", "feature"]]
 
     return df.select(*keys, *order, vector).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block long, score double, low_row long, feature long")
+
+
+def fit_densities(df: DataFrame, keys: list[str], order: list[str], vector: str, cfg: Density = Density()) -> DataFrame:
+    """keys, model (text): a mixture for each key, fitted on its first block and updated by every full block after it. Write it anywhere to keep it."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values(order)[vector].to_numpy()).astype(float)
+        model = DecayedMixture(cfg.components, cfg.decay, cfg.epsilon).fit(x[: cfg.block])
+        for i in range(cfg.block, len(x) - cfg.block + 1, cfg.block):
+            model.update(x[i : i + cfg.block])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "model": [model.to_json()]})
+
+    return df.select(*keys, *order, vector).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", model string")
+
+
+def score_only(df: DataFrame, models: DataFrame, keys: list[str], vector: str, name: str = "score") -> DataFrame:
+    """df with each row's log density under its key's mixture, which isn't updated; rows of keys without one go."""
+
+    def run(vectors: pd.Series, models: pd.Series) -> pd.Series:
+        held, out = {}, np.empty(len(vectors))
+        for text, at in models.groupby(models, sort=False).groups.items():
+            if text not in held:
+                held[text] = DecayedMixture.from_json(text)
+            rows = models.index.get_indexer(at)
+            out[rows] = held[text].log_density(np.stack(vectors.to_numpy()[rows]).astype(float))
+        return pd.Series(out)
+
+    return df.join(models, keys).withColumn(name, F.pandas_udf(run, "double")(F.col(vector), F.col("model"))).drop("model")

@@ -24,6 +24,58 @@ class Provider(Protocol):
     def embed(self, text: str) -> np.ndarray: ...
 
 
+class Estimator(Protocol):
+    """A neural model of frames: poses (persons of joints x, y, confidence), segments (mask and box of each), depth."""
+
+    def pose(self, frame: np.ndarray) -> list[list[tuple[float, float, float]]]: ...
+
+    def segment(self, frame: np.ndarray) -> list[tuple[np.ndarray, tuple[float, float, float, float, float]]]: ...
+
+    def depth(self, frame: np.ndarray) -> np.ndarray: ...
+
+
+class Thresholds:
+    """Deterministic stand-in: what is brighter than the mean is the person; depth is brightness from 0 to 1."""
+
+    def depth(self, frame: np.ndarray) -> np.ndarray:
+        low, high = frame.min(initial=np.inf), frame.max(initial=-np.inf)
+        return (frame - low) / (high - low) if high > low else np.zeros(frame.shape)
+
+    def segment(self, frame: np.ndarray) -> list[tuple[np.ndarray, tuple[float, float, float, float, float]]]:
+        mask = frame > frame.mean() if frame.size else np.zeros(frame.shape, bool)
+        if not mask.any():
+            return []
+        y, x = np.nonzero(mask)
+        return [(mask, (float(x.min()), float(y.min()), float(x.max()), float(y.max()), float(mask.mean())))]
+
+    def pose(self, frame: np.ndarray) -> list[list[tuple[float, float, float]]]:
+        found = self.segment(frame)
+        if not found:
+            return []
+        y, x = np.nonzero(found[0][0])
+        at = np.linspace(0, len(y) - 1, 17).astype(int)
+        return [[(float(x[i]), float(y[i]), 1.0) for i in at]]
+
+
+def estimate(frames: DataFrame, keys: list[str], frame: str, model: Estimator) -> DataFrame:
+    """keys, joints (of the first person; null without one), mask (of all segments), depth of each two-dimensional frame; a null or empty frame has none."""
+    kinds = dict(frames.dtypes)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in it:
+            joints, masks, depths = [], [], []
+            for x in f[frame]:
+                a = np.array([np.asarray(r, float) for r in x]) if x is not None and len(x) else None
+                people, parts = (model.pose(a), model.segment(a)) if a is not None else ([], [])
+                joints.append([{"x": p, "y": q, "conf": c} for p, q, c in people[0]] if people else None)
+                masks.append(np.any([m for m, _ in parts], axis=0).astype(int).tolist() if parts else None)
+                depths.append(model.depth(a).tolist() if a is not None else None)
+            yield f[keys].assign(joints=joints, mask=masks, depth=depths)
+
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return frames.select(*keys, frame).mapInPandas(run, named + ", joints array<struct<x: double, y: double, conf: double>>, mask array<array<int>>, depth array<array<double>>")
+
+
 def words(text: str) -> set[str]:
     return set(re.findall(r"[^\W_]+", text.lower()))
 
@@ -100,6 +152,50 @@ def match_until_settled(items: list[str], groups: list[str], provider: Provider,
     return found
 
 
+def merged_names(counts: DataFrame, name: str, n: str, provider: Provider, least: int, most: int = 100_000) -> DataFrame:
+    """name, merged: a vocabulary's names merged by the provider. The vocabulary (names, not rows) is checked to have `most` names at most."""
+    spark = counts.sparkSession
+    rows = counts.groupBy(name).agg(F.sum(n).alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of over {most} names")
+    groups = provider.merge({r[0]: r[1] for r in rows if r[0] is not None}, least)
+    return spark.createDataFrame([(x, g) for g in sorted(groups) for x in groups[g]], f"{name} string, merged string")
+
+
+def merge_within(counts: DataFrame, place: str, name: str, n: str, provider: Provider, least: int) -> DataFrame:
+    """place, name, merged: the names of each place (activities of a location) merged among themselves."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = provider.merge(dict(zip(pdf[name], (int(x) for x in pdf[n]))), least)
+        return pd.DataFrame([(pdf[place].iloc[0], x, g) for g in sorted(groups) for x in groups[g]], columns=[place, name, "merged"])
+
+    summed = counts.where(F.col(name).isNotNull() & F.col(place).isNotNull()).groupBy(place, name).agg(F.sum(n).alias(n))
+    return summed.groupBy(place).applyInPandas(run, f"{place} string, {name} string, merged string")
+
+
+def consolidated(counts: DataFrame, mapping: DataFrame, keys: list[str], name: str, n: str) -> DataFrame:
+    """keys, merged, total, names: counts summed under the merged names, with how many names each took in; what isn't mapped keeps its name."""
+    d = counts.join(mapping, [*keys, name], "left").withColumn("merged", F.coalesce("merged", name))
+    return d.groupBy(*keys, "merged").agg(F.sum(n).alias("total"), F.count_distinct(name).alias("names"))
+
+
+def truth_groups(truth: DataFrame, label: str, groups: list[str], provider: Provider, alike: float = 0.2) -> DataFrame:
+    """label, group, reason: the discovered groups that share words with each distinct truth label; a label without any has one row with a null group."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in it:
+            rows = []
+            for x in f[label]:
+                w = words(x or "")
+                hit = [(g, w & words(g)) for g in groups if len(w & words(g)) >= alike * max(1, len(w | words(g)))]
+                best = provider.match(x or "", groups)
+                hit = [*hit, *([(best, w & words(best))] if best is not None and best not in {g for g, _ in hit} else [])]
+                rows += [(x, g, " ".join(sorted(s))) for g, s in hit if s] or [(x, None, "")]
+            yield pd.DataFrame(rows, columns=[label, "group", "reason"])
+
+    return truth.select(label).distinct().mapInPandas(run, f"{label} string, group string, reason string")
+
+
 def describe(clips: DataFrame, key: str, frames: str, provider: Provider) -> DataFrame:
     """key, rank, location, action, movement, confidence: up to three descriptions of each clip."""
     kind = dict(clips.dtypes)[key]

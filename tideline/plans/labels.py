@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import cosine
-from tideline.operators import evaluate, joins, labels, timeops
+from tideline.operators import evaluate, joins, labels, neighbours, timeops
 from tideline.plans.registry import EV, events, query, r6, read
 
 SOFT = f"{EV}, w AS (SELECT user_id, t // 86400000000 AS day, event_type AS label, value FROM ev), m AS (SELECT user_id, day, label, max(value) AS c FROM w GROUP BY 1, 2, 3)"
@@ -49,23 +49,11 @@ KNN = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 
 
 def knn(spark, sf, k=5):
-    """k nearest neighbours by cosine of every query vector (id divisible by 50) among all rows, and their vote.
-
-    The stated query set is broadcast in blocks of a checked size against the table, which is read in place; each
-    partition keeps its k best of a query before anything is shuffled.
-    """
+    """k nearest neighbours by cosine of every query vector (id divisible by 50) among all rows, and their vote."""
     v = read(spark, sf, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("truth"), F.col("embedding").alias("qe"))
-    n, block = q.count(), 10_000
-    blocks = [q] if n <= block else [q.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // block))) == i) for i in range(-(-n // block))]
-    out = None
-    for b in blocks:
-        pairs = v.join(F.broadcast(b), F.col("vec_id") != F.col("q")).select("q", "truth", F.col("vec_id").alias("n"), "label", F.round(cosine(F.col("qe"), F.col("embedding")), 9).alias("s"))
-        here = pairs.withColumn("part", F.spark_partition_id())
-        local = here.withColumn("rn", F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("s"), "n"))).where(F.col("rn") <= k)
-        best = local.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))).where(F.col("rn") <= k)
-        out = best if out is None else out.unionByName(best)
-    votes = out.groupBy("q", "truth", "label").agg(F.count("*").alias("votes"))
+    near = neighbours.nearest_in_table(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", k)
+    named = near.join(v.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), "q").join(v.select(F.col("vec_id").alias("n"), "label"), "n")
+    votes = named.groupBy("q", "truth", "label").agg(F.count("*").alias("votes"))
     return joins.first_match(votes, ["q"], [F.desc("votes"), "label"]).select("q", "truth", F.col("label").alias("prediction"), "votes")
 
 

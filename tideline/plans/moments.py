@@ -82,6 +82,17 @@ def gmm_scores(spark, sf):
     return density.density_scores(d, ["user_id"], ["window_end"], "v").select("user_id", "block", r6("score").alias("score"), "low_row", "feature")
 
 
+@query()
+def gmm_score_only(spark, sf):
+    """Mixtures of each user's readings before the 16th, and the log density of the later ones under them."""
+    d = scored(spark, sf).withColumn("v", F.array("mean", F.col("window_end") % DAY / DAY))
+    border = 1_705_276_800_000_000
+    known = d.where(F.col("window_end") < border)
+    enough = known.groupBy("user_id").count().where("count >= 20").select("user_id")
+    m = density.fit_densities(known.join(enough, "user_id", "left_semi"), ["user_id"], ["window_end"], "v")
+    return density.score_only(d.where(F.col("window_end") >= border), m, ["user_id"], "v").select("user_id", "window_end", r6("score").alias("score"))
+
+
 @query()
 def kmeans_clusters(spark, sf):
     d, _ = clustering.kmeans(read(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", [4, 8], dims=8)
@@ -104,11 +115,12 @@ def hdbscan_clusters(spark, sf):
 
 @query()
 def model_predictions(spark, sf):
-    """Two trainers fitted on the embeddings, long probabilities, majority vote of both."""
+    """Three trainers fitted on four fifths of the embeddings; long probabilities of the others, majority vote of all."""
     d = read(spark, sf, "embeddings")
+    kept, asked = d.where("vec_id % 5 <> 0"), d.where("vec_id % 5 = 0")
     long = None
-    for name in ("random_forest", "logistic"):
-        p = models.train(d, "embedding", "label", name).predict(d, ["vec_id"], "embedding").withColumn("trainer", F.lit(name))
+    for name in ("random_forest", "logistic", "knn"):
+        p = models.train(kept, "embedding", "label", name).predict(asked, ["vec_id"], "embedding").withColumn("trainer", F.lit(name))
         long = p if long is None else long.unionByName(p)
     return labels.majority_vote(long, ["vec_id"], ["trainer"], "label", "prob").select("vec_id", "prediction", "votes")
 
@@ -133,3 +145,32 @@ def stream_tumble_equals_batch(spark, sf):
 
     s = spark.readStream.schema(streams.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.drain(streams.hop_windows(s, ["user_id"], "6 hours", "6 hours").drop("mean"), f"drained_{uuid.uuid4().hex}", "complete")
+
+
+@query()
+def frame_estimates(spark, sf):
+    """Poses, masks and depth of frames from the stand-in estimator, as numbers that tests can hold on to."""
+    from tideline.plans.frames import series
+
+    d = providers.estimate(series(spark, sf), ["t"], "frame", providers.Thresholds())
+    return d.select("t", F.size("joints").alias("joints"), F.aggregate(F.flatten("mask"), F.lit(0), lambda a, x: a + x).alias("mask_area"), F.array_max(F.flatten("depth")).alias("depth_max"))
+
+
+NAMES = "c AS (SELECT source AS place, lang || 'one ' || lang || 'two ' || CASE WHEN doc_id % 2 = 0 THEN 'talk' ELSE 'text' END AS name, count(*) AS n FROM documents GROUP BY 1, 2)"
+
+
+@query(f"WITH {NAMES}, m AS (SELECT place, name, first_value(name) OVER (PARTITION BY place, split_part(name, ' ', 1) ORDER BY n DESC, name) AS merged, n FROM c) SELECT place, merged, sum(n)::BIGINT AS total, count(DISTINCT name) AS names FROM m GROUP BY 1, 2")
+def merged_activities(spark, sf):
+    """Names of each place merged by the provider (two of four words shared make one half) and their counts under the merged names."""
+    i = F.when(F.col("doc_id") % 2 == 0, "talk").otherwise("text")
+    c = read(spark, sf, "documents").groupBy(F.col("source").alias("place"), F.concat_ws(" ", F.concat("lang", F.lit("one")), F.concat("lang", F.lit("two")), i).alias("name")).agg(F.count("*").alias("n"))
+    m = providers.merge_within(c, "place", "name", "n", providers.Rules(alike=0.5), 1)
+    return providers.consolidated(c, m, ["place"], "name", "n")
+
+
+@query("SELECT DISTINCT lang || ' ' || source AS label, lang || ' group' AS \"group\", lang AS reason FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def truth_label_groups(spark, sf):
+    """Truth labels (language and source) as discovered groups (one for each language)."""
+    d = read(spark, sf, "documents").where("lang is not null and source is not null")
+    groups = sorted(r["lang"] + " group" for r in d.select("lang").distinct().limit(1000).collect())
+    return providers.truth_groups(d.select(F.concat_ws(" ", "lang", "source").alias("label")), "label", groups, providers.Rules())

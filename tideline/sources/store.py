@@ -1,4 +1,4 @@
-"""Feature store, keyed caches, batch requests and responses, reports, model files."""
+"""Feature store, keyed caches, batch requests and responses, reports. Model files: models.Trained.save and load."""
 
 from __future__ import annotations
 
