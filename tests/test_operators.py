@@ -281,3 +281,44 @@ def test_densities_are_kept_as_text(spark):
     out = density.score_only(d.where("t >= 80"), m, ["k"], "v").collect()
     held = {r.k: density.DecayedMixture.from_json(r.model) for r in m.collect()}
     assert len(out) == 40 and all(abs(r.score - held[r.k].log_density(__import__("numpy").array([r.v]))[0]) < 1e-9 for r in out)
+
+
+def test_fold_carries_state_over_batches_and_null_keys(spark):
+    import pandas as pd
+
+    from tideline.operators import select, sequential, timeops
+
+    rows = [("a" if i % 3 else None, i * 7 % 100, float(i)) for i in range(100)]
+    d = spark.createDataFrame(rows, "k string, t long, v double").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.k or "", r.t) for r in select.greedy_spacing(d, ["k"], "t", 10).collect())
+        mean = {r.k: r.m for r in timeops.decayed_mean(d, ["k"], ["t"], "v", 0.5, "m").collect()}
+        n = sequential.fold(d, ["k"], ["t"], lambda s, f: ((s or 0) + len(f), f.iloc[:0]), "k string, n long", lambda k, s: pd.DataFrame({"k": [k[0]], "n": [s]})).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, means = [], {}
+    for k in (None, "a"):
+        last = None
+        for _, t, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            means[k] = v if k not in means else 0.5 * means[k] + 0.5 * v
+            if last is None or t - last > 10:
+                want.append((k or "", t))
+                last = t
+    assert got == sorted(want) and mean == means and {r.k: r.n for r in n} == {None: 34, "a": 66}
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from tideline.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(0)
+    data = {"x": rng.normal(size=999), "ties": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "wide": np.array([-1.7e308, 0.0, 1.0, 1.7e308])}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("x", None), ("x", float("nan"))], "k string, v double")
+    got = {r.k: (r.a, r.b, r.c) for r in quantiles(d, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 1.0}).collect()}
+    assert set(got) == set(data)
+    for k, vs in data.items():
+        if k != "wide":
+            assert np.allclose(got[k], np.quantile(vs, [0.25, 0.5, 1.0]), atol=1e-12)
+    assert quantiles(d.limit(0), ["k"], "v", {"a": 0.5}).count() == 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.config import Segments
 from tideline.operators.select import hash_sample
+from tideline.operators.sequential import fold, spacing
 
 
 def candidates(clusters: DataFrame, keys: list[str], cfg: Segments) -> DataFrame:
@@ -18,18 +22,27 @@ def candidates(clusters: DataFrame, keys: list[str], cfg: Segments) -> DataFrame
 
 def spaced(d: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Of each sensor's rows in order of time, those more than `gap` after the last one kept (lowest label first at equal times)."""
-    rows = d.groupBy(*keys, "sensor").agg(F.array_sort(F.collect_list(F.struct("window_end", "label", "id"))).alias("_r"))
-    kind = rows.schema["_r"].dataType.simpleString()
-    kept = F.aggregate("_r", F.array().cast(kind), lambda a, x: F.when(F.coalesce(x["window_end"] - F.try_element_at(a, F.lit(-1))["window_end"] > gap, F.lit(True)), F.array_append(a, x)).otherwise(a))
-    return rows.select(*keys, "sensor", F.inline(kept))
+    out, kinds = [*keys, "sensor", "window_end", "label", "id"], dict(d.dtypes)
+    return fold(d.select(*out), [*keys, "sensor"], ["window_end", "label", "id"], spacing("window_end", gap, out), ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
 def without_overlap(d: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """In order of sensor, then time: windows (end - size, end] that overlap none accepted before. One bounded list per participant."""
-    rows = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sensor", "window_end", "label", "id"))).alias("_r"))
-    kind = rows.schema["_r"].dataType.simpleString()
-    kept = F.aggregate("_r", F.array().cast(kind), lambda a, x: F.when(F.forall(a, lambda y: F.abs(y["window_end"] - x["window_end"]) >= size), F.array_append(a, x)).otherwise(a))
-    return rows.select(*keys, F.inline(kept))
+    """In order of sensor, then time: windows (end - size, end] that overlap none accepted before.
+
+    What is carried are a participant's accepted ends in order, so that each window is held against its two neighbours only.
+    """
+    out, kinds = [*keys, "sensor", "window_end", "label", "id"], dict(d.dtypes)
+
+    def step(ends: list[int] | None, f: pd.DataFrame) -> tuple[list[int], pd.DataFrame]:
+        ends, kept = [] if ends is None else ends, []
+        for i, x in enumerate(f["window_end"].tolist()):
+            at = bisect_left(ends, x)
+            if (at == 0 or x - ends[at - 1] >= size) and (at == len(ends) or ends[at] - x >= size):
+                ends.insert(at, x)
+                kept.append(i)
+        return ends, f[out].iloc[kept]
+
+    return fold(d.select(*out), keys, ["sensor", "window_end", "label", "id"], step, ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
 def compile_segments(clusters: DataFrame, keys: list[str], cfg: Segments = Segments(), seed: str = "42") -> DataFrame:

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.sequential import fold, spacing
+
 
 def greedy_spacing(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     """keys, t: from the earliest on, each time that lies more than `gap` after the last one kept.
 
-    The choice is sequential within a key by definition: it folds over that key's sorted distinct times.
+    The choice is sequential within a key by definition: its times are streamed in order, and only the last one kept is carried.
     """
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_set(t)).alias("_t"))
-    kept = F.aggregate("_t", F.array().cast("array<bigint>"), lambda a, x: F.when(F.coalesce(x - F.try_element_at(a, F.lit(-1)) > gap, F.lit(True)), F.array_append(a, x)).otherwise(a))
-    return times.select(*keys, F.explode(kept).alias(t))
+    kinds = dict(df.dtypes)
+    d = df.select(*keys, t).where(F.col(t).isNotNull())
+    return fold(d, keys, [t], spacing(t, gap, [*keys, t]), ", ".join(f"{c} {kinds[c]}" for c in [*keys, t]))
 
 
 def greedy_topk(df: DataFrame, keys: list[str], t: str, score: str, id_: str, k: Column | int, gap: int) -> DataFrame:
     """keys, t, score, id: in order of ascending score (then id), each that lies more than `gap` from all kept, until k are.
 
-    k is a number or a column that is constant within a key.
+    k is a number or a column that is constant within a key; what is carried are the k times kept. Null scores come first.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), F.col(id_).alias("i"), F.col(t).alias("t"))))
-    d = df.groupBy(*keys).agg(rows.alias("_r"), F.max(F.lit(k) if isinstance(k, int) else k).alias("_k"))
-    kind = dict(df.dtypes)
-    empty = F.array().cast(f"array<struct<s:{kind[score]},i:{kind[id_]},t:{kind[t]}>>")
-    kept = F.aggregate("_r", empty, lambda a, x: F.when((F.size(a) < F.col("_k")) & F.forall(a, lambda y: F.abs(y["t"] - x["t"]) > gap), F.array_append(a, x)).otherwise(a))
-    return d.select(*keys, F.explode(kept).alias("_x")).select(*keys, F.col("_x.t").alias(t), F.col("_x.s").alias(score), F.col("_x.i").alias(id_))
+    kinds = dict(df.dtypes)
+    out = [*keys, t, score, id_]
+    d = df.select(*out, (F.lit(k) if isinstance(k, int) else k).cast("long").alias("_k"))
+
+    def step(kept: list[int] | None, f: pd.DataFrame) -> tuple[list[int], pd.DataFrame]:
+        kept = [] if kept is None else kept
+        most, times = int(f["_k"].iloc[0]), f[t].to_numpy()
+        free, picked = np.ones(len(f), bool), []
+        for x in kept:
+            free &= np.abs(times - x) > gap
+        while len(kept) < most and free.any():
+            at = int(free.argmax())
+            picked.append(at)
+            kept.append(int(times[at]))
+            free[: at + 1] = False
+            free &= np.abs(times - times[at]) > gap
+        return kept, f[out].iloc[picked]
+
+    return fold(d, keys, [score, id_, t], step, ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
 def hash_sample(df: DataFrame, strata: list[str], id_: str, n: int, seed: str) -> DataFrame:

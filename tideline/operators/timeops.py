@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.sequential import fold
+
 
 def hop_ends(t: Column, size: int, slide: int, anchor: Column | None = None) -> Column:
     """Ends of the windows [end - size, end) that hold t; ends lie at anchor + size + i * slide (i >= 0 with an anchor)."""
@@ -140,10 +143,18 @@ def back_project(df: DataFrame, keys: list[str], end: str, label: str, slide: in
 
 
 def decayed_mean(df: DataFrame, keys: list[str], order: list[str], value: str, decay: float, name: str) -> DataFrame:
-    """The exponentially decayed mean after all rows of a key, in order: one fold over each key's values."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_r"))
-    fold = F.aggregate("_r", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["_v"]).otherwise(decay * a + (1 - decay) * x["_v"]))
-    return rows.select(*keys, fold.alias(name))
+    """The exponentially decayed mean after all rows of a key, in order; its rows are streamed, and only the mean is carried."""
+    kinds = dict(df.dtypes)
+
+    def step(mean: float | None, f: pd.DataFrame) -> tuple[float, pd.DataFrame]:
+        for x in f[value].tolist():
+            mean = x if mean is None else decay * mean + (1 - decay) * x
+        return mean, f.iloc[:0]
+
+    def last(key: tuple, mean: float | None) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, name: [mean]})
+
+    return fold(df.select(*keys, *order, value), keys, order, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {name} double", last)
 
 
 def frame_times(df: DataFrame, start: str, end: str, n: str) -> DataFrame:

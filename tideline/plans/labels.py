@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import cosine
-from tideline.operators import evaluate, joins, labels, neighbours, timeops
+from tideline.operators import evaluate, joins, labels, neighbours, quantiles, timeops
 from tideline.plans.registry import EV, events, query, r6, read
 
 SOFT = f"{EV}, w AS (SELECT user_id, t // 86400000000 AS day, event_type AS label, value FROM ev), m AS (SELECT user_id, day, label, max(value) AS c FROM w GROUP BY 1, 2, 3)"
@@ -158,15 +158,16 @@ def semantic_accuracy(spark, sf):
  SELECT pos, round(var_pop(v), 5) AS var, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 5) AS iqr, var_pop(v) > 1e-6 AND quantile_cont(v, 0.75) - quantile_cont(v, 0.25) > 1e-6 AS stable FROM x GROUP BY 1""")
 def stable_dimensions(spark, sf):
     x = read(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    iqr = F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))
-    return x.groupBy("pos").agg(F.round(F.var_pop("v"), 5).alias("var"), F.round(iqr, 5).alias("iqr"), ((F.var_pop("v") > 1e-6) & (iqr > 1e-6)).alias("stable"))
+    q = quantiles.quantiles(x, ["pos"], "v", {"q1": 0.25, "q3": 0.75})
+    d = x.groupBy("pos").agg(F.var_pop("v").alias("var")).join(q, "pos").withColumn("iqr", F.col("q3") - F.col("q1"))
+    return d.select("pos", F.round("var", 5).alias("var"), F.round("iqr", 5).alias("iqr"), F.expr("var > 1e-6 and iqr > 1e-6").alias("stable"))
 
 
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT pos, median(v) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS q FROM x GROUP BY 1)
  SELECT vec_id, round(sum(abs((v - m) / nullif(q, 0))), 4) AS size FROM x JOIN s ON x.pos = s.pos GROUP BY 1""")
 def robust_scale(spark, sf):
     x = read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    s = x.groupBy("pos").agg(F.percentile("v", F.lit(0.5)).alias("m"), (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("q"))
+    s = quantiles.quantiles(x, ["pos"], "v", {"m": 0.5, "q1": 0.25, "q3": 0.75}).withColumn("q", F.col("q3") - F.col("q1"))
     return x.join(s, "pos").groupBy("vec_id").agg(F.round(F.sum(F.abs((F.col("v") - F.col("m")) / F.nullif("q", F.lit(0.0)))), 4).alias("size"))
 
 

@@ -136,15 +136,24 @@ def label_embeddings(spark, sf):
     return providers.embed(read(spark, sf, "benchmark").select("item_id", "text"), "text", providers.Rules()).select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
-@query("SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 + 21600000000 AS window_end, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_tumble_equals_batch(spark, sf):
-    """A file stream drained into memory in complete mode: equal to the batch result after the last file."""
+def drained_windows(spark, sf, size):
+    """A file stream drained in complete mode: equal to the batch result after the last file."""
     import uuid
 
     from tideline.streaming import streams
 
     s = spark.readStream.schema(streams.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.drain(streams.hop_windows(s, ["user_id"], "6 hours", "6 hours").drop("mean"), f"drained_{uuid.uuid4().hex}", "complete")
+    return streams.drain(streams.hop_windows(s, ["user_id"], size, "6 hours").drop("mean"), uuid.uuid4().hex, "complete")
+
+
+@query("SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 + 21600000000 AS window_end, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumble_equals_batch(spark, sf):
+    return drained_windows(spark, sf, "6 hours")
+
+
+@query(f"""WITH {EV} SELECT user_id, e AS window_end, count(*) AS n FROM (SELECT *, unnest(generate_series((t // 21600000000 + 1) * 21600000000, (t // 21600000000 + 4) * 21600000000, 21600000000)) AS e FROM ev) GROUP BY 1, 2""")
+def stream_hop_equals_batch(spark, sf):
+    return drained_windows(spark, sf, "24 hours")
 
 
 @query()

@@ -22,7 +22,9 @@ def hop_window_stats(spark, sf):
  w AS (SELECT *, unnest(generate_series(greatest(0, (t - a) // 21600000000 - 3), (t - a) // 21600000000)) AS k FROM a)
  SELECT user_id, a + k * 21600000000 + 86400000000 AS window_end, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM w GROUP BY user_id, a, k""")
 def hop_window_anchored(spark, sf):
-    d = events(spark, sf).withColumn("a", F.min("t").over(Window.partitionBy("user_id")))
+    d = events(spark, sf)
+    # a least time for each user, which is combined before it is shuffled; readings themselves are panes before they move
+    d = d.join(d.groupBy("user_id").agg(F.min("t").alias("a")), "user_id")
     d = timeops.hop_stats(d, ["user_id"], "t", "value", DAY, 6 * HOUR, anchor="a")
     return d.select("user_id", "window_end", "n", r6("mean").alias("mean"), "low", "high")
 

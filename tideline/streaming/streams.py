@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.config import Density
 from tideline.operators.density import DecayedMixture
+from tideline.session import shared_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -74,11 +75,21 @@ def online_density(stream: DataFrame, key: str, cfg: Density = Density()) -> Dat
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", seconds: int = 300) -> DataFrame:
-    """Run a stream over what is there into a table in memory; for tests and small reports."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there into Parquet in the shared folder, and read it.
+
+    Executors write it batch by batch, so nothing is gathered on the driver. In complete mode the last batch's table stays.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/drained/{name}"
+
+    def write(batch: DataFrame, i: int) -> None:
+        # a batch that is run again writes the same place
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={i}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     try:
         if not q.awaitTermination(seconds):
             raise TimeoutError(name)
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
