@@ -2,9 +2,10 @@
 
 A softmax classifier, fitted on a bounded sample of the labelled table, gives each document posteriors of its domain. Rates
 r >= 0 (expected copies) minimise the squared error of the expected domain token totals, sum r * tokens * posterior,
-against their targets, with a pull towards 1, by projected gradient. A step needs the domain totals of the whole corpus,
-one distributed sum of as many numbers as domains; a document's rate follows from its own posteriors and the
-history of those few numbers, so nothing of a document is ever collected.
+against their targets, with a pull towards 1. At the minimum a document's rate is the projection on r >= 0 of
+1 - posterior . multipliers, with one multiplier for each domain; projected steps move the multipliers along the gradient, scaled by
+the curvature of the documents whose rates are not 0. A step needs the totals of the whole corpus, one distributed sum of as
+many numbers as pairs of domains, and nothing of a document is ever collected. What is missed is told: a target that no rates reach leaves a residual.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]+")
 #: Documented bounds of the fit: labelled documents fetched (about; never above twice that), and features kept.
 SAMPLE, FEATURES = 6000, 2000
 EPOCHS, RIDGE = 300, 1e-3
-#: Steps, pull towards rate 1, and the share of all tokens by which a domain may miss its target.
-STEPS, PULL, TOLERANCE = 40, 0.02, 1e-3
+#: Pull towards rate 1, and the share of all tokens to which the gradient of each multiplier is brought down.
+PULL, TOLERANCE = 0.02, 1e-7
+#: Steps that are looked for; if they don't reach the tolerance, fitting fails and says so.
+MOST_STEPS = 60
 #: Production weights: share of the corpus's tokens by domain (quality, toxic); domains that aren't named get none.
 WEIGHTS = {"q1_t0": 0.9, "q0_t0": 0.1}
 
@@ -114,92 +117,103 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     return fit(samples) if samples else None
 
 
-def _rates(p: np.ndarray, history: list[list[float]], pull: float, speed: float) -> np.ndarray:
-    """Rates after the steps in history: each is the error of every domain's total, over the domain's size."""
-    r = np.ones(len(p))
-    for error in history:
-        r = np.maximum(0.0, r - speed * (p @ np.asarray(error) + pull * (r - 1)))
-    return r
+def rate_of(p: str | Column, multipliers: list[float]) -> Column:
+    """The rate of a document by its posteriors."""
+    return F.greatest(F.lit(0.0), 1 - sum((F.get(p, F.lit(i)) * float(m) for i, m in enumerate(multipliers)), F.lit(0.0)))
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], domains: list[str], pull: float = PULL, steps: int = STEPS) -> tuple[list[list[float]], dict[str, float]]:
-    """(tokens, p array) -> history of steps that gives rates, and the totals reached. targets: tokens by domain."""
+def fit_rates(soft: DataFrame, targets: dict[str, float], domains: list[str], pull: float = PULL) -> tuple[list[float], dict[str, float]]:
+    """(tokens, p array) -> multipliers that give rates, and the totals reached. targets: tokens by domain."""
     k = len(domains)
     goal = np.array([targets.get(d, 0.0) for d in domains])
 
-    def sums(history: list[list[float]], square: bool = False) -> np.ndarray:
-        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                p = np.stack(f["p"].to_numpy()) if len(f) else np.zeros((0, k))
-                yield pd.DataFrame([(_rates(p, history, pull, 1.0) * f["tokens"].to_numpy()) @ p], columns=[f"s{i}" for i in range(k)])
-
-        got = soft.select("tokens", "p").mapInPandas(partial, ", ".join(f"s{i} double" for i in range(k)))
-        return np.array([x or 0.0 for x in got.agg(*[F.sum(f"s{i}") for i in range(k)]).first()])
-
-    history: list[list[float]] = []
-    at = sums(history)
-    total = max(at.sum(), 1.0)
-    size = np.maximum(at, 1e-6 * total)
-    for _ in range(steps):
-        if np.abs(at - goal).max() <= TOLERANCE * total:
-            break
-        history.append(((at - goal) / size).tolist())
-        at = sums(history)
-    return history, dict(zip(domains, at.tolist()))
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, relative: bool = False) -> DataFrame:
-    """(documents, labels) -> the documents' columns, n_tokens, domain, posterior map, rate, copies.
+    def look(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals under these multipliers, and how they bend."""
+        r = rate_of("p", multipliers.tolist())
+        d = soft.select(F.col("tokens").cast("double").alias("t"), r.alias("r"), *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k)])
+        t, live = F.col("t"), F.when(F.col("r") > 0, F.col("t"))
+        got = d.agg(*[F.sum(t * F.col("r") * F.col(f"p{i}")) for i in range(k)], *[F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(i, k)]).first()
+        got = [x or 0.0 for x in got]
+        bend, rest = np.zeros((k, k)), iter(got[k:])
+        for i in range(k):
+            for j in range(i, k):
+                bend[i, j] = bend[j, i] = next(rest)
+        return np.array(got[:k]), bend
+
+    at = np.zeros(k)
+    totals, bend = look(at)
+    start, n = totals.copy(), max(totals.sum(), 1.0)
+    size = np.maximum(start, 1e-6 * n) * pull
+    gradient = lambda m, t: t - goal - size * m
+    g = gradient(at, totals)
+    damping = 0.0
+    for _ in range(MOST_STEPS):
+        if np.abs(g).max() <= TOLERANCE * n:
+            return at.tolist(), dict(zip(domains, totals.tolist()))
+        step = np.linalg.solve(bend + np.diag(size) + damping * n * np.eye(k), g)
+        there = at + step
+        totals_there, bend_there = look(there)
+        g_there = gradient(there, totals_there)
+        # both are gradients of one concave function: a step is good while the slope along it has not turned too far
+        if np.isfinite(g_there).all() and g_there @ step >= -0.5 * (g @ step):
+            at, totals, bend, g, damping = there, totals_there, bend_there, g_there, damping / 4 if damping > 1e-6 else 0.0
+        else:
+            damping = max(4 * damping, 1e-3)
+    raise RuntimeError(f"the rates did not settle in {MOST_STEPS} steps; a domain's slope is {np.abs(g).max() / n:.2g} of all tokens")
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, relative: bool = False, pull: float = PULL) -> DataFrame:
+    """(documents, labels) -> the documents' columns, n_tokens, domain, posterior map, rate, copies, missed map.
 
     weights: each domain's share of the corpus's tokens, or with `relative` the multiple of its present expected total.
-    copies rounds the rate to a whole number by the document's hash, so that expected totals hold. Null and empty texts
-    have no tokens, and the classifier's prior as posterior. Without labelled documents every rate is 1. Repeated rows get equal
-    rates and copies. Columns named like a result are replaced; an empty table gives an empty result.
+    copies rounds the rate to a whole number by the document's hash, so that expected totals hold. missed: of each domain the expected total
+    reached less its target, as a share of all tokens, the same on every row; the classifier gives every domain some of every document, so a
+    target of 0 is missed by what the kept documents hold of it. Null and empty texts
+    have no tokens, and the classifier's prior as posterior; very long texts are scored whole. Without labelled documents every rate is 1. Repeated rows get equal
+    rates and copies. Columns named like a result are replaced, all others are kept whatever they are called; an empty table gives an empty result.
     """
     weights = WEIGHTS if weights is None else weights
     if any(not math.isfinite(w) or w < 0 for w in weights.values()):
         raise ValueError("weights must be finite and not negative")
-    own = ["n_tokens", "domain", "posterior", "rate", "copies"]
-    base = docs.drop(*own)
+    own = ["n_tokens", "domain", "posterior", "rate", "copies", "missed"]
+    kept = [c for c in docs.columns if c not in own]
     text = F.coalesce("text", F.lit(""))
     tokens = F.size(F.array_remove(F.split(text, r"\s+"), "")).cast("long")
     model = train(docs, labels)
     if model is None:
         nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-        return base.select("*", tokens.alias("n_tokens"), F.lit(None).cast("string").alias("domain"), nothing.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return docs.select(*kept, tokens.alias("n_tokens"), F.lit(None).cast("string").alias("domain"), nothing.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), nothing.alias("missed"))
     domains, shared = model.domains, [model]
 
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(shared[0].posteriors(texts.tolist())))
+    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in frames:
+            yield pd.Series(list(shared[0].posteriors(texts.tolist())))
 
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    soft = docs.select("doc_id", F.xxhash64("text").alias("_th"), tokens.alias("tokens"), F.pandas_udf(score, "array<double>")(text).alias("p"))
-    soft = cut(soft)
-    n, present = soft.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], None
+    score.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    key = F.coalesce(F.col("_d").cast("string"), F.lit(""))
+    soft = cut(docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), tokens.alias("tokens"), F.pandas_udf(score, "array<double>")(text).alias("p")))
+    present = [x or 0.0 for x in soft.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(domains))]).first()]
+    n = sum(present)
     if relative:
-        present = soft.agg(*[F.coalesce(F.sum(F.col("tokens") * F.get("p", F.lit(i))), F.lit(0.0)) for i in range(len(domains))]).first()
         targets = {d: weights.get(d, 0.0) * x for d, x in zip(domains, present)}
     else:
         whole = sum(weights.get(d, 0.0) for d in domains) or 1.0
         targets = {d: weights.get(d, 0.0) / whole * n for d in domains}
-    history, _ = fit_rates(soft, targets, domains)
-
-    def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(_rates(np.stack(p.to_numpy()), history, PULL, 1.0) if len(p) else [])
-
-    rated = soft.dropDuplicates(["doc_id", "_th"]).select(F.col("doc_id").alias("_d"), "_th", F.col("tokens").alias("n_tokens"), "p", F.pandas_udf(rate, "double")("p").alias("rate"))
-    rated = rated.withColumnRenamed("_th", "_t")
-    out = base.withColumn("_th", F.xxhash64("text")).join(rated, F.expr("doc_id <=> _d and _th = _t"))
+    multipliers, reached = fit_rates(soft, targets, domains, pull)
     names = F.array(*[F.lit(d) for d in domains])
+    missed = F.map_from_arrays(names, F.array(*[F.lit((reached[d] - targets[d]) / max(n, 1.0)) for d in domains]))
+    rated = soft.dropDuplicates(["_d", "_t"]).select("_d", "_t", F.col("tokens").alias("n_tokens"), "p", rate_of("p", multipliers).alias("rate"))
+    # a row is carried as one value, so that no name of its columns meets another
+    rows = docs.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"), F.struct(*kept).alias("_row"))
+    out = rows.join(rated, F.expr("_i <=> _d and _h = _t"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    return out.select(
-        *base.columns, "n_tokens", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), F.map_from_arrays(names, F.col("p")).alias("posterior"),
-        "rate", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"),
-    )
+    copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    domain_ = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))
+    return out.select("_row", "n_tokens", domain_.alias("domain"), F.map_from_arrays(names, F.col("p")).alias("posterior"), "rate", copies.alias("copies"), missed.alias("missed")).select("_row.*", *own)
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, nearest: bool = False) -> DataFrame:
-    """The documents, each as often as its copies say; columns as given.
+    """The documents, each as often as its copies say; columns as given, whatever their names. Nulls, empty tables and repeated rows as in mix().
 
     nearest rounds each rate to the nearest whole number instead of by hash: totals are then met as closely as
     whole documents can, and no document is dropped or doubled by chance.
