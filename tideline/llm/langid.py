@@ -28,7 +28,6 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 200, 500
 ROUNDS, SMOOTHING = 2, 0.05
 #: A character that no piece covers has this probability in every language.
 UNKNOWN = 1e-9
-LONGEST_PIECE = 16
 #: Longer words are scored alone, with rescaling; words that a worker remembers.
 ARRAY_WORD, REMEMBERED = 40, 400_000
 #: Characters of text that a worker takes apart at a time (a longer text is taken alone).
@@ -49,7 +48,7 @@ def load_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = dict.fromkeys(sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return [p for p in found if len(p) <= LONGEST_PIECE and (p.removeprefix(MARK).isalpha() or p == MARK)]
+    return [p for p in found if p.removeprefix(MARK).isalpha() or p == MARK]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -199,25 +198,33 @@ class Model:
 
 
 def _expect(words: Counter, row: dict[str, int], p: np.ndarray, longest: int) -> np.ndarray:
-    """Expected piece counts of one language's words under piece probabilities p (forward and backward)."""
+    """Expected piece counts of one language's whole words under piece probabilities p (forward and backward).
+
+    Both passes are rescaled at every position, so that words of any length keep their weight.
+    """
     counts = np.zeros(len(p))
     probs = p.tolist()
     for word, times in words.items():
-        w = MARK + word[:ARRAY_WORD]
+        w = MARK + word
         n = len(w)
         arcs = [(i, j, r) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (r := row.get(w[i:j])) is not None]
         covered = {i for i, j, _ in arcs if j == i + 1}
         arcs += [(i, i + 1, -1) for i in range(n) if i not in covered]
-        arcs.sort()
-        f, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        ending: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
         for i, j, r in arcs:
-            f[j] += f[i] * (probs[r] if r >= 0 else UNKNOWN)
-        for i, j, r in reversed(arcs):
-            b[i] += b[j] * (probs[r] if r >= 0 else UNKNOWN)
-        if f[n] > 0:
-            for i, j, r in arcs:
+            ending[j].append((i, probs[r] if r >= 0 else UNKNOWN, r))
+        # f[j] is divided by the product of scale[1..j], so that it stays 1; an arc then weighs its own part of that product
+        f, b, log = [1.0] + [0.0] * n, [0.0] * n + [1.0], [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            f[j] = sum(f[i] * x * math.exp(log[i] - log[j - 1]) for i, x, _ in ending[j])
+            log[j] = log[j - 1] + math.log(f[j])
+            f[j] = 1.0
+        for j in range(n, 0, -1):
+            for i, x, r in ending[j]:
+                share = x * math.exp(log[i] - log[j]) * b[j]
+                b[i] += share
                 if r >= 0:
-                    counts[r] += times * f[i] * probs[r] * b[j] / f[n]
+                    counts[r] += times * share
     return counts
 
 
@@ -270,8 +277,9 @@ def predict_udf(model: Model) -> Callable:
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """documents -> the kept columns, lang_pred, score; one row for each row given.
 
-    Null text, a text without letters, and every text where nothing was learned: lang_pred `und`, score 0. Ties go to
-    the language that sorts first. Repeated rows get equal results. Only text is read for a prediction.
+    Null and empty texts, texts without letters, and every text where nothing was learned: lang_pred `und`, score 0. Ties go to
+    the language that sorts first. Repeated rows get equal results. Only text is read for a prediction, so columns of any name may be there. Very
+    long texts and words are scored whole; an empty table gives an empty result.
     """
     nothing = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     p = predict_udf(model)(F.coalesce("text", F.lit(""))) if model else nothing
@@ -285,7 +293,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str | None = None) -> DataFrame:
-    """The documents whose language is found with a posterior of `least` or more; columns as given."""
+    """The documents whose language is found with a posterior of `least` or more; columns as given, whatever their names. Null and empty texts go; repeated rows stay as often as they are; an empty table gives an empty result."""
     taken = docs.select("text", F.struct(*docs.columns).alias("_row"))
     found = predict(taken, train(docs, vocabulary), "_row")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")
