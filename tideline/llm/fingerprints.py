@@ -110,10 +110,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. Null texts are empty. Rows that repeat a doc_id and text are one document and give one row; different texts of
-    one doc_id are ordered by their hash, null doc_ids come last. A single document is its own next. Extra columns are ignored.
+    one doc_id are ordered by their hash, null doc_ids come last. A single document is its own next. Extra columns are ignored, whatever their names.
+    Very long texts are hashed whole; an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = docs.select(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = texts.select("doc", "th", F.length("text").alias("n"))
     order = next_in_order(keys.distinct())
     if order.count() < docs.count():
@@ -128,6 +129,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     following = own.join(before, ["doc", "th"]).select(F.col("pdoc").alias("doc"), F.col("pth").alias("th"), F.col("lanes").alias("following"))
     all_ = edited.join(own, ["doc", "th"]).join(following, ["doc", "th"])
     return all_.select(
-        F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", _hex(F.col("lanes")).alias("fingerprint"), _hex(F.col("edited")).alias("edited_fingerprint"),
+        F.when(F.col("doc.known"), F.col("doc.id")).alias("doc_id"), "n_chars", "edited_sha256", _hex(F.col("lanes")).alias("fingerprint"), _hex(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited")).alias("near_edited"), likeness(F.col("lanes"), F.col("following")).alias("near_next"),
     )
