@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import string
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; only where it is unset (tests) take a folder of our own."""
+    """Use the cluster's shared spark.checkpoint.dir; only where it is unset and the master is local (tests) take a folder of our own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tideline-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,7 +49,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(e)
 
     def signature(d: DataFrame):
-        return tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        """The number of edges and two sums over them, which all edges enter."""
+        return tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))).first())
 
     before = signature(e)
     for _ in range(max_rounds):

@@ -67,7 +67,8 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
     """documents -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans; a row per row.
 
     Null or empty texts have no words, no labels (empty strings) and score 0. Rows that repeat a doc_id and text
-    each get the same result. Extra columns are ignored. score is the best coverage of a verified span, 1 for a base phrase.
+    each get the same result. Extra columns are ignored, whatever their names. Very long texts are scanned whole; an empty table gives an
+    empty result. Among spans of one template those that start first count. score is the best coverage of a verified span, 1 for a base phrase.
     """
     base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
     known = [(True, p.split(), label) for p, label in base.items()] + [(False, p.split(), label) for label, ps in templates.items() for p in ps]

@@ -48,7 +48,8 @@ def fill_table(names: list[str], size: int = TABLE_SIZE) -> list[int]:
 def place(docs: DataFrame, names: list[str] | None = None, size: int = TABLE_SIZE) -> DataFrame:
     """documents -> their columns, slot int and shard string; one row for each row given.
 
-    A null doc_id hashes as an empty string. Repeated rows go to one shard. Columns named slot or shard are replaced.
+    A null doc_id hashes as an empty string. Repeated rows go to one shard. A column named slot or shard is what an earlier placement left and is
+    replaced; all others are kept. Texts are not read, whatever their length; an empty table gives an empty result.
     """
     names = names or [f"shard-{i:03d}" for i in range(SHARDS)]
     spark = docs.sparkSession

@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows that repeat a doc_id and text are one document and give one row. Null and blank texts have
     fingerprint zero and link like any other; a null doc_id keeps its row and never names a component unless all its
-    members are null. Extra columns are ignored. An empty table gives an empty result.
+    members are null. Extra columns are ignored, whatever their names. A bit that is set in exactly half of the shingles is 0. Very long texts are
+    read whole; an empty table gives an empty result.
     """
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("tn"))
     d = cut(fingerprints(d, ("doc_id", "th", "tn")).select("doc_id", "th", "fp"))
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each near-duplicate group: the one whose doc_id names the component. Columns as given.
 
-    Of rows that repeat the kept doc_id one stays (the smallest by the hash of all its columns). A group with null doc_ids only keeps one row as well.
+    Of rows that repeat the kept doc_id one stays (the smallest by the hash of all its columns). A group with null doc_ids only keeps one row as well. Null and blank texts are one group; an empty table gives an empty result; columns may have any name.
     """
     kept = near_duplicates(docs, radius).select("component_id").distinct()
     row = F.struct(*docs.columns)

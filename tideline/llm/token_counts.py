@@ -157,7 +157,8 @@ def count_udf(path: str) -> Callable:
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, over: int = OVER) -> DataFrame:
     """documents -> doc_id, n_bytes, n_tokens, over_limit; one row for each row given.
 
-    Null and empty texts have no bytes and no tokens. Repeated rows each get their count. Extra columns are ignored.
+    Null and empty texts have no bytes and no tokens. Repeated rows each get their count. Extra columns are ignored, whatever their names. Very long
+    texts are counted whole; an empty table gives an empty result.
     vocabulary is a path that every executor can open (installed files); no begin, end or other tokens are added.
     """
     text = F.coalesce("text", F.lit(""))
