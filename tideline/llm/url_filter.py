@@ -38,9 +38,10 @@ def address(url: Column) -> Column:
 
 
 def canonical_address(url: Column) -> Column:
-    """Without www. and m., query, fragment, .html and a final slash."""
+    """Without www. and m., fragment, .html and a final slash; the query stays, as it may tell pages apart."""
     host, path = host_path(url)
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", "")))
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]+)", 1)
+    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", ""), query))
 
 
 def targets(tag: str, name: str) -> Column:
@@ -93,8 +94,9 @@ def edges(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """pages -> page_id, host, path, rule, verdict, propagated boolean; one row for each row given.
 
-    A url that is null or has no :// has empty host and path, no rule and is allowed. A null html declares nothing.
-    Repeated rows get equal verdicts. Extra columns are ignored; an empty table gives an empty result.
+    A url that is null or has no :// has empty host and path, no rule and is allowed. A null or empty html declares nothing; very long
+    ones are read whole, and every tag in them counts. Repeated rows get equal verdicts. Of rules of equal length block comes first. Extra columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     rules = RULES if rules is None else rules
     host, path = host_path(F.col("url"))
