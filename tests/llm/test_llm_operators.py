@@ -484,3 +484,101 @@ def test_substring_dedup_splits_hot_triggers(spark):
     for parts in (1, 4):
         got = sa_dedup.deduplicate(docs(spark, rows, parts), 60).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def duck(name, rows, columns):
+    """The registered SQL of a query on a small table."""
+    import duckdb
+    import pandas as pd
+
+    from tideline.llm.oracles import ORACLE_SQL
+
+    con = duckdb.connect()
+    table = {"op3_license_scans": "documents", "op6_url_filters": "pages"}[name]
+    con.register("given", pd.DataFrame(rows, columns=[c.split()[0] for c in columns]))
+    con.execute(f"create table {table} as select {', '.join(f'{c.split()[0]}::{c.split()[1]} as {c.split()[0]}' for c in columns)} from given")
+    r = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in r.description]
+    return {row[0]: dict(zip(names, row)) for row in r.fetchall()}
+
+
+def test_url_filter_equals_its_sql_where_pages_declare_links(spark):
+    rng = random.Random(5)
+    hosts, paths = ["x.com", "www.x.com", "example.org", "m.free.net", "free.net", "a.net"], ["/de/1", "/fr/1", "/es/2", "/view", "/view.html", "/a/b/c", "", "/a/b/"]
+    tails = ["", "?id=1", "?id=2", "#f", "?", "/"]
+    links = ["/de/1", "../../de/1", "./c", "page.html", "//x.com/fr/9", "?id=2", "#top", "", "mailto:a@b", "http://free.net/view?id=1", "https://example.org/es/2", "..", "g/../h", "/de/./1/.."]
+    tag = lambda x: rng.choice([f'<LINK rel="canonical" data-x="{"y" * rng.choice([0, 3000])}" href="{x}">', f"<meta http-equiv=refresh content='0; url={x}'>"])
+    rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(tails)}", "".join(tag(rng.choice(links)) for _ in range(rng.randrange(3)))) for i in range(150)]
+    rows += [(900, None, tag("/de/1")), (901, "no scheme", tag("/de/1")), (902, "http://only.net/view?id=1", ""), (903, "http://only.net/view?id=2", "")]
+    rows += [x for i in range(9) for x in ((300 + i, f"http://iso{i}.net/p/q", f'<link rel=canonical href="//z{i}.com/de/./{i}">'), (400 + i, f"http://z{i}.com/de/{i}", "" if i % 3 else '<meta http-equiv="refresh" content="1;url=../fr/">'), (500 + i, f"http://z{i}.com/fr/", ""))]
+    columns = ["page_id bigint", "url varchar", "html varchar"]
+    got = {r.page_id: r.asDict() for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = duck("op6_url_filters", rows, columns)
+    assert got == want and sum(r["propagated"] for r in got.values()) > 5
+
+
+def test_addresses_keep_their_query(spark):
+    canon = '<link rel="canonical" href="http://x.com/de/1">'
+    rows = [(1, "http://only.net/view?id=1", canon), (2, "http://only.net/view?id=2", ""), (3, "http://www.only.net/view?id=1#x", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block"}
+
+
+def brute_spans(text):
+    """The labels that the method gives, from its definition: template by template, over plain lists."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found, n, best = set(), 0, 0.0
+    for label, phrases in license_scan.TEMPLATES.items():
+        for phrase in phrases:
+            t = phrase.split()
+            hits = sorted((p, k) for p in range(len(words) - 1) for k in range(len(t) - 1) if words[p : p + 2] == t[k : k + 2])
+            parts, last = [], None
+            for d in sorted({p - k for p, k in hits}):
+                if last is None or d - last > license_scan.NEAR:
+                    parts.append(set())
+                parts[-1].add(d)
+                last = d
+            for part in parts:
+                here = [x for x in hits if x[0] - x[1] in part]
+                share = lambda hs: len({k for _, k in hs}) / (len(t) - 1)
+                if share(here) < license_scan.COVERAGE:
+                    continue
+                if here[-1][0] + 2 - here[0][0] <= license_scan.STRETCH * len(t):
+                    spans = [here]
+                else:
+                    spans, end = [], -1
+                    for p in sorted({p for p, _ in here}):
+                        near = [x for x in here if p <= x[0] <= p + int(license_scan.STRETCH * len(t)) - 2]
+                        if share(near) >= license_scan.COVERAGE:
+                            best = max(best, share(near))
+                            found.add(label)
+                            if p > end:
+                                spans.append(near)
+                                end = near[-1][0] + 1
+                n += len(spans)
+                if spans:
+                    found.add(label)
+                    best = max(best, *(share(s) for s in spans))
+    return found, n, best
+
+
+def test_license_spans_equal_brute_force_and_sql(spark):
+    rng = random.Random(11)
+    notices = [p for ps in license_scan.TEMPLATES.values() for p in ps]
+    def near(p):
+        w = p.split()
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [w[at], "new"], ["other"]])
+        return " ".join(w)
+    rows = [(i, rng.choice([" ", ". ", " and then some more words follow here "]).join(near(rng.choice(notices[:12] if i % 2 else notices)) for _ in range(rng.randrange(7)))) for i in range(80)]
+    rows += [(100, "All rights reserved. " * 6), (101, "CC BY, CC BY, licensed under CC BY-NC 4.0"), (102, None)]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    want = duck("op3_license_scans", rows, ["doc_id bigint", "text varchar"])
+    for i, t in rows:
+        labels, n, best = brute_spans(t)
+        base = brute_licenses(t)
+        r = got[i]
+        assert (set(filter(None, r.labels.split(","))), r.n_spans) == (labels | set(filter(None, base[4].split(","))), n), t
+        assert abs(r.score - max(best, 1.0 if base[1] else 0.0)) < 1e-12
+        assert r.asDict() == want[i], t

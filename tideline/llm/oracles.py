@@ -11,18 +11,25 @@ def license_sql() -> str:
     known = [(True, p.split(), label) for p, label in license_scan.BASE.items()] + [(False, p.split(), label) for label, ps in license_scan.TEMPLATES.items() for p in ps]
     rows = ", ".join(f"({i}, {str(b).lower()}, '{label}', {len(w)}, {j}, '{x}', '{y}')" for i, (b, w, label) in enumerate(known) for j, (x, y) in enumerate(zip(w, w[1:])))
     return rf"""
-WITH tp AS (SELECT * FROM (VALUES {rows}) AS v(t, is_base, label, t_words, tpos, ta, tb)),
+WITH RECURSIVE tp AS (SELECT * FROM (VALUES {rows}) AS v(t, is_base, label, t_words, tpos, ta, tb)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d),
-h AS (SELECT rid, t, is_base, label, t_words, tpos, i - 1 - tpos AS diagonal FROM (SELECT rid, i, w[i] AS a, w[i + 1] AS b FROM g) JOIN tp ON a = ta AND b = tb),
+h AS (SELECT rid, t, is_base, label, t_words, tpos, i - 1 AS pos, i - 1 - tpos AS diagonal FROM (SELECT rid, i, w[i] AS a, w[i + 1] AS b FROM g) JOIN tp ON a = ta AND b = tb),
 dg AS (SELECT rid, t, is_base, label, t_words, diagonal, count(DISTINCT tpos) AS votes FROM h GROUP BY rid, t, is_base, label, t_words, diagonal),
 st AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal) <= {license_scan.NEAR} THEN 0 ELSE 1 END AS starts FROM dg WHERE NOT is_base),
 pt AS (SELECT rid, t, diagonal, sum(starts) OVER (PARTITION BY rid, t ORDER BY diagonal) AS part FROM st),
-sp AS (SELECT h.rid, h.t, h.label, h.t_words, part, count(DISTINCT tpos) / any_value(h.t_words - 1) AS share, min(h.diagonal + tpos) AS f, max(h.diagonal + tpos + 1) AS l FROM h JOIN pt ON h.rid = pt.rid AND h.t = pt.t AND h.diagonal = pt.diagonal GROUP BY h.rid, h.t, h.label, h.t_words, part),
-fd AS (SELECT rid, label, diagonal AS start, 1.0::DOUBLE AS share FROM dg WHERE is_base AND votes = t_words - 1
- UNION ALL SELECT rid, label, NULL, share FROM sp WHERE share >= {license_scan.COVERAGE} AND l - f + 1 <= {license_scan.STRETCH} * t_words),
+hp AS (SELECT h.rid, h.t, h.label, h.t_words, part, tpos, pos FROM h JOIN pt ON h.rid = pt.rid AND h.t = pt.t AND h.diagonal = pt.diagonal),
+sp AS (SELECT rid, t, label, t_words, part, count(DISTINCT tpos) / any_value(t_words - 1) AS share, min(pos) AS f, max(pos) + 1 AS l FROM hp GROUP BY rid, t, label, t_words, part),
+ok AS (SELECT *, l - f + 1 <= {license_scan.STRETCH} * t_words AS short FROM sp WHERE share >= {license_scan.COVERAGE}),
+lg AS (SELECT hp.* FROM hp JOIN ok ON hp.rid = ok.rid AND hp.t = ok.t AND hp.part = ok.part AND NOT short),
+wi AS (SELECT a.rid, a.t, a.label, a.part, a.pos AS f, count(DISTINCT b.tpos) / any_value(a.t_words - 1) AS share, max(b.pos) + 1 AS l FROM (SELECT DISTINCT rid, t, label, t_words, part, pos FROM lg) a
+ JOIN lg b ON a.rid = b.rid AND a.t = b.t AND a.part = b.part AND b.pos >= a.pos AND b.pos + 2 - a.pos <= floor({license_scan.STRETCH} * a.t_words) GROUP BY 1, 2, 3, 4, 5 HAVING share >= {license_scan.COVERAGE}),
+ap AS (SELECT rid, t, part, f, l FROM (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY rid, t, part ORDER BY f) = 1)
+ UNION ALL SELECT rid, t, part, f, l FROM (SELECT wi.rid, wi.t, wi.part, wi.f, wi.l FROM ap JOIN wi ON ap.rid = wi.rid AND ap.t = wi.t AND ap.part = wi.part AND wi.f > ap.l QUALIFY row_number() OVER (PARTITION BY wi.rid, wi.t, wi.part ORDER BY wi.f) = 1)),
+fd AS (SELECT rid, label, diagonal AS start, 1.0::DOUBLE AS share, 0 AS n FROM dg WHERE is_base AND votes = t_words - 1
+ UNION ALL SELECT rid, label, NULL, share, 1 FROM ok WHERE short UNION ALL SELECT rid, label, NULL, max(share), 0 FROM wi GROUP BY rid, t, label, part UNION ALL SELECT ap.rid, ok.label, NULL, 0.0, 1 FROM ap JOIN ok ON ap.rid = ok.rid AND ap.t = ok.t AND ap.part = ok.part),
 pr AS (SELECT rid, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (start IS NOT NULL), '') AS base_labels,
- string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(*) FILTER (start IS NULL) AS n_spans FROM fd GROUP BY rid)
+ string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, sum(n)::BIGINT AS n_spans FROM fd GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(n_spans, 0) AS n_spans
 FROM d LEFT JOIN pr ON d.rid = pr.rid"""
 
@@ -36,13 +43,21 @@ def url_sql() -> str:
         return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), {LOWER}) AS {name}h, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS {name}p, regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) AS {name}q"
 
     return rf"""
-WITH RECURSIVE src AS (SELECT page_id, url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS lk,
- regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS rf FROM pages),
-pa AS (SELECT page_id, {parts("url", "u")}, {parts("lk", "l")}, {parts("rf", "r")} FROM src),
-ow AS (SELECT page_id, coalesce(uh, '') AS host, coalesce(up, '') AS path, CASE WHEN uh <> '' THEN uh || uq END AS node, CASE WHEN lh <> '' THEN lh || lq END AS l, CASE WHEN rh <> '' THEN rh || rq END AS r,
- CASE WHEN uh <> '' THEN regexp_replace(uh, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(up, '/+$', ''), '\.html?$', '') END AS c FROM pa),
+WITH RECURSIVE src AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
+ || list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)) AS links FROM pages),
+li AS (SELECT url, l, regexp_extract(url, '(?s)^(.*?)://', 1) AS sc, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS ho, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS qu,
+ regexp_extract(l, '(?s)^([^?#]*)', 1) AS way, regexp_extract(l, '(?s)^[^?#]*(.*)$', 1) AS rest FROM (SELECT url, unnest(links) AS l FROM src WHERE strpos(url, '://') > 0) WHERE l <> ''),
+fo AS (SELECT *, CASE WHEN starts_with(way, '/') THEN way WHEN pa = '' THEN '/' || way ELSE regexp_extract(pa, '(?s)^(.*/)', 1) || way END AS fu FROM li),
+se AS (SELECT *, list_reduce(list_prepend([''], list_transform(string_split(CASE WHEN regexp_matches(fu, '/\.\.?$') THEN fu || '/' ELSE fu END, '/')[2:], lambda x: [x])),
+ lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' AND len(a) > 1 THEN a[:len(a) - 1] WHEN x[1] = '..' THEN a ELSE list_concat(a, x) END) AS kept FROM fo),
+ab AS (SELECT url, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(l, '//') THEN sc || ':' || l WHEN starts_with(l, '#') THEN sc || '://' || ho || qu
+ WHEN starts_with(l, '?') THEN sc || '://' || ho || pa || l ELSE sc || '://' || ho || array_to_string(kept, '/') || rest END AS target FROM se),
+pa AS (SELECT page_id, url, {parts("url", "u")} FROM src),
+ow AS (SELECT page_id, url, coalesce(uh, '') AS host, coalesce(up, '') AS path, CASE WHEN uh <> '' THEN uh || uq END AS node,
+ CASE WHEN uh <> '' THEN regexp_replace(uh, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(up, '/+$', ''), '\.html?$', '') || CASE WHEN length(uq) > length(up) + 1 THEN substr(uq, length(up) + 1) ELSE '' END END AS c FROM pa),
 ju AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS said FROM ow),
-ed AS (SELECT node AS u, unnest([c, l, r]) AS v FROM ow WHERE node IS NOT NULL),
+ta AS (SELECT url, {parts("target", "t")} FROM ab WHERE target IS NOT NULL),
+ed AS (SELECT node AS u, c AS v FROM ow WHERE node IS NOT NULL UNION SELECT node, th || tq FROM ow JOIN ta ON ow.url = ta.url WHERE node IS NOT NULL AND th <> ''),
 bo AS (SELECT u, v FROM ed WHERE v IS NOT NULL AND u <> v UNION SELECT v, u FROM ed WHERE v IS NOT NULL AND u <> v),
 re AS (SELECT u, u AS v FROM bo UNION SELECT re.u, bo.v FROM re JOIN bo ON re.v = bo.u),
 lb AS (SELECT u AS node, min(v) AS label FROM re GROUP BY 1),
