@@ -2,7 +2,7 @@
 
 Edges join a page's address to what it redirects to (meta refresh), to its declared canonical link, and to its own
 canonical form; distributed connected components over them make aliases. A page with a rule of its own has that
-rule's verdict. Any other page is blocked if an alias is blocked by a rule and no alias is explicitly allowed: an
+rule's verdict. Addresses that pages only name are judged by the rules as well. Any other page is blocked if an alias is blocked by a rule and no alias is explicitly allowed: an
 explicit allow takes precedence; without either it is allowed.
 """
 
@@ -49,25 +49,30 @@ def targets(tag: str, name: str) -> Column:
     return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1))
 
 
+def without_dots(path: Column) -> Column:
+    """A path in which . goes, and .. takes the name before it along."""
+    parts = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/")
+    step = lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 1), F.slice(a, 1, F.size(a) - 1)).when(x == "..", a).otherwise(F.concat(a, F.array(x)))
+    return F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+
+
 def resolve(link: Column, base: Column) -> Column:
     """A link as an absolute url, by the url of the page that it stands on (RFC 3986); null for empty links and schemes without an authority."""
     scheme, host = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
     path, query = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    way, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
-    full = F.when(way.startswith("/"), way).otherwise(F.concat(folder, way))
-    # . goes, and .. takes the name before it along
-    parts = F.split(F.regexp_replace(full, r"/\.{1,2}$", "$0/"), "/")
-    step = lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 1), F.slice(a, 1, F.size(a) - 1)).when(x == "..", a).otherwise(F.concat(a, F.array(x)))
-    full = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
-    return (
+    here = F.concat(scheme, F.lit("://"), host)
+    full = (
         F.when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when((link == "") | link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("#"), F.concat(scheme, F.lit("://"), host, query))
-        .when(link.startswith("?"), F.concat(scheme, F.lit("://"), host, path, link))
-        .otherwise(F.concat(scheme, F.lit("://"), host, full, rest))
+        .when(link.startswith("#"), F.concat(here, query))
+        .when(link.startswith("?"), F.concat(here, path, link))
+        .when(link.startswith("/"), F.concat(here, link))
+        .otherwise(F.concat(here, folder, link))
     )
+    part = lambda i: F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", i)
+    return F.when(part(2).contains("/."), F.concat(part(1), without_dots(part(2)), part(3))).otherwise(full)
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -103,7 +108,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), address(F.col("url")).alias("node"))
     rows = rows.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
     labels = cut(connected_components(edges(pages)))
-    said = labels.join(rows.where("own is not null and node is not null").select("node", "own.verdict"), "node")
+    # every address has its rule, whether a page of it is at hand or not
+    at = [F.regexp_extract("node", r"(?s)^([^/?#]*)", 1), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1)]
+    said = labels.select("label", matching_rule(*at, rules)["verdict"].alias("verdict")).where("verdict is not null")
     said = said.groupBy("label").agg(F.bool_or(F.col("verdict") == "block").alias("blocked"), F.bool_or(F.col("verdict") == "allow").alias("allowed"))
     blocked = labels.join(said.where("blocked and not allowed").select("label"), "label", "left_semi").select(F.col("node").alias("_n"))
     out = rows.join(blocked, rows.node == F.col("_n"), "left")
