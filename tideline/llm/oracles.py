@@ -46,12 +46,12 @@ def url_sql() -> str:
 WITH RECURSIVE src AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
  || list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)) AS links FROM pages),
 li AS (SELECT url, l, regexp_extract(url, '(?s)^(.*?)://', 1) AS sc, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS ho, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS qu,
- regexp_extract(l, '(?s)^([^?#]*)', 1) AS way, regexp_extract(l, '(?s)^[^?#]*(.*)$', 1) AS rest FROM (SELECT url, unnest(links) AS l FROM src WHERE strpos(url, '://') > 0) WHERE l <> ''),
-fo AS (SELECT *, CASE WHEN starts_with(way, '/') THEN way WHEN pa = '' THEN '/' || way ELSE regexp_extract(pa, '(?s)^(.*/)', 1) || way END AS fu FROM li),
-se AS (SELECT *, list_reduce(list_prepend([''], list_transform(string_split(CASE WHEN regexp_matches(fu, '/\.\.?$') THEN fu || '/' ELSE fu END, '/')[2:], lambda x: [x])),
- lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' AND len(a) > 1 THEN a[:len(a) - 1] WHEN x[1] = '..' THEN a ELSE list_concat(a, x) END) AS kept FROM fo),
-ab AS (SELECT url, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(l, '//') THEN sc || ':' || l WHEN starts_with(l, '#') THEN sc || '://' || ho || qu
- WHEN starts_with(l, '?') THEN sc || '://' || ho || pa || l ELSE sc || '://' || ho || array_to_string(kept, '/') || rest END AS target FROM se),
+ regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*/|/)', 1) AS fo FROM (SELECT url, unnest(links) AS l FROM src WHERE strpos(url, '://') > 0) WHERE l <> ''),
+fu AS (SELECT url, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(l, '//') THEN sc || ':' || l WHEN starts_with(l, '#') THEN sc || '://' || ho || qu
+ WHEN starts_with(l, '?') THEN sc || '://' || ho || pa || l WHEN starts_with(l, '/') THEN sc || '://' || ho || l ELSE sc || '://' || ho || coalesce(nullif(fo, ''), '/') || l END AS fu FROM li),
+fp AS (SELECT url, fu, regexp_extract(fu, '(?s)^(.*?://[^/?#]*)', 1) AS f1, regexp_extract(fu, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS f2, regexp_extract(fu, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS f3 FROM fu WHERE fu IS NOT NULL),
+ab AS (SELECT url, CASE WHEN NOT contains(f2, '/.') THEN fu ELSE f1 || array_to_string(list_reduce(list_prepend([''], list_transform(string_split(CASE WHEN regexp_matches(f2, '/\.\.?$') THEN f2 || '/' ELSE f2 END, '/')[2:], lambda x: [x])),
+ lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' AND len(a) > 1 THEN a[:len(a) - 1] WHEN x[1] = '..' THEN a ELSE list_concat(a, x) END), '/') || f3 END AS target FROM fp),
 pa AS (SELECT page_id, url, {parts("url", "u")} FROM src),
 ow AS (SELECT page_id, url, coalesce(uh, '') AS host, coalesce(up, '') AS path, CASE WHEN uh <> '' THEN uh || uq END AS node,
  CASE WHEN uh <> '' THEN regexp_replace(uh, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(up, '/+$', ''), '\.html?$', '') || CASE WHEN length(uq) > length(up) + 1 THEN substr(uq, length(up) + 1) ELSE '' END END AS c FROM pa),
@@ -61,7 +61,8 @@ ed AS (SELECT node AS u, c AS v FROM ow WHERE node IS NOT NULL UNION SELECT node
 bo AS (SELECT u, v FROM ed WHERE v IS NOT NULL AND u <> v UNION SELECT v, u FROM ed WHERE v IS NOT NULL AND u <> v),
 re AS (SELECT u, u AS v FROM bo UNION SELECT re.u, bo.v FROM re JOIN bo ON re.v = bo.u),
 lb AS (SELECT u AS node, min(v) AS label FROM re GROUP BY 1),
-vo AS (SELECT label FROM lb JOIN ju ON lb.node = ju.node WHERE said IS NOT NULL GROUP BY 1 HAVING bool_or(said = 'block') AND NOT bool_or(said = 'allow')),
+no AS (SELECT label, regexp_extract(node, '^([^/?#]*)', 1) AS host, regexp_extract(node, '^[^/?#]*([^?#]*)', 1) AS path FROM lb),
+vo AS (SELECT label FROM (SELECT label, {case(lambda v, h, p: v)} AS said FROM no) WHERE said IS NOT NULL GROUP BY 1 HAVING bool_or(said = 'block') AND NOT bool_or(said = 'allow')),
 bl AS (SELECT node FROM lb JOIN vo ON lb.label = vo.label)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bl.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, said IS NULL AND bl.node IS NOT NULL AS propagated FROM ju LEFT JOIN bl ON ju.node = bl.node"""
 
