@@ -124,46 +124,28 @@ def occurrences(met: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def judge(places: list, slots: list, n_all: int, n_template: int, similarity: float, size: int) -> int | None:
-    """The number of slots of a pair that is consistent, over all its places or within one occurrence of each text of the item; else None."""
-    filled = {(s.ih, s.ipos, s.pos): s for s in slots or []}
-
-    def consistent(ih: int | None, met: list[tuple[int, int]]) -> set | None:
-        became = {}
+def best_occurrence(places: list, slots: list, size: int) -> tuple[list, list] | None:
+    """Of the places of one text of an item within a stretch of a document: the windows (w, raw) and slots of its largest consistent occurrence."""
+    filled = {(s.ipos, s.pos): s for s in slots or []}
+    at = {(x.ipos, x.pos): (x.w, x.raw) for x in places}
+    for _, met in sorted(((len({at[m] for m in met}), met) for met in occurrences(list(at))), key=lambda x: -x[0]):
+        became: dict[tuple, str] = {}
         for i, p in {(i + k, p + k) for i, p in met for k in range(size)}:
-            s = filled.get((ih, i, p))
+            s = filled.get((i, p))
             if s is not None and became.setdefault((s.kind, s.old), s.new) != s.new:
-                return None
-        return set(became)
-
-    by_template = {(x.ih, x.ipos + k, x.pos + k) for x in places if not x.raw for k in range(size)}
-    everywhere = defaultdict(set)
-    for at in by_template & set(filled):
-        everywhere[filled[at].kind, filled[at].old].add(filled[at].new)
-    if all(len(x) == 1 for x in everywhere.values()):
-        return len({(s.kind, s.old) for s in filled.values()})
-    texts = defaultdict(dict)
-    for x in places:
-        texts[x.ih][x.ipos, x.pos] = (x.w, x.raw)
-    held, found = set(), set()
-    for ih, at in texts.items():
-        good = [(len({at[m] for m in met}), met) for met in occurrences(list(at))]
-        for _, met in sorted(good, key=lambda x: -x[0]):
-            if (slotted := consistent(ih, met)) is not None:
-                held |= {at[m] for m in met}
-                found |= slotted
                 break
-    of_template = sum(not raw for _, raw in held)
-    return len(found) if len(held) >= similarity * n_all or (n_template and of_template >= similarity * n_template) else None
+        else:
+            return sorted({at[m] for m in met}), sorted(f"{kind} {old}" for kind, old in became)
+    return None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(documents, benchmark) -> doc_id, item_id, n_windows, n_shared, similarity, n_slots: the contaminated pairs only.
 
     n_windows, n_shared and similarity are of an item's template windows, or of all its windows where more of those are shared.
-    Null texts, and items without a token, match nothing; a text of fewer than `size` tokens is matched as a whole, as one window. Items that share an item_id
+    Null and empty texts, and items without a token, match nothing; very long texts are read whole, and their occurrences judged stretch by stretch; a text of fewer than `size` tokens is matched as a whole, as one window. Items that share an item_id
     are one item (all their windows). Rows that repeat a doc_id and text count once; a null doc_id is
-    reported as null. Extra columns are ignored; empty tables give an empty result.
+    reported as null. Extra columns are ignored, whatever their names; empty tables give an empty result.
     """
     items = benchmark.select("item_id", F.xxhash64("text").alias("ih"), canonical_tokens(F.col("text")).alias("c"), raw_tokens(F.col("text")).alias("r"))
     both = F.array(F.struct(F.lit(False).alias("inside"), F.col("c")), F.struct(F.lit(True).alias("inside"), _inside(F.col("c"), F.col("r")).alias("c")))
@@ -181,28 +163,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     hits = _windows(rows, ["doc_id", "th"], size, raw).join(_small(at_item, known.count()), "h")
     pairs = hits.groupBy("doc_id", "th", "item_id").agg(
         F.size(F.collect_set("w")).cast("long").alias("s_all"), F.size(F.collect_set(F.when(~F.col("raw"), F.col("w")))).cast("long").alias("s_template"),
-        F.collect_set(F.struct("ih", "ipos", "pos", "w", "raw")).alias("places"),
     )
     share = {k: F.struct((F.col(f"s_{k}") / F.col(f"n_{k}")).alias("similarity"), F.col(f"n_{k}").alias("n_windows"), F.col(f"s_{k}").alias("n_shared")) for k in ("all", "template")}
     pairs = pairs.join(wanted, "item_id").withColumn("best", F.greatest(share["all"], F.when(F.col("n_template") > 0, share["template"])))
-    pairs = cut(pairs.select("doc_id", "th", "item_id", "places", "slotted", "n_all", "n_template", "best.*").where(F.col("similarity") >= similarity))
+    pairs = cut(pairs.select("doc_id", "th", "item_id", "slotted", "n_all", "n_template", "best.*").where(F.col("similarity") >= similarity))
     out = ["doc_id", "item_id", "n_windows", "n_shared", "similarity"]
     plain = pairs.where("not slotted").select(*out, F.lit(0).cast("long").alias("n_slots"))
     if (short := _short(docs, items, size)) is not None:
         one = F.lit(1).cast("long")
         plain = plain.unionByName(short.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_shared"), F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("n_slots")))
 
-    # slot consistency, of the pairs whose item has placeholders
+    # slot consistency, of the pairs whose item has placeholders: only their documents are read again, place by place
     check = pairs.where("slotted")
     n = check.count()
     if not n:
         return plain.distinct()
+    pair = ["doc_id", "th", "item_id"]
     ids = check.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    held = held.join(_small(ids, n), F.expr("doc_id <=> _d and th = _t"), "left_semi").dropDuplicates(["doc_id", "th"])
-    place = check.select("doc_id", "th", "item_id", F.explode("places").alias("p")).select("doc_id", "th", "item_id", "p.*").drop("w", "raw")
-    place = place.select("doc_id", "th", "item_id", "ih", "ipos", "pos", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
-    place = place.select("doc_id", "th", "item_id", "ih", (F.col("ipos") + F.col("k")).alias("ipos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
+    held = cut(held.join(_small(ids, n), F.expr("doc_id <=> _d and th = _t"), "left_semi").dropDuplicates(["doc_id", "th"]))
+    wanted_pairs = _small(check.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("item_id").alias("_i")), n)
+    same_pair = F.expr("doc_id <=> _d and th = _t and item_id <=> _i")
+    again = held.select("doc_id", "th", canonical_tokens(F.col("text")).alias("c"), *([raw_tokens(F.col("text")).alias("r")] if raw else []))
+    met = _windows(again, ["doc_id", "th"], size, raw).select("doc_id", "th", "pos", "h").join(_small(at_item, known.count()), "h")
+    met = cut(met.join(wanted_pairs, same_pair, "left_semi").select(*pair, "ih", "ipos", "pos", "w", "raw").distinct())
+    place = met.select(*pair, "ih", "ipos", "pos", "raw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
+    place = place.groupBy(*pair, "ih", (F.col("ipos") + F.col("k")).alias("ipos"), (F.col("pos") + F.col("k")).alias("pos")).agg(F.bool_or(~F.col("raw")).alias("template"))
 
     def slot_values(d: DataFrame, keys: list[str]) -> DataFrame:
         both = F.arrays_zip(raw_tokens(F.col("text")).alias("value"), canonical_tokens(F.col("text")).alias("c"))
@@ -212,12 +198,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     mine = slot_values(held, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "_d", "th": "_t", "pos": "_p", "value": "new"}).drop("kind")
     theirs = slot_values(benchmark.select("item_id", "text", F.xxhash64("text").alias("ih")).dropDuplicates(["item_id", "ih"]), ["item_id", "ih"]).withColumnsRenamed({"item_id": "_i", "ih": "_h", "pos": "_q", "value": "old"})
     filled = place.join(theirs, F.expr("item_id <=> _i and ih = _h and ipos = _q")).join(mine, F.expr("doc_id <=> _d and th = _t and pos = _p"))
-    slots = filled.groupBy("doc_id", "th", "item_id").agg(F.collect_list(F.struct("ih", "ipos", "pos", "kind", "old", "new")).alias("slots"))
-    slots = slots.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i"})
-    judged = check.join(slots, F.expr("doc_id <=> _d and th = _t and item_id <=> _i"), "left")
-    judging = F.udf(lambda places, slots, n_all, n_template: judge(places, slots, n_all, n_template, similarity, size), "long")
-    checked = judged.withColumn("n_slots", judging("places", "slots", "n_all", "n_template")).where("n_slots is not null")
-    return plain.unionByName(checked.select(*out, "n_slots")).distinct()
+    filled = cut(filled.select(*pair, "ih", "ipos", "pos", "template", "kind", "old", "new"))
+    # what one value of the item became over all template windows of the document
+    became = filled.groupBy(*pair, "kind", "old").agg(F.min(F.when(F.col("template"), F.col("new"))).alias("low"), F.max(F.when(F.col("template"), F.col("new"))).alias("high"))
+    became = became.groupBy(*pair).agg(F.bool_and(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("one"), F.count("*").alias("n_slots"))
+    became = became.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i"})
+    judged = cut(check.join(became, same_pair, "left").drop("_d", "_t", "_i").withColumn("one", F.coalesce("one", F.lit(True))))
+    out_of_one = judged.where("one").select(*out, F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
+    several = judged.where("not one").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("item_id").alias("_i"))
+
+    # the others by occurrence: stretches of four times a text's length, every two, so that one holds any occurrence whole and none is longer than that
+    long = known.groupBy("item_id", "ih").agg((F.max("ipos") - F.min("ipos") + size).alias("span")).withColumnsRenamed({"item_id": "_j", "ih": "_jh"})
+
+    def stretches(d: DataFrame) -> DataFrame:
+        d = d.join(several, same_pair, "left_semi").join(long, F.expr("item_id <=> _j and ih = _jh"))
+        b = F.floor(F.col("pos") / (2 * F.col("span")))
+        return d.withColumn("b", F.explode(F.array(b, b - 1))).drop("_j", "_jh", "span")
+
+    stretch = [*pair, "ih", "b"]
+    places = stretches(met).groupBy(*stretch).agg(F.collect_list(F.struct("ipos", "pos", "w", "raw")).alias("places"))
+    slots = stretches(filled).groupBy(*stretch).agg(F.collect_list(F.struct("ipos", "pos", "kind", "old", "new")).alias("slots"))
+    slots = slots.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i", "ih": "_h", "b": "_b"})
+    both = places.join(slots, F.expr("doc_id <=> _d and th = _t and item_id <=> _i and ih = _h and b = _b"), "left")
+    judging = F.udf(lambda places, slots: best_occurrence(places, slots, size), "held array<struct<w: bigint, raw: boolean>>, slots array<string>")
+    best = both.select(*pair, "ih", judging("places", "slots").alias("o")).where("o is not null")
+    best = best.groupBy(*pair, "ih").agg(F.max_by("o", F.size("o.held")).alias("o")).groupBy(*pair).agg(F.array_distinct(F.flatten(F.collect_list("o.held"))).alias("held"), F.size(F.array_distinct(F.flatten(F.collect_list("o.slots")))).cast("long").alias("found"))
+    best = best.withColumnsRenamed({"doc_id": "_d", "th": "_t", "item_id": "_i"})
+    won = judged.where("not one").drop("n_slots").join(best, same_pair)
+    of_template = F.size(F.filter("held", lambda x: ~x["raw"]))
+    enough = (F.size("held") >= similarity * F.col("n_all")) | ((F.col("n_template") > 0) & (of_template >= similarity * F.col("n_template")))
+    return plain.unionByName(out_of_one).unionByName(won.where(enough).select(*out, F.col("found").alias("n_slots"))).distinct()
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
