@@ -582,3 +582,53 @@ def test_license_spans_equal_brute_force_and_sql(spark):
         assert (set(filter(None, r.labels.split(","))), r.n_spans) == (labels | set(filter(None, base[4].split(","))), n), t
         assert abs(r.score - max(best, 1.0 if base[1] else 0.0)) < 1e-12
         assert r.asDict() == want[i], t
+
+
+def brute_lanes(text):
+    """A fingerprint's lanes from their definition."""
+    import struct
+
+    lanes = [0] * (fingerprints.WIDE + fingerprints.COUNTERS + 1)
+    for paragraph in text.split("\n"):
+        digest = hashlib.sha256(paragraph.encode()).hexdigest()
+        for i in range(fingerprints.WIDE):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(digest.encode(), 42))
+            lanes[i] = (lanes[i] + (h & 0xFFFFFFFF)) % 2**32
+    for piece in re.findall(fingerprints.PIECE, text):
+        h = xxhash.xxh64_intdigest(piece.encode(), 42)
+        for b in range(fingerprints.COUNTERS):
+            lanes[fingerprints.WIDE + b] += h >> b & 1
+        lanes[-1] += 1
+    return lanes
+
+
+def test_fingerprints_equal_brute_force_and_likeness_is_near_the_truth(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts |= {1000 + i: t or "" for i, t in enumerate(t for _, t in EDGE)}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs(spark, list(texts.items()))).collect()}
+    order = sorted(texts, reverse=True)
+    errors = []
+    for k, i in enumerate(order):
+        t, nxt = texts[i], texts[order[(k + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in brute_lanes(t)) and got[i].edited_fingerprint == "".join(f"{x:08x}" for x in brute_lanes(edited))
+        a, b = Counter(re.findall(fingerprints.PIECE, t)), Counter(re.findall(fingerprints.PIECE, edited))
+        if t == edited:
+            assert got[i].near_edited == 1
+        elif min(a.total(), b.total()) >= 8:
+            exact = 2 * sum(n * b[x] for x, n in a.items()) / (sum(n * n for n in a.values()) + sum(n * n for n in b.values()))
+            errors.append(got[i].near_edited - exact)
+    assert len(errors) > 100 and abs(np.mean(errors)) < 0.05 and np.sqrt(np.mean(np.square(errors))) < 0.2
+
+
+def test_table_is_filled_by_turns():
+    names, size = ["a", "b", "c", "d"], 101
+    digest = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:16], 16)
+    wishes = {n: [(digest(f"offset:{n}") + j * (digest(f"skip:{n}") % (size - 1) + 1)) % size for j in range(size)] for n in names}
+    assert all(sorted(w) == list(range(size)) for w in wishes.values())
+    owner, turn = {}, 0
+    while len(owner) < size:
+        n = names[turn % len(names)]
+        owner[next(s for s in wishes[n] if s not in owner)] = n
+        turn += 1
+    assert [names[i] for i in sharding.fill_table(names, size)] == [owner[s] for s in range(size)]

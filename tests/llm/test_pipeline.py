@@ -19,3 +19,23 @@ def test_stages_keep_columns_and_clean_documents(spark, sf, tmp_path):
 def test_one_query_for_each_operator():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stages_on_nulls_repeats_empty_tables_and_clashing_names(spark, sf):
+    from pyspark.sql import functions as F
+
+    long = "some words of a text that goes on and on " * 2000
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "one"), (4, "one"), (None, "no id at all"), (5, long), (6, "tie tie tie tie"), (7, "tie tie tie tie")]
+    full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+    d = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    d = d.withColumns({c: F.lit(c) for c in ("th", "fp", "p", "_row", "rate", "h", "score", "found", "component_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, sf)
+        added = ["slot", "shard"] if name == "sharding" else []
+        assert out.columns == d.columns + added, name
+        got = [r.doc_id for r in out.collect()]
+        assert stage(spark, d.limit(0), sf).count() == 0, name
+        want = {"language_id": {None, 4, 5, 6, 7}, "near_dedup": {None, 1, 4, 5, 6}}.get(name, {None, 1, 2, 3, 4, 5, 6, 7})
+        assert set(got) == want, name
+        if name == "near_dedup":
+            assert len(got) == len(want)
