@@ -138,12 +138,10 @@ def label_embeddings(spark, sf):
 
 def drained_windows(spark, sf, size):
     """A file stream drained in complete mode: equal to the batch result after the last file."""
-    import uuid
-
     from tideline.streaming import streams
 
     s = spark.readStream.schema(streams.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.drain(streams.hop_windows(s, ["user_id"], size, "6 hours").drop("mean"), uuid.uuid4().hex, "complete")
+    return streams.drain(streams.hop_windows(s, ["user_id"], size, "6 hours").drop("mean"), "windows", "complete")
 
 
 @query("SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 + 21600000000 AS window_end, count(*) AS n FROM events GROUP BY 1, 2")

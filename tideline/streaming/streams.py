@@ -6,6 +6,7 @@ is dropped then. Files are replayed at a chosen pace with maxFilesPerTrigger.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,10 +78,11 @@ def online_density(stream: DataFrame, key: str, cfg: Density = Density()) -> Dat
 def drain(df: DataFrame, name: str, mode: str = "append", seconds: int = 300) -> DataFrame:
     """Run a stream over what is there into Parquet in the shared folder, and read it.
 
-    Executors write it batch by batch, so nothing is gathered on the driver. In complete mode the last batch's table stays.
+    Executors write it batch by batch, so nothing is gathered on the driver. In complete mode the last batch's table stays. Each call
+    has a place of its own, so that no earlier run's state is taken up.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/drained/{name}"
+    path = f"{shared_folder(spark)}/drained/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, i: int) -> None:
         # a batch that is run again writes the same place
