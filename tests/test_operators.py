@@ -284,8 +284,6 @@ def test_densities_are_kept_as_text(spark):
 
 
 def test_fold_carries_state_over_batches_and_null_keys(spark):
-    import pandas as pd
-
     from tideline.operators import select, sequential, timeops
 
     rows = [("a" if i % 3 else None, i * 7 % 100, float(i)) for i in range(100)]
@@ -294,7 +292,7 @@ def test_fold_carries_state_over_batches_and_null_keys(spark):
     try:
         got = sorted((r.k or "", r.t) for r in select.greedy_spacing(d, ["k"], "t", 10).collect())
         mean = {r.k: r.m for r in timeops.decayed_mean(d, ["k"], ["t"], "v", 0.5, "m").collect()}
-        n = sequential.fold(d, ["k"], ["t"], lambda s, f: ((s or 0) + len(f), f.iloc[:0]), "k string, n long", lambda k, s: pd.DataFrame({"k": [k[0]], "n": [s]})).collect()
+        n = sequential.fold(d, ["k"], ["t"], ["t"], lambda s, used: ((s or 0) + len(used[0]), []), "k string, n long", "n").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want, means = [], {}

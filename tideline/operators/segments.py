@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ def candidates(clusters: DataFrame, keys: list[str], cfg: Segments) -> DataFrame
 def spaced(d: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Of each sensor's rows in order of time, those more than `gap` after the last one kept (lowest label first at equal times)."""
     out, kinds = [*keys, "sensor", "window_end", "label", "id"], dict(d.dtypes)
-    return fold(d.select(*out), [*keys, "sensor"], ["window_end", "label", "id"], spacing("window_end", gap, out), ", ".join(f"{c} {kinds[c]}" for c in out))
+    return fold(d.select(*out), [*keys, "sensor"], ["window_end", "label", "id"], ["window_end"], spacing(gap), ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
 def without_overlap(d: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -33,16 +33,16 @@ def without_overlap(d: DataFrame, keys: list[str], size: int) -> DataFrame:
     """
     out, kinds = [*keys, "sensor", "window_end", "label", "id"], dict(d.dtypes)
 
-    def step(ends: list[int] | None, f: pd.DataFrame) -> tuple[list[int], pd.DataFrame]:
+    def step(ends: list[int] | None, used: list[np.ndarray]) -> tuple[list[int], list[int]]:
         ends, kept = [] if ends is None else ends, []
-        for i, x in enumerate(f["window_end"].tolist()):
+        for i, x in enumerate(used[0].tolist()):
             at = bisect_left(ends, x)
             if (at == 0 or x - ends[at - 1] >= size) and (at == len(ends) or ends[at] - x >= size):
                 ends.insert(at, x)
                 kept.append(i)
-        return ends, f[out].iloc[kept]
+        return ends, kept
 
-    return fold(d.select(*out), keys, ["sensor", "window_end", "label", "id"], step, ", ".join(f"{c} {kinds[c]}" for c in out))
+    return fold(d.select(*out), keys, ["sensor", "window_end", "label", "id"], ["window_end"], step, ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
 def compile_segments(clusters: DataFrame, keys: list[str], cfg: Segments = Segments(), seed: str = "42") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ def greedy_spacing(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFram
     """
     kinds = dict(df.dtypes)
     d = df.select(*keys, t).where(F.col(t).isNotNull())
-    return fold(d, keys, [t], spacing(t, gap, [*keys, t]), ", ".join(f"{c} {kinds[c]}" for c in [*keys, t]))
+    return fold(d, keys, [t], [t], spacing(gap), ", ".join(f"{c} {kinds[c]}" for c in [*keys, t]))
 
 
 def greedy_topk(df: DataFrame, keys: list[str], t: str, score: str, id_: str, k: Column | int, gap: int) -> DataFrame:
@@ -29,10 +28,12 @@ def greedy_topk(df: DataFrame, keys: list[str], t: str, score: str, id_: str, k:
     out = [*keys, t, score, id_]
     d = df.select(*out, (F.lit(k) if isinstance(k, int) else k).cast("long").alias("_k"))
 
-    def step(kept: list[int] | None, f: pd.DataFrame) -> tuple[list[int], pd.DataFrame]:
+    def step(kept: list[int] | None, used: list[np.ndarray]) -> tuple[list[int], list[int]]:
         kept = [] if kept is None else kept
-        most, times = int(f["_k"].iloc[0]), f[t].to_numpy()
-        free, picked = np.ones(len(f), bool), []
+        times, most, picked = used[0], int(used[1][0]), []
+        if len(kept) >= most:
+            return kept, picked
+        free = np.ones(len(times), bool)
         for x in kept:
             free &= np.abs(times - x) > gap
         while len(kept) < most and free.any():
@@ -41,9 +42,9 @@ def greedy_topk(df: DataFrame, keys: list[str], t: str, score: str, id_: str, k:
             kept.append(int(times[at]))
             free[: at + 1] = False
             free &= np.abs(times - times[at]) > gap
-        return kept, f[out].iloc[picked]
+        return kept, picked
 
-    return fold(d, keys, [score, id_, t], step, ", ".join(f"{c} {kinds[c]}" for c in out))
+    return fold(d, keys, [score, id_, t], [t, "_k"], step, ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
 def hash_sample(df: DataFrame, strata: list[str], id_: str, n: int, seed: str) -> DataFrame:

@@ -17,11 +17,13 @@ def _same_key(a: tuple | None, b: tuple) -> bool:
     return a is not None and all(x == y or (x is None and y is None) or (x != x and y != y) for x, y in zip(a, b))
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]], schema: str, last: Callable[[tuple, Any], pd.DataFrame] | None = None) -> DataFrame:
-    """Runs step(state, rows) -> (state, rows out) over each key's rows in order; the state of a new key is None.
+def fold(df: DataFrame, keys: list[str], order: list[str], use: list[str], step: Callable[[Any, list[np.ndarray]], tuple[Any, list[int]]], schema: str, last: str | None = None) -> DataFrame:
+    """Runs step(state, the used columns) -> (state, places of the rows kept) over each key's rows in order; the state of a new key is None.
 
-    last(key, state) gives the rows at the end of a key. Null keys are a key of their own.
+    The kept rows come back with the columns of the schema; or, with last, one row for each key that holds its last state
+    under that name. Null keys are a key of their own.
     """
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
@@ -31,32 +33,37 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any,
             k = f[keys]
             new = (k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()
             new[0] = True
-            bounds = np.append(np.flatnonzero(new), len(f))
+            bounds = [*np.flatnonzero(new).tolist(), len(f)]
+            names, used = [f[c].to_numpy() for c in keys], [f[c].to_numpy() for c in use]
+            kept, ended = [], []
             for a, b in zip(bounds, bounds[1:]):
-                now = tuple(k.iloc[a])
+                now = tuple(x[a] for x in names)
                 if not _same_key(key, now):
-                    if last is not None and key is not None:
-                        yield last(key, state)
+                    if key is not None:
+                        ended.append((*key, state))
                     key, state = now, None
-                state, out = step(state, f.iloc[a:b])
-                if len(out):
-                    yield out
+                state, at = step(state, [x[a:b] for x in used])
+                kept += [a + i for i in at]
+            if last is not None:
+                yield pd.DataFrame(ended, columns=[*keys, last])
+            else:
+                yield f[columns].iloc[kept]
         if last is not None and key is not None:
-            yield last(key, state)
+            yield pd.DataFrame([(*key, state)], columns=[*keys, last])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def spacing(t: str, gap: int, columns: list[str]) -> Callable:
-    """A step that keeps, from the first row on, each that lies more than `gap` after the last one kept."""
+def spacing(gap: int) -> Callable:
+    """A step over times that keeps, from the first row on, each that lies more than `gap` after the last one kept."""
 
-    def step(last: int | None, f: pd.DataFrame) -> tuple[int, pd.DataFrame]:
-        times, kept, at = f[t].to_numpy(), [], 0
+    def step(last: int | None, used: list[np.ndarray]) -> tuple[int, list[int]]:
+        times, kept, at = used[0], [], 0
         while True:
             if last is not None:
                 at = int(np.searchsorted(times, last + gap, "right"))
             if at >= len(times):
-                return last, f[columns].iloc[kept]
+                return last, kept
             kept.append(at)
             last = int(times[at])
 

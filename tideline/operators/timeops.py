@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,15 +146,12 @@ def decayed_mean(df: DataFrame, keys: list[str], order: list[str], value: str, d
     """The exponentially decayed mean after all rows of a key, in order; its rows are streamed, and only the mean is carried."""
     kinds = dict(df.dtypes)
 
-    def step(mean: float | None, f: pd.DataFrame) -> tuple[float, pd.DataFrame]:
-        for x in f[value].tolist():
+    def step(mean: float | None, used: list[np.ndarray]) -> tuple[float, list[int]]:
+        for x in used[0].tolist():
             mean = x if mean is None else decay * mean + (1 - decay) * x
-        return mean, f.iloc[:0]
+        return mean, []
 
-    def last(key: tuple, mean: float | None) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, name: [mean]})
-
-    return fold(df.select(*keys, *order, value), keys, order, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {name} double", last)
+    return fold(df.select(*keys, *order, value), keys, order, [value], step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {name} double", name)
 
 
 def frame_times(df: DataFrame, start: str, end: str, n: str) -> DataFrame:
