@@ -329,12 +329,54 @@ def test_simhash(spark, sf):
     got = simhash.near_duplicates(docs(spark, rows)).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", find(i)) for i in fps}
     assert len(got) == len(fps)
-    kept = simhash.keep_representatives(docs(spark, rows))
+    kept = simhash.keep_representatives(docs(spark, rows), size=3, seeds=1, radius=3, narrow=3)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in fps}) and kept.columns == docs(spark, rows).columns
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert {r.component_id for r in simhash.near_duplicates(docs(spark, [(None, "a"), (None, "b c d e")])).collect()} == {None}
 
 
+def test_wide_simhash(spark):
+    """The kept documents are those of brute force; of pairs that share 0.8 of their five-word shingles nine in ten meet, others stay."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(2000)]
+    rows, pairs = [(9001, ""), (9002, None), (9003, "one"), (9004, "one two"), (9005, "x " * 5000)], []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(90, 600))
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 55)):
+            other[at] = rng.choice(vocabulary)
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+
+    def wide(text, seed):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        s = [" ".join(w[i : i + 2]) for i in range(len(w) - 1)] if len(w) > 1 else w
+        key = xxhash.xxh64(seed.to_bytes(4, "little"), seed=42).intdigest() if seed else 42
+        h = [xxhash.xxh64(x.encode(), seed=key).intdigest() for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = {i: [wide(t, s) for s in range(simhash.SEEDS)] for i, t in rows}
+    root = {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(fps):
+        for j in sorted(fps):
+            d = [(a ^ b).bit_count() for a, b in zip(fps[i], fps[j])]
+            if i < j and min(d) <= simhash.NARROW and sum(d) <= simhash.WIDE:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = {r.doc_id for r in simhash.keep_representatives(docs(spark, rows)).collect()}
+    assert kept == {find(i) for i in fps}
+    assert len(pairs) > 40 and sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs)
+    assert {2 * i for i in range(60)} | {9001, 9003, 9004, 9005} <= kept
+
+
 @pytest.mark.parametrize("n", [2, 10, 24, 25, 400])
 def test_bk_shards_lose_no_component(n):
     rng = np.random.default_rng(n)
@@ -359,8 +401,8 @@ def test_bk_shards_lose_no_component(n):
         return [find(i) for i in range(len(v))]
 
     all_pairs = [(a, b) for i, a in enumerate(v.tolist()) for b in v.tolist()[:i] if (a ^ b).bit_count() <= 3]
-    u, w = simhash.shard_links(v, 3)
-    assert groups(zip(u.tolist(), w.tolist())) == groups(all_pairs) and len(u) < len(v)
+    u, w = simhash.shard_links(v[:, None], 3)
+    assert groups(zip(v[u].tolist(), v[w].tolist())) == groups(all_pairs) and len(u) < len(v)
 
 
 def test_every_close_pair_shares_a_shard():

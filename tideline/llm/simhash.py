@@ -9,6 +9,12 @@ the parent) that is searched with radius r, following only edges whose key is wi
 Shards are shipped to the tasks that search them by the shuffle and not as broadcast variables: together they
 grow with the corpus. The number of blocks follows the number of fingerprints, so that a shard of unrelated
 fingerprints stays small at any size; the result is exact for every choice.
+
+Removal (`keep_representatives`) has to catch texts that share 0.8 of their five-word shingles. One changed word of 45
+brings such texts to about 7 differing bits of 64 in three-word features, where routing by blocks no longer prunes.
+So a text has a wide fingerprint there: `SEEDS` hashes of its two-word features give as many fingerprints side by side.
+Two texts link if some one of them differs in at most `NARROW` bits, by which they are routed, and all of them
+together in at most `WIDE` bits, which their shard's tree tells.
 """
 
 from __future__ import annotations
@@ -24,6 +30,11 @@ from pyspark.sql import functions as F
 from tideline.llm.common import ascii_lower, connected_components, cut, pieces
 
 RADIUS = 3
+#: The fingerprints of a wide one, the bits by which one of them may differ, and all of them together. Of 320 bits,
+#: texts that share 0.8 of their five-word shingles differ in about 31, unrelated ones in about 160.
+SEEDS = 5
+NARROW = 4
+WIDE = 40
 SPACE = r"[\x20\x09-\x0D]"
 #: Runs up to this size are handled in plain Python, larger ones by array operations.
 SMALL = 24
@@ -32,24 +43,30 @@ CHUNK = 1024
 LOW = 0x0000000100000001
 
 
-def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys..., text) -> (keys..., n_shingles, fp long). Null or blank text: fp 0. Rows with equal keys are one document."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), size: int = 3, seeds: int = 1) -> DataFrame:
+    """(keys..., text) -> (keys..., seed, fp long), a row for each seed; seed 0 is XXH64's own of 42.
+
+    Null or blank text: fp 0. Rows with equal keys are one document.
+    """
     words = pieces(ascii_lower(F.coalesce("text", F.lit(""))), SPACE)
     d = docs.select(*keys, words.alias("w"))
     n = F.size("w")
-    three = F.arrays_zip(F.slice("w", 1, n - 2).alias("a"), F.slice("w", 2, n - 2).alias("b"), F.slice("w", 3, n - 2).alias("c"))
-    short = F.array(F.struct(F.array_join("w", " ").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c")))
-    d = d.select(*keys, F.inline_outer(F.when(n >= 3, three).when(n > 0, short)))
-    d = d.select(*keys, F.when(F.col("a").isNotNull(), F.xxhash64(F.concat_ws(" ", "a", "b", "c"))).alias("h"))
+    parts = [f"p{i}" for i in range(size)]
+    runs = F.arrays_zip(*[F.slice("w", i + 1, n - size + 1).alias(p) for i, p in enumerate(parts)])
+    short = F.array(F.struct(F.array_join("w", " ").alias("p0"), *[F.lit(None).cast("string").alias(p) for p in parts[1:]]))
+    d = d.select(*keys, F.inline_outer(F.when(n >= size, runs).when(n > 0, short)))
+    d = d.select(*keys, F.when(F.col("p0").isNotNull(), F.concat_ws(" ", *parts)).alias("s"))
+    hashes = [F.struct(F.lit(i).alias("seed"), F.when(F.col("s").isNotNull(), F.xxhash64(*([F.lit(i)] if i else []), "s")).alias("h")) for i in range(seeds)]
+    d = d.select(*keys, F.inline(F.array(*hashes)))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LOW))).alias(f"s{j}") for j in range(32)]
-    g = d.groupBy(*keys).agg(F.count("h").alias("n_shingles"), *sums)
+    g = d.groupBy(*keys, "seed").agg(F.count("h").alias("n_shingles"), *sums)
     bits = F.lit(0).cast("long")
     for j in range(32):
         low, high = F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{j}", 32)
         for count, bit in ((low, j), (high, j + 32)):
             one = F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")
             bits = bits.bitwiseOR(F.when(2 * count > F.col("n_shingles"), one).otherwise(F.lit(0).cast("long")))
-    return g.select(*keys, "n_shingles", bits.alias("fp"))
+    return g.select(*keys, "seed", bits.alias("fp"))
 
 
 def block_choices(n: int, radius: int = RADIUS, room: int = 16) -> list[int]:
@@ -64,19 +81,25 @@ def block_choices(n: int, radius: int = RADIUS, room: int = 16) -> list[int]:
         blocks += 1
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, each a row of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct 64-bit values, built and searched level by level over arrays."""
+    """A BK-tree over distinct fingerprints (rows of 64-bit words), built and searched level by level over arrays."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.child = np.full((len(values), 65), -1, np.int32)
+        self.most = 64 * values.shape[1]
+        self.child = np.full((len(values), self.most + 1), -1, np.int32)
         level = [(0, np.arange(1, len(values)))]
         while level:
             following = []
             for node, below in level:
                 if not len(below):
                     continue
-                d = np.bitwise_count(values[below] ^ values[node])
+                d = distance(values[below], values[node])
                 order = np.argsort(d, kind="stable")
                 below, d = below[order], d[order]
                 starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
@@ -89,13 +112,13 @@ class BKTree:
         """Yields (positions in queries, node numbers) of values within the radius."""
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            d = distance(queries[q], self.values[node])
             near = d <= radius
             yield q[near], node[near]
             qs, nodes = [], []
             for off in range(-radius, radius + 1):
                 at = d + off
-                ok = (at >= 1) & (at <= 64)
+                ok = (at >= 1) & (at <= self.most)
                 c = self.child[node[ok], at[ok]]
                 qs.append(q[ok][c >= 0])
                 nodes.append(c[c >= 0].astype(np.int64))
@@ -114,10 +137,15 @@ def _settle(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def shard_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct values: no link between components is lost, no clique is emitted."""
+def shard_links(values: np.ndarray, radius: int, part: int = 0, narrow: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of a spanning forest of the links among distinct fingerprints: within the radius, and word `part` within `narrow`.
+
+    No link between components is lost, no clique is emitted.
+    """
+    narrow = radius if narrow is None else narrow
     if len(values) <= SMALL:
-        v = values.tolist()
+        v = [int.from_bytes(row.tobytes(), "little") for row in values]
+        word = ((1 << 64) - 1) << (64 * part)
         children: list[dict[int, int]] = [{} for _ in v]
         root = list(range(len(v)))
 
@@ -131,8 +159,9 @@ def shard_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
             todo = [0]
             while todo:
                 node = todo.pop()
-                d = (v[x] ^ v[node]).bit_count()
-                if d <= radius and (a := find(node)) != (b := find(x)):
+                differ = v[x] ^ v[node]
+                d = differ.bit_count()
+                if d <= radius and (differ & word).bit_count() <= narrow and (a := find(node)) != (b := find(x)):
                     root[max(a, b)] = min(a, b)
                     ends.append((x, node))
                 todo += [c for k, c in children[node].items() if d - radius <= k <= d + radius]
@@ -141,39 +170,42 @@ def shard_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
                 node = nxt
             children[node][d] = x
         e = np.array(ends, np.int64).reshape(-1, 2)
-        return values[e[:, 0]], values[e[:, 1]]
+        return e[:, 0], e[:, 1]
     tree, root = BKTree(values), np.arange(len(values))
     for start in range(0, len(values), CHUNK):
         for q, node in tree.search(values[start : start + CHUNK], radius):
-            root = _settle(root, q + start, node)
+            q = q + start
+            near = np.bitwise_count(values[q, part] ^ values[node, part]) <= narrow
+            root = _settle(root, q[near], node[near])
     away = np.flatnonzero(root != np.arange(len(values)))
-    return values[away], values[root[away]]
+    return away, root[away]
 
 
-def _search_shards(radius: int):
+def _search_shards(radius: int, narrow: int, shards_of_part: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
-        def emit(t, k, fp, last):
+        def emit(t, k, fps, last):
             """Links of all finished runs, and what is left of the run that may go on."""
             cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-            bounds = np.r_[0, cuts, len(fp)]
+            bounds = np.r_[0, cuts, len(t)]
             stop = len(bounds) - 1 if last else len(bounds) - 2
             sizes = np.diff(bounds)
-            us, vs = [], []
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i in np.flatnonzero(sizes[:stop] > 1):
-                u, v = shard_links(fp[bounds[i] : bounds[i + 1]].view(np.uint64), radius)
-                us.append(u)
-                vs.append(v)
-            rest = None if last else (t[bounds[stop] :], k[bounds[stop] :], fp[bounds[stop] :])
-            u, v = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (us, vs))
-            return pd.DataFrame({"u": u, "v": v}), rest
+                u, v = shard_links(fps[bounds[i] : bounds[i + 1]], radius, int(t[bounds[i]]) // shards_of_part, narrow)
+                us.append(u + bounds[i])
+                vs.append(v + bounds[i])
+            rest = None if last else (t[bounds[stop] :], k[bounds[stop] :], fps[bounds[stop] :])
+            u, v = (fps[np.concatenate(x)].view(np.int64) for x in (us, vs))
+            return pd.DataFrame({"u": u.tolist(), "v": v.tolist()}, dtype=object), rest
 
         for f in frames:
-            now = tuple(f[c].to_numpy() for c in ("t", "k", "fp"))
+            fps = f.drop(columns=["t", "k"]).to_numpy(np.int64).view(np.uint64)
+            now = f["t"].to_numpy(), f["k"].to_numpy(), np.ascontiguousarray(fps)
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now))
-            if len(now[2]):
+            if len(now[0]):
                 out, held = emit(*now, last=False)
                 yield out
         if held is not None:
@@ -182,12 +214,39 @@ def _search_shards(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fps (fp long) -> edges (u, v): in every shard a spanning forest of the pairs within the radius."""
-    masks = block_choices(fps.count(), radius)
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks)])
-    routed = fps.select("fp", F.inline(keys)).repartition("t", "k").sortWithinPartitions("t", "k")
-    return routed.select("t", "k", "fp").mapInPandas(_search_shards(radius), "u long, v long")
+def links(fps: DataFrame, radius: int = RADIUS, narrow: int | None = None, words: int = 1) -> DataFrame:
+    """Distinct fps (fp array<long> of so many words) -> edges (u, v): in every shard a spanning forest of the pairs that link.
+
+    A pair links if it differs in at most `radius` bits, at most `narrow` (else: radius) of them in some one word.
+    """
+    narrow = radius if narrow is None else narrow
+    masks = block_choices(fps.count(), narrow)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = [
+        F.struct(F.lit(w * len(masks) + i).alias("t"), F.col("fp")[w].bitwiseAND(F.lit(m)).alias("k"))
+        for w in range(words) for i, m in enumerate(signed)
+    ]
+    rows = fps.select(*[F.col("fp")[w].alias(f"f{w}") for w in range(words)], F.inline(F.array(*keys)))
+    routed = rows.repartition("t", "k").sortWithinPartitions("t", "k")
+    return routed.mapInPandas(_search_shards(radius, narrow, len(masks)), "u array<long>, v array<long>")
+
+
+def _components(docs: DataFrame, size: int, words: int, radius: int, narrow: int | None) -> DataFrame:
+    """documents -> (doc_id, fp array<long>, component_id), one row per distinct doc_id and text."""
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("tn"))
+    keys = ("doc_id", "th", "tn")
+    d = fingerprints(d, keys, size, words)
+    if words > 1:
+        each = [F.max(F.when(F.col("seed") == w, F.col("fp"))) for w in range(words)]
+        d = d.groupBy(*keys).agg(F.array(*each).alias("fp"))
+    else:
+        d = d.select(*keys, F.array("fp").alias("fp"))
+    d = cut(d.select("doc_id", "th", "fp"))
+    nodes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    labels = connected_components(links(nodes.select("fp"), radius, narrow, words))
+    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    groups = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return d.join(named.join(groups, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -198,22 +257,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     members are null. Extra columns are ignored, whatever their names. A bit that is set in exactly half of the shingles is 0. Very long texts are
     read whole; an empty table gives an empty result.
     """
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("tn"))
-    d = cut(fingerprints(d, ("doc_id", "th", "tn")).select("doc_id", "th", "fp"))
-    nodes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = connected_components(links(nodes.select("fp"), radius))
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    groups = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(groups, "label").select("fp", "component_id")
-    return d.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    d = _components(docs, 3, 1, radius, None)
+    return d.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group: the one whose doc_id names the component. Columns as given.
+def keep_representatives(docs: DataFrame, size: int = 2, seeds: int = SEEDS, radius: int = WIDE, narrow: int = NARROW) -> DataFrame:
+    """One document of each group of near-duplicates by wide fingerprints: the one whose doc_id names the component. Columns as given.
 
     Of rows that repeat the kept doc_id one stays (the smallest by the hash of all its columns). A group with null doc_ids only keeps one row as well. Null and blank texts are one group; an empty table gives an empty result; columns may have any name.
     """
-    kept = near_duplicates(docs, radius).select("component_id").distinct()
+    kept = _components(docs, size, seeds, radius, narrow).select("component_id").distinct()
     row = F.struct(*docs.columns)
     taken = docs.select("doc_id", row.alias("_row"))
     rows = taken.join(kept, taken.doc_id.eqNullSafe(kept.component_id), "left_semi")
