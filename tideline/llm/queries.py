@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontam, fingerprints, langid, license_scan, mixing, sa_dedup, sharding, simhash, token_counts, url_filter
+from tideline.llm import decontam, fingerprints, hamerly, langid, license_scan, minhash, mixing, sa_dedup, sharding, simhash, spelling, token_counts, url_filter
 from tideline.llm.common import table
 from tideline.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -48,10 +48,23 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return sa_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_token_counts, op3_license_scans, op4_mixing, op5_decontamination,
         op6_url_filters, op7_simhash_near_dedup, op8_language_id, op9_sharding, op10_suffix_array_dedup,
+        op11_spelling_variants, op12_centroid_clustering, op13_minhash_near_dedup,
     )
 }
