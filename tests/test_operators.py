@@ -30,6 +30,19 @@ def test_hop_windows_edges(spark):
         timeops.hop_stats(d, ["k"], "t", "v", 10, 3)
 
 
+def test_hop_windows_of_values_far_from_zero(spark):
+    rng = np.random.default_rng(3)
+    for offset, spread in ((1e9, 1.0), (1.7e15, 4.0), (-1e12, 0.5), (0.0, 1e-9)):
+        v = offset + spread * rng.integers(0, 3, 400).astype(float)
+        v[100:110] = offset + 7 * spread
+        d = spark.createDataFrame([(1, t, float(x)) for t, x in enumerate(v)] + [(2, 3, None)], "k int, t bigint, v double")
+        got = {r.window_end: r for r in timeops.hop_stats(d.where("k = 1"), ["k"], "t", "v", 20, 5).collect()}
+        for end, r in got.items():
+            part = v[max(0, end - 20) : end]
+            assert r.n == len(part) and abs(r.sd - (part - offset).std()) <= 1e-6 * spread + 4e-16 * abs(offset)
+        assert {(r.n, r.mean, r.sd) for r in timeops.hop_stats(d.where("k = 2"), ["k"], "t", "v", 20, 5).collect()} == {(0, None, None)}
+
+
 def test_intervals_touch_and_nest(spark):
     d = spark.createDataFrame([(1, 0, 10), (1, 10, 12), (1, 3, 5), (1, 20, 21), (1, 20, 25)], "k int, s bigint, e bigint")
     assert rows(timeops.merge_intervals(d, ["k"], "s", "e").select("s", "e", "n")) == [(0, 12, 3), (20, 25, 2)]

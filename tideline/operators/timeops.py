@@ -37,18 +37,30 @@ def hop_stats(df: DataFrame, keys: list[str], t: str, value: str, size: int, sli
     also = [anchor] if anchor else []
     v = F.col(value)
     panes = df.groupBy(*keys, *also, F.floor(base / slide).alias("pane")).agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("low"), F.max(v).alias("high")
+        F.count(v).alias("n"), F.sum(v).alias("s"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("low"), F.max(v).alias("high")
     )
     per = size // slide
     first = F.greatest(F.col("pane") - (per - 1), F.lit(0).cast("long")) if anchor else F.col("pane") - (per - 1)
     copies = panes.withColumn("k", F.explode(F.sequence(first, F.col("pane"))))
     start = F.col("k") * slide + (F.col(anchor) if anchor else F.lit(0))
+    # a window's few panes (size / slide at most), whose second moments are merged about their own means: sums of squares would cancel
+    part = F.when(F.col("n") > 0, F.struct(F.col("pane"), F.col("n").cast("double").alias("n"), (F.col("s") / F.col("n")).alias("mean"), F.col("m2")))
     out = copies.groupBy(*keys, (start + size).cast("long").alias("window_end")).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("total"), F.sum("q").alias("q"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.sum("n").alias("n"), F.sum("s").alias("total"), F.array_sort(F.collect_list(part)).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    mean = F.col("total") / F.col("n")
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
-    return out.select(*keys, "window_end", "n", mean.alias("mean"), sd.alias("sd"), "low", "high", "total")
+    sd = F.when(F.col("n") > 0, F.sqrt(merged_moment("parts") / F.col("n")))
+    return out.select(*keys, "window_end", "n", (F.col("total") / F.nullif("n", F.lit(0))).alias("mean"), sd.alias("sd"), "low", "high", "total")
+
+
+def merged_moment(parts: str) -> Column:
+    """Array of (n, mean, m2) -> the sum of squared deviations of all their rows about the common mean (Chan, Golub and LeVeque)."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def merge(a: Column, x: Column) -> Column:
+        n, far = a["n"] + x["n"], x["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + far * x["n"] / n).alias("mean"), (a["m2"] + x["m2"] + far * far * a["n"] * x["n"] / n).alias("m2"))
+
+    return F.aggregate(parts, zero, merge, lambda a: a["m2"])
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
