@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet: for wide rows, which a checkpoint would hold uncompressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text of ASCII alone takes the byte-wise path."""
     slow = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -38,6 +46,17 @@ def pieces(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(text, separators + "+"), "")
 
 
+def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text hash (xxhash64) are in kept (doc_id, th); of rows that repeat both, the smallest by the hash of all columns."""
+    taken = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*docs.columns).alias("_row"))
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    rows = taken.join(kept, F.expr("doc_id <=> _d and th = _t"), "left_semi")
+    repeats = docs.groupBy("doc_id", F.xxhash64("text").alias("th")).count().where("count > 1").head() is not None
+    if repeats:
+        rows = rows.groupBy("doc_id", "th").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return rows.select("_row.*")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (u, v) of any one orderable type -> (node, label): label is the smallest node of the component.
 

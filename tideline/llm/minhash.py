@@ -8,11 +8,10 @@ BINS independent minima would.
 Links are searched among distinct sets (nodes), so that exact copies cost one node. BANDS bands of ROWS bins give each node
 its buckets. No bucket makes all its pairs:
 
-1. every member is held against the bucket's first node (a star);
-2. components are formed; a bucket whose members are all in one is settled, and pairs within a component are never made;
-3. while what is left is more than the buckets' own rows, each open bucket takes one new node of its largest component and one
-   of the others, holds both against the members outside their components, and components are formed again;
-4. what is then still open is made exact: the members outside a bucket's largest component against those of other components.
+1. every member is held against the bucket's first node (a star), and components are formed;
+2. a bucket whose members are all in one component is settled, as pairs within a component say nothing new;
+3. nodes of the other buckets meet nodes of other components by their rarest shingles (rare_pairs), which loses no pair: a text with
+   too many shingles of its own for any link makes none, however large the bucket.
 
 Pairs whose sketches say less than FLOOR (six standard deviations below the similarity) are dropped; the others are
 confirmed on the full sets of shingles, as words, read from the texts themselves. A pair at the similarity shares a bucket but for
@@ -26,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tideline.llm.common import connected_components, cut
+from tideline.llm.common import connected_components, cut, one_row_each, stored
 
 #: Words of a shingle, and the similarity of linked sets in hundredths.
 SHINGLE, PERCENT = 4, 80
@@ -38,8 +37,6 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: Share of equal bins below which a pair can't have the similarity: six standard deviations of BINS bins.
 FLOOR = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / BINS) ** 0.5
-#: Star rounds before what is left of the buckets is made exact; results don't depend on it.
-STAR_ROUNDS = 6
 #: Words hashed, and bytes of text split, at a time.
 CHUNK_WORDS, CHUNK_BYTES = 1 << 20, 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -161,16 +158,19 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def shared_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each of the nodes (node, k1, k2), in the shared folder: the only time that texts are shuffled by their hash."""
+    # copies of one text meet in their own task first, so that none is sent twice by it
+    one = _keyed(docs).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    return stored(nodes.join(one, ["k1", "k2"]).select("node", "text"))
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Distinct candidate pairs (u, v) of nodes -> those that the full sets of their texts confirm."""
     about = nodes.select("node", "n", "sketch")
     p = pairs.join(about.toDF("u", "nu", "a"), "u").join(about.toDF("v", "nv", "b"), "v")
     p = p.where(F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")).select("u", "v", "a", "b")
     p = cut(p.mapInArrow(_alike, "u long, v long"))
-    needed = p.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "k1", "k2"), "node")
-    # copies of one text meet in their own task first, so that no text is sent twice by it
-    one = _keyed(docs).groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    texts = needed.join(one, ["k1", "k2"]).select("node", "text")
     full = p.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
     return cut(full.mapInArrow(_confirm(size, percent), "u long, v long"))
 
@@ -180,6 +180,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
 
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1)):
+                h = shingle_hashes(text.as_py().encode(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node.as_py())), pa.array(h.view(np.int64))], names=["node", "h"])
+
+    return run
+
+
+def rare_pairs(named: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label) -> pairs (u, v) of other labels that can have the similarity, found by their rarest shingles.
+
+    With the shingles of all sets in one order, rarest first, two sets of the similarity have their first common shingle among the first
+    n - percent / 100 * n + 1 of both, and enough shingles from there on. A text whose own edits are too many for any link
+    has a prefix of shingles that nobody shares, and makes no pair.
+    """
+    shingled = texts.join(named, "node", "left_semi").select("node", "text").mapInArrow(_shingle_rows(size), "node long, h long")
+    shingled = cut(shingled)
+    shared = shingled.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    known = shingled.join(shared, "h").join(nodes.select("node", "n"), "node")
+    mine = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "h"))
+    known = known.withColumn("at", place).where(F.lit(100) * (F.col("n") - F.col("at") + 1) >= F.lit(percent) * F.col("n"))
+    known = cut(known.join(named, "node").select("h", "node", "label", "n", "at"))
+    largest = known.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = known.join(largest.select("h", F.col("top.label").alias("main")), "h")
+    few = open_.where("label <> main").select("h", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("at").alias("au"))
+    all_ = open_.select("h", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    fit = F.lit(100 + percent) * F.least(F.col("nu") - F.col("au") + 1, F.col("nv") - F.col("av") + 1) >= F.lit(percent) * (F.col("nu") + F.col("nv"))
+    pairs = few.join(all_, "h").where((F.col("lu") != F.col("lv")) & fit)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """nodes -> (node, label) of the nodes that have links; label is the smallest node of the component."""
     w = 2 * ROWS
@@ -187,44 +221,19 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) ->
     members = nodes.select("node", F.explode(keys).alias("key"))
     first = members.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("c")).where("c > 1")
     starred = cut(members.join(first, "key").select("key", "node", "u", "c"))
+    texts = shared_texts(docs, starred.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"))
     tested = starred.where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    labels = connected_components(near_links(docs, nodes, tested, size, percent))
-    open_ = starred.where("c > 2").select("key", "node")
-    for k in range(STAR_ROUNDS + 1):
-        named = open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("all")).where("parts > 1")
-        open_ = cut(named.join(largest, "key").select("key", "node", "label", (F.col("label") == F.col("top.label")).alias("main"), "all"))
-        left = open_.agg(F.coalesce(F.sum(F.when(~F.col("main"), F.col("all"))), F.lit(0)).alias("pairs"), F.count("*").alias("rows")).first()
-        if not left.pairs:
-            return labels
-        last = k == STAR_ROUNDS or left.pairs <= 4 * left.rows
-        others = open_.select("key", F.col("node").alias("v"), F.col("label").alias("lv"))
-        if last:
-            turn = open_.where("not main").select("key", F.col("node").alias("u"), F.col("label").alias("lu"))
-        else:
-            by = F.xxhash64("node", "key", F.lit(k))
-            turn = open_.groupBy("key", "main").agg(F.min(F.struct(by.alias("h"), "node", "label")).alias("x")).select("key", F.col("x.node").alias("u"), F.col("x.label").alias("lu"))
-        pairs = turn.join(others, "key").where("lu <> lv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        found = near_links(docs, nodes, pairs, size, percent)
-        open_ = open_.select("key", "node")
-        if found.head() is not None:
-            labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
-        if last:
-            return labels
-    return labels
+    labels = connected_components(near_links(nodes, texts, tested, size, percent))
+    named = starred.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    settled = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    named = cut(named.join(settled, "key").select("node", "label").distinct())
+    pairs = rare_pairs(named, nodes, texts, size, percent).join(tested, ["u", "v"], "left_anti")
+    found = near_links(nodes, texts, pairs, size, percent)
+    return connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """documents -> doc_id, n_shingles, component_id, kept; one row a row.
-
-    Null, empty and blank texts have no shingle, link with nothing and are their own component. Rows that repeat a doc_id
-    or a text each get a row; equal sets are linked. A null doc_id keeps its row and names a component only if all its members are
-    null. kept is doc_id = component_id (true where both are null), so rows that repeat the kept doc_id are all kept. Very long texts are read whole; extra columns are ignored,
-    whatever their names; an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, k1, k2, n, s1, s2; sets: s1, s2, n, label, component): label names the component, component is its smallest doc_id."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = _keyed(docs).select("doc_id", "k1", "k2", "text").mapInArrow(_sketch_batches(size), f"doc_id {id_type}, k1 long, k2 long, n long, s1 long, s2 long, sketch binary")
     rows = cut(rows)
@@ -233,7 +242,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     labels = linked_nodes(docs, nodes, size, percent)
     named = nodes.select("node", "s1", "s2", "n", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    named = named.join(groups, "label").select("s1", "s2", "n", "component")
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    return rows.drop("sketch"), named.join(groups, "label").select("s1", "s2", "n", "label", "component")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """documents -> doc_id, n_shingles, component_id, kept; one row a row.
+
+    Null, empty and blank texts have no shingle, link with nothing and are their own component. Rows that repeat a doc_id
+    or a text each get a row; equal sets are linked. A null doc_id keeps its row and names a component only if all its members are
+    null. kept is doc_id = component_id (true where both are null), so rows that repeat the kept doc_id are all kept. Very long texts are read whole; extra columns are ignored,
+    whatever their names; an empty table gives an empty result.
+    """
+    rows, sets = _grouped(docs, size, percent)
+    out = rows.join(sets, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One document of each group: of the texts under its smallest doc_id the one of the smallest hash. Columns as given.
+
+    Texts without a word are in no group and all stay. Documents are told apart by doc_id and text; a null doc_id is kept only where all of
+    a group are null; of rows that repeat the kept doc_id and text one stays. An empty table gives an empty result; columns may have any name.
+    """
+    rows, sets = _grouped(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("k1").alias("th"))).alias("x")
+    kept = rows.where("n > 0").join(sets, ["s1", "s2", "n"]).groupBy("label").agg(first).select("x.doc_id", "x.th")
+    return one_row_each(docs, kept.unionByName(rows.where("n = 0").select("doc_id", F.col("k1").alias("th")).distinct()))
