@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontam, langid, mixing, sharding, simhash
-from tideline.llm.common import ensure_checkpoint_dir, table
+from tideline.llm import decontam, langid, minhash, mixing, sharding, simhash
+from tideline.llm.common import ensure_checkpoint_dir, stored, table
 
 #: Multiples of a domain's present expected tokens: clean text stays as it is, toxic text goes.
 MIX = {"q0_t0": 1.0, "q1_t0": 1.0, "q0_t1": 0.0, "q1_t1": 0.0}
@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near-duplicates: by SimHash, and of what that leaves by sketches of five-word shingles (0.8 or more)."""
+    return minhash.keep_representatives(stored(simhash.keep_representatives(docs)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,30 @@ def test_stages_on_nulls_repeats_empty_tables_and_clashing_names(spark, sf):
         assert set(got) == want, name
         if name == "near_dedup":
             assert len(got) == len(want)
+
+
+def test_other_texts_under_a_repeated_or_null_id_stay(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first().text
+    words = ["stone river lamp cloud paper", "green valley bread honey market", "iron winter boat candle forest", "silver garden horse letter window"]
+    clean = [" ".join(f"{w}{k}" for k in range(12) for w in x.split()) for x in words]
+    rows = [(5, clean[0]), (5, clean[1]), (None, clean[2]), (None, clean[3]), (5, item), (None, "before it " + item), (5, clean[0]), (4, clean[0] + " end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted((tuple(r) for r in stages["decontamination"](spark, d, sf).collect()), key=str)
+    assert got == sorted((r for r in rows if item not in r[1]), key=str)
+    got = sorted((tuple(r) for r in stages["near_dedup"](spark, d, sf).collect()), key=str)
+    # the two that hold the item are near copies, and so are the first and the last
+    assert got == sorted((r for r in set(rows) if r != (5, clean[0]) and r != rows[5]), key=str)
+
+
+def test_near_copies_go_and_one_of_each_group_stays(spark, sf):
+    base = [[f"{c}{k}" for k in range(80)] for c in "abcdefgh"]
+    rows = []
+    for i, words in enumerate(base):
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):
+            edited = list(words)
+            edited[9 * j + i] = "changed"
+            rows.append((10 * i + j, " ".join(edited)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, d, sf).collect()) == [10 * i for i in range(8)]

@@ -71,7 +71,7 @@ def _inside(c: Column, r: Column) -> Column:
 
 
 def _short(docs: DataFrame, items: DataFrame, size: int) -> DataFrame | None:
-    """doc_id, item_id of the items of under `size` tokens that a document holds as a whole; None without such items."""
+    """doc_id, th, item_id of the items of under `size` tokens that a document holds as a whole; None without such items."""
     items = items.where(F.size("r").between(1, size - 1))
     known = cut(items.select("item_id", F.size("r").alias("n"), F.xxhash64(*[F.lower(F.get("r", F.lit(k))) for k in range(size - 1)]).alias("h")).distinct())
     lengths = [x.n for x in known.select("n").distinct().collect()]
@@ -80,9 +80,9 @@ def _short(docs: DataFrame, items: DataFrame, size: int) -> DataFrame | None:
     zipped = F.arrays_zip(*[F.slice("r", k + 1, F.greatest(F.size("r") - k, F.lit(0))).alias(f"w{k}") for k in range(size - 1)])
     each = [F.lower(f"w.w{k}") for k in range(size - 1)]
     spans = [F.when(each[n - 1].isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*each[:n]).alias("h"))) for n in lengths]
-    d = docs.select("doc_id", raw_tokens(F.col("text")).alias("r")).select("doc_id", F.explode(zipped).alias("w"))
-    d = d.select("doc_id", F.explode(F.array(*spans)).alias("s")).where("s is not null").select("doc_id", "s.n", "s.h")
-    return d.join(_small(known, known.count()), ["n", "h"]).select("doc_id", "item_id").distinct()
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), raw_tokens(F.col("text")).alias("r")).select("doc_id", "th", F.explode(zipped).alias("w"))
+    d = d.select("doc_id", "th", F.explode(F.array(*spans)).alias("s")).where("s is not null").select("doc_id", "th", "s.n", "s.h")
+    return d.join(_small(known, known.count()), ["n", "h"]).select("doc_id", "th", "item_id").distinct()
 
 
 def _small(d: DataFrame, n: int) -> DataFrame:
@@ -147,6 +147,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     are one item (all their windows). Rows that repeat a doc_id and text count once; a null doc_id is
     reported as null. Extra columns are ignored, whatever their names; empty tables give an empty result.
     """
+    return _contaminated(docs, benchmark, size, similarity).drop("th").distinct()
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The contaminated pairs with th, the hash of the document's text."""
     items = benchmark.select("item_id", F.xxhash64("text").alias("ih"), canonical_tokens(F.col("text")).alias("c"), raw_tokens(F.col("text")).alias("r"))
     both = F.array(F.struct(F.lit(False).alias("inside"), F.col("c")), F.struct(F.lit(True).alias("inside"), _inside(F.col("c"), F.col("r")).alias("c")))
     known = _windows(items.select("item_id", "ih", "r", F.explode(both).alias("b")).select("item_id", "ih", "r", "b.*"), ["item_id", "ih", "inside"], size, True)
@@ -167,11 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
     share = {k: F.struct((F.col(f"s_{k}") / F.col(f"n_{k}")).alias("similarity"), F.col(f"n_{k}").alias("n_windows"), F.col(f"s_{k}").alias("n_shared")) for k in ("all", "template")}
     pairs = pairs.join(wanted, "item_id").withColumn("best", F.greatest(share["all"], F.when(F.col("n_template") > 0, share["template"])))
     pairs = cut(pairs.select("doc_id", "th", "item_id", "slotted", "n_all", "n_template", "best.*").where(F.col("similarity") >= similarity))
-    out = ["doc_id", "item_id", "n_windows", "n_shared", "similarity"]
+    out = ["doc_id", "th", "item_id", "n_windows", "n_shared", "similarity"]
     plain = pairs.where("not slotted").select(*out, F.lit(0).cast("long").alias("n_slots"))
     if (short := _short(docs, items, size)) is not None:
         one = F.lit(1).cast("long")
-        plain = plain.unionByName(short.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_shared"), F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("n_slots")))
+        plain = plain.unionByName(short.select("doc_id", "th", "item_id", one.alias("n_windows"), one.alias("n_shared"), F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("n_slots")))
 
     # slot consistency, of the pairs whose item has placeholders: only their documents are read again, place by place
     check = pairs.where("slotted")
@@ -231,6 +236,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, simi
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; columns as given."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found["_found"]), "left_anti")
+    """The documents that hold no benchmark item; columns as given.
+
+    Documents are told apart by doc_id and text: another text under the doc_id of a contaminated one stays, and so do other texts
+    with a null doc_id. Rows that repeat a contaminated doc_id and text go together. Null and empty texts stay; very long texts are searched
+    whole; without items nothing goes; an empty table gives an empty result; columns may have any name.
+    """
+    found = _contaminated(docs, benchmark, WINDOW, SIMILARITY).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    taken = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*docs.columns).alias("_row"))
+    return taken.join(found, F.expr("doc_id <=> _d and th = _t"), "left_anti").select("_row.*")

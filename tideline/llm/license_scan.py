@@ -95,12 +95,13 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
         F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"),
         F.min(F.col("diagonal") + F.array_min("seen")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("seen") + 1).alias("last"),
-        F.flatten(F.collect_list(F.transform("seen", lambda x: F.struct((F.col("diagonal") + x).alias("pos"), x.alias("tpos"))))).alias("hits"),
+        # sorted once here: an expression inside the lambda below would be evaluated again at every hit
+        F.array_sort(F.flatten(F.collect_list(F.transform("seen", lambda x: F.struct((F.col("diagonal") + x).alias("pos"), x.alias("tpos")))))).alias("hits"),
     )
     span = span.withColumn("share", F.col("votes") / (F.col("t_words") - 1)).where(F.col("share") >= COVERAGE)
     short = F.col("last") - F.col("first") + 1 <= STRETCH * F.col("t_words")
     whole = F.array(F.struct(F.col("first"), F.col("share"), F.col("last")))
-    span = span.withColumn("spans", F.when(short, whole).otherwise(spans_within(F.array_sort("hits"), F.col("t_words"), repeats))).where("size(spans) > 0")
+    span = span.withColumn("spans", F.when(short, whole).otherwise(spans_within(F.col("hits"), F.col("t_words"), repeats))).where("size(spans) > 0")
     span = span.withColumn("n", apart(F.col("spans"))).withColumn("share", F.array_max(F.transform("spans", lambda x: x["share"])))
     exact = diagonals.where("is_base and size(seen) = t_words - 1")
     found = exact.select(*key, "label", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("share"), F.lit(0).alias("n")).unionByName(

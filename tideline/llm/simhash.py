@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, connected_components, cut, pieces
+from tideline.llm.common import ascii_lower, connected_components, cut, one_row_each, pieces
 
 RADIUS = 3
 SPACE = r"[\x20\x09-\x0D]"
@@ -190,6 +190,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return routed.select("t", "k", "fp").mapInPandas(_search_shards(radius), "u long, v long")
 
 
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """documents -> (doc_id, th, fp, label, component_id), one row for each pair of doc_id and text; label is the component's own name."""
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("tn"))
+    d = cut(fingerprints(d, ("doc_id", "th", "tn")).select("doc_id", "th", "fp"))
+    nodes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    labels = connected_components(links(nodes.select("fp"), radius))
+    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    groups = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return d.join(named.join(groups, "label").select("fp", "label", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """documents -> (doc_id, fingerprint, component_id), one row per document.
 
@@ -198,25 +209,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     members are null. Extra columns are ignored, whatever their names. A bit that is set in exactly half of the shingles is 0. Very long texts are
     read whole; an empty table gives an empty result.
     """
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("tn"))
-    d = cut(fingerprints(d, ("doc_id", "th", "tn")).select("doc_id", "th", "fp"))
-    nodes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = connected_components(links(nodes.select("fp"), radius))
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    groups = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(groups, "label").select("fp", "component_id")
-    return d.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group: the one whose doc_id names the component. Columns as given.
+    """One document of each near-duplicate group: of the texts under its smallest doc_id the one of the smallest hash. Columns as given.
 
-    Of rows that repeat the kept doc_id one stays (the smallest by the hash of all its columns). A group with null doc_ids only keeps one row as well. Null and blank texts are one group; an empty table gives an empty result; columns may have any name.
+    Documents are told apart by doc_id and text, so another text under the same or a null doc_id is kept or goes by its own group;
+    a null doc_id is kept only where all of a group are null. Of rows that repeat the kept doc_id and text one stays (the smallest by the hash of all its columns). Null
+    and blank texts are one group; an empty table gives an empty result; columns may have any name.
     """
-    kept = near_duplicates(docs, radius).select("component_id").distinct()
-    row = F.struct(*docs.columns)
-    taken = docs.select("doc_id", row.alias("_row"))
-    rows = taken.join(kept, taken.doc_id.eqNullSafe(kept.component_id), "left_semi")
-    if docs.select("doc_id").distinct().count() < docs.count():
-        rows = rows.groupBy("doc_id").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
-    return rows.select("_row.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x")
+    kept = _grouped(docs, radius).groupBy("label").agg(first).select("x.doc_id", "x.th")
+    return one_row_each(docs, kept)
