@@ -10,8 +10,8 @@ its buckets. No bucket makes all its pairs:
 
 1. every member is held against the bucket's first node (a star), and components are formed;
 2. a bucket whose members are all in one component is settled, as pairs within a component say nothing new;
-3. nodes of the other buckets meet nodes of other components by their rarest shingles (rare_pairs), which loses no pair: a text with
-   too many shingles of its own for any link makes none, however large the bucket.
+3. nodes of the other buckets meet nodes of other components by their rarest shingles, first one node a shingle (a star again), then
+   all (rare_pairs), which loses no pair: a text with too many shingles of its own for any link makes none, however large the bucket.
 
 Pairs whose sketches say less than FLOOR (six standard deviations below the similarity) are dropped; the others are
 confirmed on the full sets of shingles, as words, read from the texts themselves. A pair at the similarity shares a bucket but for
@@ -190,28 +190,37 @@ def _shingle_rows(size: int):
     return run
 
 
-def rare_pairs(named: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, label) -> pairs (u, v) of other labels that can have the similarity, found by their rarest shingles.
+def rare_shingles(open_: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node) -> (h, node, n, at): each set's shingles up to place n - percent / 100 * n + 1, in an order of all shingles, rarest first.
 
-    With the shingles of all sets in one order, rarest first, two sets of the similarity have their first common shingle among the first
-    n - percent / 100 * n + 1 of both, and enough shingles from there on. A text whose own edits are too many for any link
-    has a prefix of shingles that nobody shares, and makes no pair.
+    Two sets of the similarity have their first common shingle among these of both, and enough shingles from there on. A text whose own edits
+    are too many for any link has nothing here but shingles that nobody shares, which are left out.
     """
-    shingled = texts.join(named, "node", "left_semi").select("node", "text").mapInArrow(_shingle_rows(size), "node long, h long")
-    shingled = cut(shingled)
+    shingled = cut(texts.join(open_, "node", "left_semi").select("node", "text").mapInArrow(_shingle_rows(size), "node long, h long"))
     shared = shingled.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     known = shingled.join(shared, "h").join(nodes.select("node", "n"), "node")
     mine = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "h"))
     known = known.withColumn("at", place).where(F.lit(100) * (F.col("n") - F.col("at") + 1) >= F.lit(percent) * F.col("n"))
-    known = cut(known.join(named, "node").select("h", "node", "label", "n", "at"))
-    largest = known.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = known.join(largest.select("h", F.col("top.label").alias("main")), "h")
-    few = open_.where("label <> main").select("h", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("at").alias("au"))
-    all_ = open_.select("h", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    return cut(known.select("h", "node", "n", "at"))
+
+
+def rare_pairs(known: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that share a rare shingle and can have the similarity.
+
+    At each shingle the nodes outside its largest component meet the others; with star only the one node of that component which has most of its set to come.
+    """
+    d = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = d.groupBy("h", "label").agg(F.count("*").alias("c"), F.min(F.struct("at", "node", "n")).alias("x"))
+    largest = groups.groupBy("h").agg(F.max(F.struct("c", "label", "x")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top")
+    few = d.join(largest, "h").where(F.col("label") != F.col("top.label")).select("h", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("at").alias("au"), "top")
+    if star:
+        pairs = few.select("u", "lu", "nu", "au", F.col("top.x.node").alias("v"), F.col("top.label").alias("lv"), F.col("top.x.n").alias("nv"), F.col("top.x.at").alias("av"))
+    else:
+        other = d.select("h", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+        pairs = few.drop("top").join(other, "h")
     fit = F.lit(100 + percent) * F.least(F.col("nu") - F.col("au") + 1, F.col("nv") - F.col("av") + 1) >= F.lit(percent) * (F.col("nu") + F.col("nv"))
-    pairs = few.join(all_, "h").where((F.col("lu") != F.col("lv")) & fit)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.where((F.col("lu") != F.col("lv")) & fit).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,10 +235,13 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) ->
     labels = connected_components(near_links(nodes, texts, tested, size, percent))
     named = starred.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     settled = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    named = cut(named.join(settled, "key").select("node", "label").distinct())
-    pairs = rare_pairs(named, nodes, texts, size, percent).join(tested, ["u", "v"], "left_anti")
-    found = near_links(nodes, texts, pairs, size, percent)
-    return connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    known = rare_shingles(named.join(settled, "key").select("node").distinct(), nodes, texts, size, percent)
+    for star in (True, False):
+        pairs = cut(rare_pairs(known, labels, percent, star).join(tested, ["u", "v"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        found = near_links(nodes, texts, pairs, size, percent)
+        labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    return labels
 
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
