@@ -163,36 +163,12 @@ def test_density_and_clusters(spark):
     s = density.score_series(x)
     assert list(s.block) == list(range(1, 10)) and s.loc[s.score.idxmin(), "block"] == 5
     assert len(density.score_series(x[:15])) == 0
-    blobs = np.vstack([rng.normal(c, 0.1, (20, 2)) for c in (0, 5)] + [rng.uniform(-20, 20, (5, 2))])
-    label, sure = clustering.hdbscan(blobs)
-    assert len(set(label[:20])) == 1 and len(set(label[20:40])) == 1 and label[0] != label[20] and label[0] >= 0 and ((sure >= 0) & (sure <= 1)).all()
-    assert (clustering.hdbscan(blobs[:6])[0] == -1).all()
-    lam = clustering.yeo_johnson_lambda(np.expm1(rng.normal(1, 0.3, 4000)))
-    assert abs(lam) < 0.15 and clustering.yeo_johnson_lambda(np.ones(5)) == 1.0
-    assert np.allclose(clustering.yeo_johnson(np.array([-2.0, 0.0, 3.0]), 1.0), [-2, 0, 3])
-    wide = np.hstack([blobs[:40], rng.normal(size=(40, 1)) * 1e-9, blobs[:40] * 2])
-    label, _, best = clustering.hdbscan_search(wide)
-    assert len(set(label[label >= 0])) >= 2 and best["dims"] == 8
-    new, sure = clustering.assign(blobs[:40], np.repeat([0, 1], 20), np.array([[0.0, 0.0], [5.0, 5.0], [99.0, 99.0]]))
-    assert list(new) == [0, 1, -1] and sure[2] == 0
     sim = np.array([[1, 0.9, 0.1, 0.1], [0.9, 1, 0.1, 0.1], [0.1, 0.1, 1, 0.8], [0.1, 0.1, 0.8, 1]])
     for method in ("average", "ward", "single"):
         assert list(clustering.linkage(sim, method, k=2)) == [0, 0, 1, 1]
     assert list(clustering.linkage(sim, least=0.85)) == [0, 0, 1, 2]
 
 
-def test_hdbscan_query_searches_whole_vectors(spark, sf):
-    from tideline.plans.catalog import QUERIES
-
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").orderBy("vec_id").collect()
-    got = {r.vec_id: r.label for r in QUERIES["hdbscan_clusters"](spark, sf).collect()}
-    assert len(got) == len(rows)
-    for name in {r.label for r in rows}:
-        own = [r for r in rows if r.label == name]
-        want = clustering.hdbscan_search(np.array([r.embedding for r in own], dtype=float))[0]
-        assert [got[r.vec_id] for r in own] == list(want)
-
-
 def test_segments(spark):
     d = spark.createDataFrame([(1, "a", t, 1, 0.95, t) for t in (0, 3, 10)] + [(1, "b", 11, 2, 0.95, 100), (1, "b", 30, 2, 0.95, 101), (1, "b", 50, -1, 0.99, 102), (1, "b", 70, 3, 0.99, 103)], "k int, sensor string, window_end bigint, label int, confidence double, id bigint")
     from tideline.config import Segments

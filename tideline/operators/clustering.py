@@ -1,9 +1,8 @@
-"""Clustering: composite quality, k-means with a choice of k, density clustering and linkage of small groups."""
+"""Clustering: composite quality, k-means with a choice of k, and linkage of small groups. Density clusters are in density_tree."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,203 +92,6 @@ def kmeans(df: DataFrame, vector: str, ks: list[int], seed: int = 42, dims: int
         d.unpersist()
 
 
-def _core_distances(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    sq = (x * x).sum(axis=1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0))
-    return d, np.partition(d, min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)]
-
-
-def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (-1 noise) and membership strengths of one group of points: mutual reachability, minimum spanning tree,
-    condensed tree, excess of mass. Distances are computed row by row and not held, so memory grows with the points alone."""
-    n = len(x)
-    if n < 2 * min_cluster_size:
-        return np.full(n, -1), np.zeros(n)
-    sq, k = (x * x).sum(axis=1), min(min_samples, n - 1)
-
-    def distances(rows) -> np.ndarray:
-        return np.sqrt(np.maximum(sq[rows, None] + sq[None, :] - 2 * x[rows] @ x.T, 0))
-
-    step = max(1, 4_000_000 // n)
-    core = np.concatenate([np.partition(distances(np.arange(i, min(i + step, n))), k, axis=1)[:, k].copy() for i in range(0, n, step)])
-    seen, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        seen[at] = True
-        reach = np.maximum(np.maximum(distances([at])[0], core[at]), core)
-        closer = reach < best
-        link[closer], best = at, np.minimum(best, reach)
-        at = int(np.argmin(np.where(seen, np.inf, best)))
-        edges.append((best[at], int(link[at]), at))
-    edges.sort()
-    parent, node, size, kids, height = list(range(n)), list(range(n)), {i: 1 for i in range(n)}, {}, {}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for w, a, b in edges:
-        ra, rb = find(a), find(b)
-        new = n + len(kids)
-        kids[new], height[new], size[new] = (node[ra], node[rb]), w, size[node[ra]] + size[node[rb]]
-        parent[rb] = ra
-        node[ra] = new
-    root = n + len(kids) - 1
-
-    def leaves(i: int) -> list[int]:
-        out, todo = [], [i]
-        while todo:
-            j = todo.pop()
-            if j < n:
-                out.append(j)
-            else:
-                todo += kids[j]
-        return out
-
-    # condensed tree: cluster -> points that fall out with their lambda, and clusters that split off
-    born, points, below, todo = {root: 0.0}, {root: []}, {root: []}, [(root, root)]
-    while todo:
-        i, c = todo.pop()
-        lam = 1 / max(height[i], 1e-12)
-        big = [k for k in kids[i] if size[k] >= min_cluster_size]
-        for k in kids[i]:
-            if len(big) == 2:
-                born[k], points[k], below[k] = lam, [], []
-                below[c].append((k, lam))
-                todo.append((k, k))
-            elif k in big:
-                todo.append((k, c))
-            else:
-                points[c] += [(p, lam) for p in leaves(k)]
-    mass = {c: sum(lam - born[c] for _, lam in points[c]) + sum((lam - born[c]) * size[k] for k, lam in below[c]) for c in born}
-    chosen: dict[int, bool] = {}
-    total = dict(mass)
-    for c in sorted(born, key=lambda c: born[c], reverse=True):
-        under = sum(total[k] for k, _ in below[c])
-        chosen[c] = c != root and mass[c] >= under
-        total[c] = mass[c] if chosen[c] else under
-    labels, strength = np.full(n, -1), np.zeros(n)
-    todo, named = [root], 0
-    while todo:
-        c = todo.pop()
-        if not chosen[c]:
-            todo += [k for k, _ in below[c]]
-            continue
-        inside, stack = [], [c]
-        while stack:
-            k = stack.pop()
-            inside += points[k]
-            stack += [j for j, _ in below[k]]
-        top = max(lam for _, lam in inside) if inside else 1.0
-        for p, lam in inside:
-            labels[p], strength[p] = named, min(1.0, lam / top)
-        named += 1
-    return labels, strength
-
-
-def yeo_johnson(x: np.ndarray, lam: float) -> np.ndarray:
-    """The power transform of one variable."""
-    out = np.empty_like(x, dtype=float)
-    pos = x >= 0
-    out[pos] = np.log1p(x[pos]) if abs(lam) < 1e-9 else (np.power(x[pos] + 1, lam) - 1) / lam
-    out[~pos] = -np.log1p(-x[~pos]) if abs(lam - 2) < 1e-9 else -(np.power(1 - x[~pos], 2 - lam) - 1) / (2 - lam)
-    return out
-
-
-def yeo_johnson_lambda(x: np.ndarray, low: float = -2.0, high: float = 4.0, rounds: int = 60) -> float:
-    """The exponent of the largest normal likelihood, by golden-section search; 1 (no change) for a constant."""
-    if x.std() < 1e-12:
-        return 1.0
-    jacobian = (np.sign(x) * np.log1p(np.abs(x))).sum()
-
-    def loss(lam: float) -> float:
-        return len(x) / 2 * np.log(max(yeo_johnson(x, lam).var(), 1e-300)) - (lam - 1) * jacobian
-
-    g = (5**0.5 - 1) / 2
-    a, b = low, high
-    c, d = b - g * (b - a), a + g * (b - a)
-    for _ in range(rounds):
-        if loss(c) < loss(d):
-            b, d = d, c
-            c = b - g * (b - a)
-        else:
-            a, c = c, d
-            d = a + g * (b - a)
-    return (a + b) / 2
-
-
-def prepare(x: np.ndarray) -> np.ndarray:
-    """Stable dimensions only, scaled by median and interquartile range, power-transformed and standardised; NaN and infinities are 0."""
-    x = np.nan_to_num(x.astype(float), nan=0.0, posinf=0.0, neginf=0.0)
-    q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0)
-    keep = (x.var(axis=0) > 1e-6) & (q3 - q1 > 1e-6)
-    x = (x[:, keep] - q2[keep]) / (q3 - q1)[keep]
-    for j in range(x.shape[1]):
-        x[:, j] = yeo_johnson(x[:, j], yeo_johnson_lambda(x[:, j]))
-    return (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-
-
-def principal(x: np.ndarray, k: int) -> np.ndarray:
-    """The first k principal components; x itself where it has no more dimensions."""
-    if k >= x.shape[1]:
-        return x
-    u, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-    return u[:, :k] * s[:k]
-
-
-def quality_of(x: np.ndarray, label: np.ndarray, sure: np.ndarray, most_noise: float = 0.3) -> float:
-    """The composite of quality() for one group of points in memory; 0 without a cluster."""
-    names, sizes = np.unique(label[label >= 0], return_counts=True)
-    k = len(names)
-    if not k:
-        return 0.0
-    number = k / 5 if k < 5 else 1 - (k - 40) / 40 if k > 40 else 1.0
-    size = np.mean([0.0 if n < 5 else min(1.0, n / 10) for n in sizes])
-    tight = np.mean([np.exp(-np.linalg.norm(x[label == c] - x[label == c].mean(axis=0), axis=1).mean()) for c in names])
-    noise = (label < 0).mean()
-    calm = 1.0 if noise <= most_noise else max(0.0, 1 - (noise - most_noise) / 0.2)
-    return float(0.3 * number + 0.2 * size + 0.2 * tight + 0.2 * calm + 0.1 * sure[label >= 0].mean())
-
-
-def hdbscan_search(x: np.ndarray, dims: tuple[int, ...] = (8, 12, 15), sizes: tuple[int, ...] = (5, 10), samples: tuple[int, ...] = (3, 5)) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Labels, strengths and parameters of the best composite quality over a grid; the first parameters where none finds a cluster."""
-    y, best = prepare(x), None
-    for d in dims:
-        z = principal(y, d)
-        for n in sizes:
-            for m in samples:
-                label, sure = hdbscan(z, n, m)
-                q = quality_of(z, label, sure)
-                if best is None or q > best[0]:
-                    best = (q, label, sure, {"dims": d, "min_cluster_size": n, "min_samples": m})
-    return best[1:]
-
-
-def assign(x: np.ndarray, label: np.ndarray, new: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate labels of new points: those of the nearest fitted point if it is as near as that point's own k-th neighbour, else noise."""
-    d, core = _core_distances(x, k)
-    far = np.sqrt(np.maximum((new * new).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * new @ x.T, 0))
-    near = far.argmin(axis=1)
-    ok = far[np.arange(len(new)), near] <= core[near] * 1.5
-    out = np.where(ok, label[near], -1)
-    return out, np.where(out >= 0, np.exp(-far[np.arange(len(new)), near]), 0.0)
-
-
-def hdbscan_groups(df: DataFrame, keys: list[str], id_: str, vector: str, search: bool = False, **params: int) -> DataFrame:
-    """keys, id, label, confidence: density clusters of each group (participant and sensor), with given parameters or by a search over prepared vectors. A group of any size has its own task; time grows with the square of its points."""
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in [*keys, id_]) + ", label int, confidence double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        label, sure = hdbscan_search(x, **params)[:2] if search else hdbscan(x, **params)
-        return pdf[[*keys, id_]].assign(label=label.astype(np.int32), confidence=sure)
-
-    return df.select(*keys, id_, vector).groupBy(*keys).applyInPandas(run, schema)
-
-
 def linkage(sim: np.ndarray, method: str = "average", k: int | None = None, least: float | None = None) -> np.ndarray:
     """Agglomerative groups of a small similarity matrix, down to k groups or while groups are at least `least` alike. Ward works on distances 1 - sim."""
     n = len(sim)

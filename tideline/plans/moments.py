@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import DAY, HOUR, Segments
 from tideline.functions import motion
-from tideline.operators import clustering, density, labels, models, providers, segments
+from tideline.operators import clustering, density, density_tree, labels, models, providers, segments
 from tideline.plans.registry import EV, events, query, r6, read
 from tideline.plans.time import scored
 
@@ -109,8 +109,9 @@ def kmeans_search(spark, sf):
 
 @query()
 def hdbscan_clusters(spark, sf):
-    d = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    return clustering.hdbscan_groups(d.withColumnRenamed("label", "sensor"), ["sensor"], "vec_id", "v", search=True)
+    """Density clusters of each class's vectors, under the best parameters of a search; a cluster is named by its smallest id."""
+    d = read(spark, sf, "embeddings").select("vec_id", F.col("label").alias("sensor"), F.col("embedding").alias("v"))
+    return density_tree.density_search(d, "sensor", "vec_id", "v").select("sensor", "vec_id", "label", r6("confidence").alias("confidence"))
 
 
 @query()
