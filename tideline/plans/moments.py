@@ -155,6 +155,19 @@ def stream_hop_equals_batch(spark, sf):
     return drained_windows(spark, sf, "24 hours")
 
 
+@query(f"""WITH {EV}, w AS (SELECT max(t) // 1000 * 1000 - 3600000000 AS mark FROM ev), c AS (SELECT user_id, value, unnest(generate_series((t // 21600000000 + 1) * 21600000000, (t // 21600000000 + 4) * 21600000000, 21600000000)) AS e FROM ev)
+ SELECT user_id, e AS window_end, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(median(value), 6) AS median FROM c, w WHERE e < mark GROUP BY 1, 2""")
+def stream_closed_windows(spark, sf):
+    """Windows of a day, every six hours, each emitted once when the watermark (an hour behind the latest reading) has passed it, in append mode."""
+    from tideline.streaming import closing, streams
+
+    s = spark.readStream.schema(streams.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 hour")
+    s = s.withColumn("t", F.unix_micros("time")).where("value is not null")
+    with closing.row_store(spark):
+        d = streams.drain(closing.closing_windows(s, "user_id", "t", "value", "time", DAY, 6 * HOUR), "closed")
+    return d.select("user_id", "window_end", "n", r6("mean").alias("mean"), "low", "high", r6("median").alias("median"))
+
+
 @query()
 def frame_estimates(spark, sf):
     """Poses, masks and depth of frames from the stand-in estimator, as numbers that tests can hold on to."""
