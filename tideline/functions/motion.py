@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.filters import cascade
 from tideline.functions.scalar import correlation
 from tideline.operators.timeops import wrapped_turn
 
@@ -111,30 +112,24 @@ def bands(x: np.ndarray, rate: float = RATE) -> dict[str, float]:
     return {"low": share(f <= 0.3), "mid": share((f > 0.3) & (f <= 3)), "high": share((f > 3) & (f <= 15)), "periodicity": share((f >= 0.3) & (f <= 3.5))}
 
 
-def band_pass(x: np.ndarray, low: float, high: float, rate: float = RATE, order: int = 4) -> np.ndarray:
-    """A Butterworth band-pass response of the given order, applied in the frequency domain without phase."""
-    f = np.fft.rfftfreq(len(x), 1 / rate)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        q = np.where(f > 0, (f * f - low * high) / (f * (high - low)), np.inf)
-        gain = 1 / np.sqrt(1 + q ** (2 * order))
-    return np.fft.irfft(np.fft.rfft(x - x.mean()) * np.where(f > 0, gain, 0), len(x))
-
-
 def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     """Local maxima of at least `height`, the higher ones first, that lie `distance` samples apart or more."""
     at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= height)) + 1
-    kept: list[int] = []
-    for i in at[np.argsort(-x[at], kind="stable")]:
-        if all(abs(i - j) >= distance for j in kept):
-            kept.append(int(i))
-    return np.array(sorted(kept), int)
+    stays = np.ones(len(at), bool)
+    for i in np.argsort(-x[at], kind="stable"):
+        if stays[i]:
+            # only neighbours within the distance are looked at
+            stays[np.searchsorted(at, at[i] - distance, "right") : np.searchsorted(at, at[i] + distance, "left")] = False
+            stays[i] = True
+    return at[stays]
 
 
 def steps(x: np.ndarray, rate: float = RATE) -> int:
-    if len(x) < 8:
+    """Peaks of the band-passed window (0.5 to 3 Hz, from rest) that are a deviation high and 0.3 s apart; 0 for 8 samples or fewer."""
+    if len(x) <= 8:
         return 0
-    y = band_pass(x, 0.5, 3.0, rate)
-    return len(peaks(y, float(y.std()), max(1, int(0.3 * rate))))
+    _, y = cascade(0.5, 3.0, rate).run(None, x)
+    return len(peaks(y, float(y.std()), int(0.3 * rate)))
 
 
 def spectral_features(df: DataFrame, keys: list[str], order: list[str], value: str, rate: float = RATE) -> DataFrame:

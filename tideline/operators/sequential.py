@@ -68,3 +68,28 @@ def spacing(gap: int) -> Callable:
             last = int(times[at])
 
     return step
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], use: list[str], step: Callable[[Any, list[np.ndarray]], tuple[Any, np.ndarray]], name: str) -> DataFrame:
+    """All rows with the column `name` (double): step(state, the used columns) -> (state, values) over each key's rows in order, batch by batch; the state of a new key is None."""
+    schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + f", `{name}` double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for f in frames:
+            if not len(f):
+                continue
+            k = f[keys]
+            new = (k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()
+            new[0] = True
+            bounds = [*np.flatnonzero(new).tolist(), len(f)]
+            names, used = [f[c].to_numpy() for c in keys], [f[c].to_numpy() for c in use]
+            out = np.empty(len(f))
+            for a, b in zip(bounds, bounds[1:]):
+                now = tuple(x[a] for x in names)
+                if not _same_key(key, now):
+                    key, state = now, None
+                state, out[a:b] = step(state, [x[a:b] for x in used])
+            yield f.assign(**{name: out})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
