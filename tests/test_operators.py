@@ -21,6 +21,8 @@ def test_hop_windows_edges(spark):
     got = {r.window_end: (r.n, r.total) for r in timeops.hop_stats(d, ["k"], "t", "v", 10, 5).collect()}
     # the start belongs to a window, the end does not
     assert got == {5: (1, 1.0), 10: (2, 4.0), 15: (2, 8.0), 20: (1, 5.0)}
+    two = d.unionByName(spark.createDataFrame([(2, 5, 7.0)], "k int, t bigint, v double"))
+    assert {(r.k, r.window_end, r.n) for r in timeops.hop_stats(two, ["k"], "t", "v", 10, 5).collect()} == {(1, 5, 1), (1, 10, 2), (1, 15, 2), (1, 20, 1), (2, 10, 1), (2, 15, 1)}
     ends = d.select("t", F.explode(timeops.hop_ends(F.col("t"), 10, 5)).alias("e"))
     assert rows(ends) == sorted([(0, 5), (0, 10), (5, 10), (5, 15), (10, 15), (10, 20)], key=str)
     anchored = d.select("t", F.explode(timeops.hop_ends(F.col("t"), 10, 5, F.lit(0).cast("bigint"))).alias("e"))

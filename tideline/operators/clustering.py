@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,33 +93,90 @@ def kmeans(df: DataFrame, vector: str, ks: list[int], seed: int = 42, dims: int
         d.unpersist()
 
 
+def merge_heights(d: np.ndarray, method: str = "average") -> list[tuple[float, int, int]]:
+    """Agglomerative merges (height, and a member of each side) of a distance matrix, lowest first, by chains of nearest neighbours: each merge
+    joins two groups that are each other's nearest, so no step looks at more than one row, and the whole takes the square of the items."""
+    n = len(d)
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, out = np.ones(n), np.ones(n, bool), [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            i = chain[-1]
+            row = np.where(alive, d[i], np.inf)
+            row[i] = np.inf
+            j = int(row.argmin())
+            # of equally near groups the one before in the chain, or the chain would not end
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        h, ni, nj = d[i, j], size[i], size[j]
+        if method == "average":
+            new = (ni * d[i] + nj * d[j]) / (ni + nj)
+        elif method == "ward":
+            new = np.sqrt(np.maximum((ni + size) * d[i] ** 2 + (nj + size) * d[j] ** 2 - size * h**2, 0) / (ni + nj + size))
+        else:
+            new = np.minimum(d[i], d[j])
+        i, j = min(i, j), max(i, j)
+        alive[j], size[i] = False, ni + nj
+        d[i], d[:, i] = new, new
+        d[i, i] = np.inf
+        out.append((float(h), i, j))
+    return sorted(out, key=lambda m: m[0])
+
+
 def linkage(sim: np.ndarray, method: str = "average", k: int | None = None, least: float | None = None) -> np.ndarray:
-    """Agglomerative groups of a small similarity matrix, down to k groups or while groups are at least `least` alike. Ward works on distances 1 - sim."""
+    """Groups of a similarity matrix of labels, down to k groups or while groups are at least `least` alike; numbered by their first member. Ward works on distances 1 - sim."""
     n = len(sim)
-    d = (1 - sim).astype(float)
-    np.fill_diagonal(d, np.inf)
-    groups = {i: [i] for i in range(n)}
-    while len(groups) > (k or 1):
-        ids = sorted(groups)
-        sub = d[np.ix_(ids, ids)]
-        a, b = divmod(int(sub.argmin()), len(ids))
-        i, j = ids[min(a, b)], ids[max(a, b)]
-        if least is not None and d[i, j] > 1 - least + 1e-12:
+    up = list(range(n))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for done, (h, i, j) in enumerate(merge_heights(1 - sim, method)):
+        if n - done <= (k or 1) or (least is not None and h > 1 - least + 1e-12):
             break
-        ni, nj = len(groups[i]), len(groups[j])
-        for m in ids:
-            if m in (i, j):
-                continue
-            if method == "average":
-                v = (ni * d[i, m] + nj * d[j, m]) / (ni + nj)
-            elif method == "ward":
-                nm = len(groups[m])
-                v = np.sqrt(((ni + nm) * d[i, m] ** 2 + (nj + nm) * d[j, m] ** 2 - nm * d[i, j] ** 2) / (ni + nj + nm))
-            else:
-                v = min(d[i, m], d[j, m])
-            d[i, m] = d[m, i] = v
-        groups[i] += groups.pop(j)
-    out = np.zeros(n, int)
-    for g, members in enumerate(sorted(groups.values(), key=min)):
-        out[members] = g
-    return out
+        i, j = sorted((find(i), find(j)))
+        up[j] = i
+    first = [find(i) for i in range(n)]
+    return np.array([sorted(set(first)).index(f) for f in first], int)
+
+
+def linked_groups(sims: DataFrame, place: str, method: str = "ward", k: int | None = None, least: float | None = None, alpha: float = 0.5) -> DataFrame:
+    """(place, a, b, sim, n) for every ordered pair of a place's labels (n: how often a is counted) -> place, label, cluster, k, quality.
+
+    With neither k nor least, the k from 2 to half the labels of the best alpha * cohesion + (1 - alpha) * balance is taken: cohesion is the mean similarity within clusters, balance 1 / (1 +
+    variation of their counts). A place's labels are a vocabulary, and its square fits a task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]))
+        at = {x: i for i, x in enumerate(names)}
+        sim, n = np.eye(len(names)), np.zeros(len(names))
+        i = pdf["a"].map(at).to_numpy()
+        sim[i, pdf["b"].map(at).to_numpy()] = pdf["sim"]
+        n[i] = pdf["n"]
+
+        def quality(c: np.ndarray) -> float:
+            inside, sums = [], []
+            for x in range(c.max() + 1):
+                m = np.flatnonzero(c == x)
+                inside.append(sim[np.ix_(m, m)][np.triu_indices(len(m), 1)].mean() if len(m) > 1 else 1.0)
+                sums.append(n[m].sum())
+            return alpha * float(np.mean(inside)) + (1 - alpha) / (1 + float(np.std(sums) / np.mean(sums)) if np.mean(sums) else 1)
+
+        if k is None and least is None:
+            tried = [linkage(sim, method, q) for q in range(2, max(3, len(names) // 2 + 1))] if len(names) > 2 else [np.zeros(len(names), int)]
+            c = max(tried, key=quality)
+        else:
+            c = linkage(sim, method, k, least)
+        return pd.DataFrame({place: pdf[place].iloc[0], "label": names, "cluster": c.astype("int32"), "k": np.int32(c.max() + 1), "quality": quality(c)})
+
+    kind = dict(sims.dtypes)
+    return sims.groupBy(place).applyInPandas(run, f"{place} {kind[place]}, label {kind['a']}, cluster int, k int, quality double")

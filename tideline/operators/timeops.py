@@ -36,19 +36,19 @@ def hop_stats(df: DataFrame, keys: list[str], t: str, value: str, size: int, sli
     base = F.col(t) - F.col(anchor) if anchor else F.col(t)
     also = [anchor] if anchor else []
     v = F.col(value)
-    panes = df.groupBy(*keys, *also, F.floor(base / slide).alias("pane")).agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("low"), F.max(v).alias("high")
+    panes = df.groupBy(*keys, *also, F.floor(base / slide).alias("_pane")).agg(
+        F.count(v).alias("n"), F.sum(v).alias("_s"), (F.var_pop(v) * F.count(v)).alias("_m2"), F.min(v).alias("low"), F.max(v).alias("high")
     )
     per = size // slide
-    first = F.greatest(F.col("pane") - (per - 1), F.lit(0).cast("long")) if anchor else F.col("pane") - (per - 1)
-    copies = panes.withColumn("k", F.explode(F.sequence(first, F.col("pane"))))
-    start = F.col("k") * slide + (F.col(anchor) if anchor else F.lit(0))
+    first = F.greatest(F.col("_pane") - (per - 1), F.lit(0).cast("long")) if anchor else F.col("_pane") - (per - 1)
+    copies = panes.withColumn("_k", F.explode(F.sequence(first, F.col("_pane"))))
+    start = F.col("_k") * slide + (F.col(anchor) if anchor else F.lit(0))
     # a window's few panes (size / slide at most), whose second moments are merged about their own means: sums of squares would cancel
-    part = F.when(F.col("n") > 0, F.struct(F.col("pane"), F.col("n").cast("double").alias("n"), (F.col("s") / F.col("n")).alias("mean"), F.col("m2")))
+    part = F.when(F.col("n") > 0, F.struct(F.col("_pane"), F.col("n").cast("double").alias("n"), (F.col("_s") / F.col("n")).alias("mean"), F.col("_m2").alias("m2")))
     out = copies.groupBy(*keys, (start + size).cast("long").alias("window_end")).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("total"), F.array_sort(F.collect_list(part)).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.sum("n").alias("n"), F.sum("_s").alias("total"), F.array_sort(F.collect_list(part)).alias("_parts"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    sd = F.when(F.col("n") > 0, F.sqrt(merged_moment("parts") / F.col("n")))
+    sd = F.when(F.col("n") > 0, F.sqrt(merged_moment("_parts") / F.col("n")))
     return out.select(*keys, "window_end", "n", (F.col("total") / F.nullif("n", F.lit(0))).alias("mean"), sd.alias("sd"), "low", "high", "total")
 
 

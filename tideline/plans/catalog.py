@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tideline.plans import frames, labels, moments, pairing, relational, signals, time  # noqa: F401
+from tideline.plans import frames, labels, moments, pairing, relational, signals, time, vocabulary  # noqa: F401
 from tideline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
