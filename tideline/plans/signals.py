@@ -69,3 +69,15 @@ def savitzky_golay(spark, sf):
 def smoothed_turns(spark, sf):
     """How often each user's smoothed readings turn."""
     return filters.turns(events(spark, sf).select("user_id", "t", "event_id", "value"), ["user_id"], ["t", "event_id"], "value")
+
+
+@query()
+def thermal_inpainted(spark, sf):
+    """Thermal frames whose cells below zero are missing, filled: their least and mean value, and how many were filled."""
+    from tideline.functions.inpaint import inpainted
+    from tideline.plans.frames import series
+
+    d = series(spark, sf, 120.0, 5.0)
+    cells = F.flatten("frame")
+    d = d.select("w", "t", F.size(F.filter(cells, lambda v: v < 0)).alias("missing"), F.flatten(inpainted(F.col("frame"))).alias("v"))
+    return d.select("w", "t", "missing", F.round(F.array_min("v"), 5).alias("low"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), 5).alias("mean"))

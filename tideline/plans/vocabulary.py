@@ -63,3 +63,36 @@ def sql_decayed_scores(spark, sf):
     tables.register(spark)
     d = events(spark, sf).select("user_id", "t", "event_id", "value")
     return spark.sql("SELECT user_id, event_id, round(score, 6) AS score FROM decayed_scores(TABLE(SELECT * FROM {d}) PARTITION BY user_id ORDER BY (t, event_id), key => 'user_id', id => 'event_id', value => 'value', decay => 0.9D)", d=d)
+
+
+@query(f"WITH {EV} SELECT event_type, user_id, t // 86400000000 AS day, count(*) AS n, round(avg(value), 6) AS mean, 0::BIGINT AS done_again FROM ev GROUP BY 1, 2, 3")
+def staged_days(spark, sf):
+    """Readings of each sensor, user and day by a stage that runs twice; done_again counts what the second run had to do."""
+    import uuid
+
+    from tideline.session import shared_folder
+    from tideline.sources import stages
+
+    top = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    d = events(spark, sf).select("user_id", "t", "value", "event_type")
+    d.write.partitionBy("event_type").parquet(f"{top}/in")
+    stage = lambda x: x.groupBy("event_type", "user_id", F.floor(F.col("t") / DAY).alias("day")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+    for _ in range(2):
+        out, done = stages.run_stage(spark, f"{top}/in", d.schema, "event_type", f"{top}/out", stage)
+    return out.withColumn("done_again", F.lit(len(done)).cast("long"))
+
+
+@query("WITH c AS (SELECT DISTINCT item_id, length(text) AS n FROM benchmark) SELECT k.item_id, c.n + CASE WHEN k.item_id % 3 = 0 THEN 1000 ELSE 0 END AS n, c.item_id IS NOT NULL AND k.item_id % 5 <> 0 OR k.item_id % 3 = 0 AND c.item_id IS NOT NULL AS hit FROM (SELECT DISTINCT item_id FROM benchmark) k LEFT JOIN c ON c.item_id = k.item_id AND (k.item_id % 5 <> 0 OR k.item_id % 3 = 0)")
+def cached_lengths(spark, sf):
+    """Item lengths from a cache: four fifths compacted into buckets, a third appended anew since, the others missing."""
+    import uuid
+
+    from tideline.session import shared_folder
+    from tideline.sources.cache import KeyedCache
+
+    d = read(spark, sf, "benchmark").select("item_id", F.length("text").alias("n"))
+    c = KeyedCache(spark, f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}", "item_id bigint, n int", 8)
+    c.append(d.where("item_id % 5 <> 0"))
+    c.compact()
+    c.append(d.where("item_id % 3 = 0").withColumn("n", F.col("n") + 1000))
+    return c.lookup(d.select("item_id").distinct()).select("item_id", "n", "hit")

@@ -40,8 +40,10 @@ def lenient_json(text: Column, schema: str) -> Column:
 
 
 def read_responses(spark: SparkSession, path: str, schema: str = DESCRIPTION) -> DataFrame:
-    """custom_id, parsed: replies of batch files, the last line of an id; an unreadable reply is null."""
+    """custom_id, parsed: replies of batch files, the last line of an id (by file name, then place); an unreadable reply is null."""
     d = spark.read.schema("custom_id string, response struct<body struct<choices array<struct<message struct<content string>>>>>").json(path)
+    d = d.withColumns({"_file": F.input_file_name(), "_line": F.monotonically_increasing_id()})
+    d = d.groupBy("custom_id").agg(F.max_by("response", F.struct("_file", "_line")).alias("response"))
     return d.select("custom_id", lenient_json(F.get("response.body.choices", F.lit(0))["message"]["content"], schema).alias("parsed"))
 
 
