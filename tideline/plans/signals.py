@@ -1,11 +1,12 @@
 """Catalogue: models of ever more sessions, recursive filters and least-squares smoothing of readings."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.config import DAY, HOUR
 from tideline.functions import filters
 from tideline.operators import expanding
-from tideline.plans.registry import EV, events, query, r6
+from tideline.plans.registry import EV, events, query, r6, read
 
 DAYS = f"{EV}, r AS (SELECT user_id, event_id, t // 86400000000 AS day, event_type AS label, value AS x, (t % 86400000000) / 3600000000 AS y FROM ev), s AS (SELECT DISTINCT user_id, day FROM r)"
 UPTO = f"{DAYS}, m AS (SELECT s.user_id, s.day, r.label, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM s JOIN r ON r.user_id = s.user_id AND r.day <= s.day GROUP BY 1, 2, 3)"
@@ -81,3 +82,40 @@ def thermal_inpainted(spark, sf):
     cells = F.flatten("frame")
     d = d.select("w", "t", F.size(F.filter(cells, lambda v: v < 0)).alias("missing"), F.flatten(inpainted(F.col("frame"))).alias("v"))
     return d.select("w", "t", "missing", F.round(F.array_min("v"), 5).alias("low"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), 5).alias("mean"))
+
+
+@query("""WITH f AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) AS frame, embedding AS e FROM embeddings WHERE len(embedding) = 64), c AS (SELECT frame, unnest(e)::DOUBLE AS v, generate_subscripts(e, 1) - 1 AS p FROM f WHERE frame % 4 = 0 AND frame >= 20)
+ SELECT frame, round(frame / 8.0, 6) AS t, count(*) AS cells, round(sum(v), 5) AS total FROM c WHERE p % 8 < 4 GROUP BY 1""")
+def raw_frame_scan(spark, sf):
+    """Left halves of every fourth frame from the twentieth on, of a raw file that executors write from the vectors, taken as 8 frames a second."""
+    import uuid
+
+    from tideline.session import shared_folder
+    from tideline.sources.frames import RawFrames
+
+    spark.dataSource.register(RawFrames)
+    path = f"{shared_folder(spark)}/frames/{uuid.uuid4().hex}"
+    d = read(spark, sf, "embeddings").where("size(embedding) = 64").orderBy("vec_id").select("vec_id", "embedding")
+    d = d.withColumn("place", F.monotonically_increasing_id())
+
+    def write(frames):
+        import numpy as np
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(path)
+        fs.create_dir(root)
+        for f in frames:
+            if len(f):
+                # names in the order of the ids
+                with fs.open_output_stream(f"{root}/{f['place'].iloc[0]:020d}.raw") as out:
+                    out.write(np.stack(f["embedding"]).astype("float32").tobytes())
+        return iter([])
+
+    d.mapInPandas(write, "n long").collect()
+    # frames are numbered through all files by what came before
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:", "").alias("file"), (F.col("length") / 256).cast("long").alias("n"))
+    starts = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
+    f = spark.read.format("raw_frames").options(height=8, width=8, dtype="float32", fps=8, crop="0:4").load(path).join(starts, "file")
+    f = f.withColumn("frame", F.col("frame") + F.col("start")).where("frame % 4 = 0 and frame >= 20")
+    v = F.flatten("pixels")
+    return f.select("frame", F.round(F.col("frame") / 8, 6).alias("t"), F.size(v).cast("long").alias("cells"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
