@@ -228,17 +228,35 @@ def scored(spark, sf):
     return timeops.hop_stats(events(spark, sf), ["user_id"], "t", "value", DAY, 6 * HOUR).select("user_id", "window_end", "mean")
 
 
+def with_thresholds(d, keys, score, most=Density.most):
+    """Adds m, the median of three low-score limits of a row's key, and k, how many scores of the key lie under it, from 1 to `most`.
+
+    Ranks come from one sort by key that spills, and nothing of a key is buffered; the scores are dealt once.
+    """
+    all_ = Window.partitionBy(*keys)
+    d = d.withColumns({"_rn": F.row_number().over(all_.orderBy(score)) - 1, "_n": F.count("*").over(all_)})
+
+    def at(p):
+        """The value at the rank (n - 1) * p, between the two nearest ones, as percentile() has it."""
+        r = (F.col("_n") - 1) * p
+        low, high = (F.max(F.when(F.col("_rn") == f(r), F.col(score))).over(all_) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(r) - r) * low + (r - F.floor(r)) * high)
+
+    d = d.withColumns({"_a": at(0.25), "_b": at(0.75), "_c": at(0.2), "_mean": F.avg(score).over(all_), "_sd": F.stddev_pop(score).over(all_)})
+    three = F.array(F.col("_a") - (F.col("_b") - F.col("_a")), F.col("_mean") - 1.5 * F.col("_sd"), F.col("_c"))
+    d = d.withColumn("m", F.element_at(F.array_sort(three), 2))
+    under = F.count_if(F.round(score, 9) < F.round("m", 9)).over(all_)
+    return d.withColumn("k", F.greatest(F.lit(1), F.least(under, F.lit(most)))).drop("_rn", "_n", "_a", "_b", "_c", "_mean", "_sd")
+
+
 def thresholds(d, keys, score, most=Density.most):
-    """Median of three low-score limits per key, and how many scores lie under it, from 1 to `most`."""
-    q = lambda p: F.percentile(score, F.lit(p))
-    three = F.array(q(0.25) - (q(0.75) - q(0.25)), F.avg(score) - 1.5 * F.stddev_pop(score), q(0.2))
-    m = d.groupBy(*keys).agg(F.element_at(F.array_sort(three), 2).alias("m"))
-    return d.join(m, keys).groupBy(*keys).agg(F.first("m").alias("m"), F.greatest(F.lit(1), F.least(F.count_if(F.round(score, 9) < F.round("m", 9)), F.lit(most))).alias("k"))
+    """keys, m, k of every key with a score."""
+    return with_thresholds(d, keys, score, most).groupBy(*keys).agg(F.max("m").alias("m"), F.max("k").alias("k"))
 
 
 @query(f"WITH {EV}, {HOP}, {THRESHOLD} SELECT user_id, threshold, k FROM kk")
 def robust_thresholds(spark, sf):
-    return thresholds(scored(spark, sf), ["user_id"], "mean").select("user_id", r6("m").alias("threshold"), "k")
+    return thresholds(scored(spark, sf).where("mean is not null"), ["user_id"], "mean").select("user_id", r6("m").alias("threshold"), "k")
 
 
 @query(f"""WITH RECURSIVE {EV}, {HOP}, {THRESHOLD}, k AS (SELECT hop.user_id, window_end AS t, round(mean, 6) AS v, k, row_number() OVER (PARTITION BY hop.user_id ORDER BY round(mean, 6), window_end) AS rn FROM hop JOIN kk ON hop.user_id = kk.user_id),
@@ -248,7 +266,6 @@ def robust_thresholds(spark, sf):
  SELECT z.user_id, z.t AS window_end, k.v AS score FROM z JOIN k ON z.user_id = k.user_id AND z.t = k.t""")
 def key_moments(spark, sf):
     """Anomalies: hop-window scores, robust threshold, data-driven k, greedy choice in ascending score with spacing."""
-    d = scored(spark, sf)
-    k = thresholds(d, ["user_id"], "mean").select("user_id", "k")
-    d = d.join(k, "user_id").select("user_id", "window_end", r6("mean").alias("score"), "k", F.col("window_end").alias("i"))
+    d = with_thresholds(scored(spark, sf).where("mean is not null"), ["user_id"], "mean")
+    d = d.select("user_id", "window_end", r6("mean").alias("score"), "k", F.col("window_end").alias("i"))
     return select.greedy_topk(d, ["user_id"], "window_end", "score", "i", F.col("k"), DAY).select("user_id", "window_end", "score")
