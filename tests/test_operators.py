@@ -311,3 +311,15 @@ def test_quantiles_are_exact(spark):
         if k != "wide":
             assert np.allclose(got[k], np.quantile(vs, [0.25, 0.5, 1.0]), atol=1e-12)
     assert quantiles(d.limit(0), ["k"], "v", {"a": 0.5}).count() == 0
+
+
+def test_best_places_and_ties():
+    from tideline.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 1), (5, 5), (5, 9), (50, 7)):
+        s = rng.integers(0, 6, (30, n)).astype(float)
+        s[0, 0] = -np.inf
+        got = neighbours._best(s, k)
+        want = np.sort(np.lexsort((np.broadcast_to(np.arange(n), s.shape), -s), axis=1)[:, :k], axis=1)
+        assert np.array_equal(got, want)

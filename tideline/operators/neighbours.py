@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that are shipped to every task at a time.
-BLOCK = 10_000
+#: Vectors that are shipped to every task at a time, and rows of a product of two batches that are held at a time (8 bytes * CHUNK * 10,000).
+BLOCK, CHUNK = 10_000, 256
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -28,6 +28,17 @@ def _blocks(df: DataFrame, id_: str, n: int) -> Iterator[pd.DataFrame]:
         yield (df if parts == 1 else df.where(F.pmod(F.xxhash64(id_), F.lit(parts)) == i)).toPandas()
 
 
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, of equal ones those that come first: one partition a row, and no sort."""
+    n = s.shape[1]
+    if k >= n:
+        return np.broadcast_to(np.arange(n), s.shape)
+    least = np.partition(s, n - k, axis=1)[:, n - k, None]
+    over, tied = s > least, s == least
+    free = k - over.sum(axis=1, keepdims=True)
+    return np.nonzero(over | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= free)))[1].reshape(len(s), k)
+
+
 def nearest_in_table(table: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, digits: int = 9) -> DataFrame:
     """q, n, s: the k rows of the table nearest to each query row (its own id aside), equal cosines by the smaller id.
 
@@ -43,12 +54,15 @@ def nearest_in_table(table: DataFrame, queries: DataFrame, id_: str, vector: str
             for f in frames:
                 if not len(f):
                     continue
-                s = np.round(q @ _unit(f[vector]).T, digits)
-                n = f[id_].to_numpy()
-                s[ids[:, None] == n[None, :]] = -np.inf
-                at = np.lexsort((np.broadcast_to(n, s.shape), -s), axis=1)[:, :k]
-                here = pd.DataFrame({"q": np.repeat(ids, at.shape[1]), "n": n[at].ravel(), "s": np.take_along_axis(s, at, 1).ravel()})
-                best = here if best is None else pd.concat([best, here])
+                f = f.sort_values(id_)  # of equal cosines the smaller id comes first
+                n, x = f[id_].to_numpy(), _unit(f[vector]).T
+                for i in range(0, len(ids), CHUNK):
+                    own = ids[i : i + CHUNK]
+                    s = np.round(q[i : i + CHUNK] @ x, digits)
+                    s[own[:, None] == n[None, :]] = -np.inf
+                    at = _best(s, k)
+                    here = pd.DataFrame({"q": np.repeat(own, at.shape[1]), "n": n[at].ravel(), "s": np.take_along_axis(s, at, 1).ravel()})
+                    best = here if best is None else pd.concat([best, here])
                 best = best.sort_values(["q", "s", "n"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
             if best is not None:
                 yield best[best["s"] > -np.inf]
@@ -64,23 +78,25 @@ def nearest_in_table(table: DataFrame, queries: DataFrame, id_: str, vector: str
 def vote(rows: DataFrame, keys: list[str], vector: str, known: DataFrame, label: str, k: int) -> DataFrame:
     """keys, label, prob: shares of the labels among the k labelled vectors nearest to each row.
 
-    The labelled vectors come in blocks of a checked size; a row keeps its k best of each block and then of all.
+    The labelled vectors come in blocks of a checked size; a row keeps its k best of each block and then of all. Equal cosines are
+    ordered by a hash of vector and label, so that results don't depend on how files lie.
     """
     kinds, out = dict(rows.dtypes), None
-    known = known.select(F.monotonically_increasing_id().alias("_id"), F.col(vector).alias("_v"), F.col(label).cast("string").alias("_l")).where("_l is not null and _v is not null")
-    for b, block in enumerate(_blocks(known, "_v", BLOCK)):
-        names, x = block["_l"].to_numpy(), _unit(block["_v"])
-        order = block["_id"].to_numpy() + (b << 48)
+    known = known.select(F.xxhash64(vector, label).alias("_id"), F.col(vector).alias("_v"), F.col(label).cast("string").alias("_l")).where("_l is not null and _v is not null")
+    for block in _blocks(known, "_v", BLOCK):
+        block = block.sort_values(["_id", "_l"])
+        names, x, order = block["_l"].to_numpy(), _unit(block["_v"]), block["_id"].to_numpy()
 
         def run(frames: Iterator[pd.DataFrame], names=names, x=x, order=order) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if not len(f):
                     continue
-                s = np.round(_unit(f[vector]) @ x.T, 9)
-                at = np.lexsort((np.broadcast_to(order, s.shape), -s), axis=1)[:, :k]
-                n = at.shape[1]
-                d = f[keys].loc[f.index.repeat(n)].reset_index(drop=True)
-                yield d.assign(_l=names[at].ravel(), _s=np.take_along_axis(s, at, 1).ravel(), _o=order[at].ravel())
+                for i in range(0, len(f), CHUNK):
+                    part = f.iloc[i : i + CHUNK]
+                    s = np.round(_unit(part[vector]) @ x.T, 9)
+                    at = _best(s, k)
+                    d = part[keys].loc[part.index.repeat(at.shape[1])].reset_index(drop=True)
+                    yield d.assign(_l=names[at].ravel(), _s=np.take_along_axis(s, at, 1).ravel(), _o=order[at].ravel())
 
         got = rows.select(*keys, vector).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", _l string, _s double, _o long")
         out = got if out is None else out.unionByName(got)
