@@ -68,3 +68,22 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bl.node IS NOT NULL T
 
 
 ORACLE_SQL = {"op3_license_scans": license_sql(), "op6_url_filters": url_sql()}
+
+
+def _lloyd(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """Plain rounds of all distances, without bounds; floor(a / b) of integers as (a - mod) / b."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})",
+    ]
+    near = "SELECT v.vec_id, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{0} c"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, min({{'d': d, 'c': c}}) AS m FROM ({near.format(i)}) GROUP BY vec_id)")
+        if i < rounds:
+            parts.append(f"n{i} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS q FROM (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM a{i}) GROUP BY c, p) GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(n{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN n{i} ON n{i}.c = c{i}.c)")
+    last = f"SELECT vec_id, m.c::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = m.c"
+    return f"WITH {', '.join(parts)} {last}"
+
+
+ORACLE_SQL["op12_centroid_clustering"] = _lloyd()
