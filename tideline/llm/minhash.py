@@ -232,7 +232,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) ->
     starred = cut(members.join(first, "key").select("key", "node", "u", "c"))
     texts = shared_texts(docs, starred.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"))
     tested = starred.where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    labels = connected_components(near_links(nodes, texts, tested, size, percent))
+    # labels are stored: a checkpoint would carry the estimated sizes of all rounds' joins on into the next rounds
+    labels = stored(connected_components(near_links(nodes, texts, tested, size, percent)))
     named = starred.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     settled = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     known = rare_shingles(named.join(settled, "key").select("node").distinct(), nodes, texts, size, percent)
@@ -240,7 +241,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) ->
         pairs = cut(rare_pairs(known, labels, percent, star).join(tested, ["u", "v"], "left_anti"))
         tested = tested.unionByName(pairs)
         found = near_links(nodes, texts, pairs, size, percent)
-        labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+        labels = stored(connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))))
     return labels
 
 
