@@ -16,11 +16,21 @@ def files(tmp_path):
     return str(tmp_path), a
 
 
-def test_frames_skip_crop_and_ranges(spark, files):
+@pytest.mark.parametrize("push", ["false", "true"])
+def test_frames_skip_crop_and_ranges(spark, files, push):
     path, a = files
     spark.dataSource.register(frames.RawFrames)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    d = lambda **o: spark.read.format("raw_frames").options(height=4, width=6, dtype="uint16", split_mb=0.0002, **o).load(path)
+    pushing = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(pushing)
+    spark.conf.set(pushing, push)
+    try:
+        scans(spark, path, a, push)
+    finally:
+        spark.conf.set(pushing, before)
+
+
+def scans(spark, path, a, push):
+    d = lambda **o: spark.read.format("raw_frames").options(**{"height": 4, "width": 6, "dtype": "uint16", "split_mb": 0.0002, "push": push, **o}).load(path)
     got = {(r.file[-5], r.frame): np.array(r.pixels) for r in d().collect()}
     assert sorted(got) == [("a", i) for i in range(12)] + [("b", i) for i in range(8)] and all(np.array_equal(x, a[i + 12 * (f == "b")]) for (f, i), x in got.items())
     got = sorted((r.file[-5], r.frame, r.t, r.pixels) for r in d(fps=30, target_fps=8, crop="0:3").where("frame >= 4 and frame < 10").collect())
@@ -60,7 +70,7 @@ def test_only_wanted_bytes_are_read(files, monkeypatch):
 
     from_uri = frames.pafs.FileSystem.from_uri
     monkeypatch.setattr(frames.pafs, "FileSystem", type("X", (), {"from_uri": staticmethod(lambda p: (Fs(from_uri(p)[0]), from_uri(p)[1]))}))
-    r = frames.FrameReader({"path": path, "height": "4", "width": "6", "dtype": "uint16", "fps": "8", "target_fps": "2", "crop": "0:3"})
+    r = frames.PushingReader({"path": path, "height": "4", "width": "6", "dtype": "uint16", "fps": "8", "target_fps": "2", "crop": "0:3"})
     left = list(r.pushFilters([ds.GreaterThan(("frame",), 1), ds.LessThanOrEqual(("frame",), 8), ds.EqualTo(("t",), 1.0)]))
     assert left == [ds.EqualTo(("t",), 1.0)]
     got = [row for p in r.partitions() for row in r.read(p)]

@@ -1,8 +1,8 @@
 """A data source of raw frame files: fixed-size frames one after the other, no codec.
 
 spark.dataSource.register(RawFrames); spark.read.format("raw_frames").options(height=.., width=.., ...).load(path). Partitions are runs of frames of a file, read
-by seeking, so frames that are skipped, filtered away or cropped are not read. Filters on `frame` and `file` reach the source where
-spark.sql.python.filterPushdown.enabled is set; others stay with Spark.
+by seeking, so frames that are skipped, filtered away or cropped are not read. With the option push, and spark.sql.python.filterPushdown.enabled set, filters on
+`frame` and `file` reach the source; others stay with Spark.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ class Run(ds.InputPartition):
 
 
 class RawFrames(ds.DataSource):
-    """Options: height, width, dtype (uint8), fps (1), target_fps (every max(1, int(fps / target))-th frame is read), crop ("x0:x1" of the columns), split_mb (64).
+    """Options: height, width, dtype (uint8), fps (1), target_fps (every max(1, int(fps / target))-th frame is read), crop ("x0:x1" of the columns), split_mb (64), push (false).
 
     frame counts from 0 in its file, t is frame / fps in seconds. A last frame that is cut short is left out.
     """
@@ -39,7 +39,8 @@ class RawFrames(ds.DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ds.DataSourceReader:
-        return FrameReader(self.options)
+        push = {k.lower(): v for k, v in self.options.items()}.get("push", "false").lower() == "true"
+        return (PushingReader if push else FrameReader)(self.options)
 
 
 class FrameReader(ds.DataSourceReader):
@@ -56,23 +57,6 @@ class FrameReader(ds.DataSourceReader):
         self.split = max(1, int(float(o.get("split_mb", 64)) * 1e6) // self.size)
         self.low, self.high, self.files = 0, None, None
 
-    def pushFilters(self, filters) -> Iterator:  # noqa: N802
-        """Takes bounds of `frame` and one name of `file`; gives back what it can't take."""
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if column == ("frame",) and isinstance(f, (ds.GreaterThan, ds.GreaterThanOrEqual)):
-                self.low = max(self.low, f.value + isinstance(f, ds.GreaterThan))
-            elif column == ("frame",) and isinstance(f, (ds.LessThan, ds.LessThanOrEqual)):
-                stop = f.value + isinstance(f, ds.LessThanOrEqual)
-                self.high = stop if self.high is None else min(self.high, stop)
-            elif column == ("frame",) and isinstance(f, ds.EqualTo):
-                self.low = max(self.low, f.value)
-                self.high = f.value + 1 if self.high is None else min(self.high, f.value + 1)
-            elif column == ("file",) and isinstance(f, ds.EqualTo):
-                self.files = {f.value} if self.files is None else self.files & {f.value}
-            else:
-                yield f
-
     def partitions(self) -> list[Run]:
         fs, root = pafs.FileSystem.from_uri(self.path)
         found = fs.get_file_info(root)
@@ -102,3 +86,24 @@ class FrameReader(ds.DataSourceReader):
                     rows = (f.read_at((self.x1 - self.x0) * step, i * self.size + (y * self.width + self.x0) * step) for y in range(self.height))
                     a = np.stack([np.frombuffer(r, kind) for r in rows])
                 yield partition.file, i, i / self.fps, a.astype(float).tolist()
+
+
+class PushingReader(FrameReader):
+    """A session without filter pushdown refuses readers that offer it, so only the option `push` asks for this one."""
+
+    def pushFilters(self, filters) -> Iterator:  # noqa: N802
+        """Takes bounds of `frame` and one name of `file`; gives back what it can't take."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("frame",) and isinstance(f, (ds.GreaterThan, ds.GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, ds.GreaterThan))
+            elif column == ("frame",) and isinstance(f, (ds.LessThan, ds.LessThanOrEqual)):
+                stop = f.value + isinstance(f, ds.LessThanOrEqual)
+                self.high = stop if self.high is None else min(self.high, stop)
+            elif column == ("frame",) and isinstance(f, ds.EqualTo):
+                self.low = max(self.low, f.value)
+                self.high = f.value + 1 if self.high is None else min(self.high, f.value + 1)
+            elif column == ("file",) and isinstance(f, ds.EqualTo):
+                self.files = {f.value} if self.files is None else self.files & {f.value}
+            else:
+                yield f
