@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -507,7 +508,7 @@ def test_url_filter_equals_its_sql_where_pages_declare_links(spark):
     hosts, paths = ["x.com", "www.x.com", "example.org", "m.free.net", "free.net", "a.net"], ["/de/1", "/fr/1", "/es/2", "/view", "/view.html", "/a/b/c", "", "/a/b/"]
     tails = ["", "?id=1", "?id=2", "#f", "?", "/"]
     links = ["/de/1", "../../de/1", "./c", "page.html", "//x.com/fr/9", "?id=2", "#top", "", "mailto:a@b", "http://free.net/view?id=1", "https://example.org/es/2", "..", "g/../h", "/de/./1/.."]
-    tag = lambda x: rng.choice([f'<LINK rel="canonical" data-x="{"y" * rng.choice([0, 3000])}" href="{x}">', f"<meta http-equiv=refresh content='0; url={x}'>"])
+    tag = lambda x: rng.choice([f"<base href='{x}'>", f'<!-- <link rel=canonical href="{x}"> -->', f'<LINK rel="canonical" data-x="{"y" * rng.choice([0, 3000])}" href="{x}">', f"<meta http-equiv=refresh content='0; url={x}'>"])
     rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(tails)}", "".join(tag(rng.choice(links)) for _ in range(rng.randrange(3)))) for i in range(150)]
     rows += [(900, None, tag("/de/1")), (901, "no scheme", tag("/de/1")), (902, "http://only.net/view?id=1", ""), (903, "http://only.net/view?id=2", "")]
     rows += [x for i in range(9) for x in ((300 + i, f"http://iso{i}.net/p/q", f'<link rel=canonical href="//z{i}.com/de/./{i}">'), (400 + i, f"http://z{i}.com/de/{i}", "" if i % 3 else '<meta http-equiv="refresh" content="1;url=../fr/">'), (500 + i, f"http://z{i}.com/fr/", ""))]
@@ -517,6 +518,56 @@ def test_url_filter_equals_its_sql_where_pages_declare_links(spark):
     assert got == want and sum(r["propagated"] for r in got.values()) > 5
 
 
+def test_url_filter_reads_markup_as_browsers_do(spark):
+    canon, to = '<link rel="canonical" href="{}">', "http://x.com/de/1"
+    pages = {
+        '<link rel="shortlink Canonical" href="http://x.com/de/1">': "block",  # several words
+        '<base href="http://x.com/de/"><link rel=canonical href=1>': "block",
+        '<link rel=canonical href=1><base target=_top><base href="http://x.com/de/"><base href="http://free.net/">': "block",  # the first base with a target, wherever it stands
+        '<link title="a > b" rel="canonical" href="http://x.com/de/1">': "block",
+        '<link rel="canonical" href="http:&#x2F;&#47;x.com&sol;de/1">': "block",
+        '<link rel="canonical" href="http://x.com/v?a=1&amp;b=2">': "block",  # http://x.com/v?a=1&b=2 leads to a blocked page
+        '<link rel="canonical" href="http://x.com/v?a=1&amp;amp;b=2">': "allow",  # decoded once
+        '<link rel="canonical" data-href="http://x.com/de/1" href="http://free.net/">': "allow",
+        '<link rel="canonical" data-href="http://x.com/de/1">': "allow",
+        '<link title="rel=canonical href=http://x.com/de/1" rel="icon" href="/i.png">': "allow",
+        f"<!-- {canon.format(to)} -->": "allow",
+        f"<!-- never closed {canon.format(to)}": "allow",
+        f"<!-->{canon.format(to)}": "block",
+        f"<SCRIPT type='x'>var a = '{canon.format(to)}';</SCRIPT>": "allow",
+        f"<script>1</script>{canon.format(to)}": "block",
+        f"<title>{canon.format(to)}</title>": "allow",
+        f"<img alt='{canon.format(to)}'>": "allow",
+        f"<p don't>{canon.format(to)}": "block",  # a quote that follows no = opens nothing
+        f"<linked rel=canonical href={to}>": "allow",
+        f"<link rel=canonical href={to}": "allow",  # no end
+        f"<link rel=canonical href=' {to}\n'>": "block",
+        f"<link rel=canonical href=http://free.net/ href={to}>": "allow",  # the first of equal names counts
+        f"<meta http-equiv=refresh content='0;{to}'>": "block",
+        f'<meta content="5 , URL = \'{to}\' x" http-equiv=" Refresh ">': "block",
+        f"<meta http-equiv=refresh content='{to}'>": "allow",
+        "<meta http-equiv=refresh content=5>": "allow",
+        f"<meta name=refresh content='0;url={to}'>": "allow",
+        f"<link rel=canonical href='http://x.com/de/1&#xD800;&#0;&#9999999;&nothing;&'>": "block",
+        "<link rel>": "allow",
+        "": "allow",
+    }
+    rows = [(i, f"http://s{i}.net/p", html) for i, html in enumerate(pages)] + [(900, to, ""), (901, "http://x.com/v?a=1&b=2", canon.format(to))]
+    columns = ["page_id bigint", "url varchar", "html varchar"]
+    got = {r.page_id: r.asDict() for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {html: got[i]["verdict"] for i, html in enumerate(pages)} == pages
+    assert got == duck("op6_url_filters", rows, columns)
+
+
+def test_url_filter_reads_hostile_markup_in_one_pass(spark):
+    """A million unclosed tags, comments, quotes and attributes: neither quadratic time nor a deep stack."""
+    n = 200_000
+    rows = [(i, f"http://s{i}.net/p", html + '<link rel=canonical href="http://x.com/de/1">') for i, html in enumerate(["<link " * n, "<!--" * n, "<a b=\"" * n, "<link " + "a='b' " * n, "<script>" * n, "&amp;" * n, "<" * n])]
+    began = time.monotonic()
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[5] == got[6] == "block" and time.monotonic() - began < 60
+
+
 def test_addresses_keep_their_query(spark):
     canon = '<link rel="canonical" href="http://x.com/de/1">'
     rows = [(1, "http://only.net/view?id=1", canon), (2, "http://only.net/view?id=2", ""), (3, "http://www.only.net/view?id=1#x", "")]

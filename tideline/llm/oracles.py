@@ -42,21 +42,50 @@ def url_sql() -> str:
         rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
         return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), {LOWER}) AS {name}h, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS {name}p, regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) AS {name}q"
 
+    sp = r" \t\n\f\r"
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rest = rf"""(?:=[{sp}]*"[^"]*"|=[{sp}]*'[^']*'|[^>])*"""
+    text = "|".join(rf"<{e}(?:[{sp}/]{rest})?>.*?(?:</{e}[{sp}/>]|\z)" for e in url_filter.TEXT_ELEMENTS)
+    markup = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|{text}|<[a-z]{rest}(?:>|\z)"
+    attributes = rf"""(?s)[^{sp}/>=]+(?:[{sp}]*=[{sp}]*(?:"[^"]*"|'[^']*'|[^{sp}>]*))?"""
+    later = rf"""(?is)^[{sp}]*[0-9.]+[{sp}]*[;,{sp}][;,{sp}]*(?:url[{sp}]*=[{sp}]*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
+    clean = lambda x: rf"regexp_replace({x}, '^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]+', '', 'g')"
+
+    def value(name: str) -> str:
+        """First attribute of this name; its entities are decoded part by part."""
+        mine = f"list_filter(regexp_extract_all(regexp_replace(t, '^<[A-Za-z]+', ''), {q(attributes)}), lambda x: regexp_matches(x, {q(rf'(?i)^{name}[{sp}]*(?:=|\z)')}))[1]"
+        written = rf"""(?s)^[^=]*=[{sp}]*(?:"([^"]*)"|'([^']*)'|([^"'].*|["'].*))"""
+        whole = " || ".join(f"regexp_extract({mine}, {q(written)}, {i})" for i in (1, 2, 3))
+        number = "CASE WHEN regexp_matches(p, '^&#[xX]') THEN ('0x' || p[4:-2])::BIGINT ELSE p[3:-2]::BIGINT END"
+        named = " ".join(f"WHEN p = '&{k};' THEN {q(v)}" for k, v in url_filter.ENTITIES.items())
+        one = f"CASE WHEN NOT starts_with(p, '&') OR p = '&' THEN p {named} WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(({number})::INT) ELSE p END"
+        parts = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|" + "|".join(url_filter.ENTITIES) + ");|[^&]+|&"
+        return f"CASE WHEN {mine} IS NOT NULL THEN array_to_string(list_transform(regexp_extract_all({whole}, {q(parts)}), lambda p: {one}), '') END"
+
+    def resolved(source: str, key: str, base: str, name: str) -> str:
+        """Links l of a table, as absolute urls by its column base: table <name>ab with key and target."""
+        return rf"""{name}li AS (SELECT {key}, l, regexp_extract({base}, '(?s)^(.*?)://', 1) AS sc, regexp_extract({base}, '(?s)^.*?://([^/?#]*)', 1) AS ho, regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa, regexp_extract({base}, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS qu,
+ regexp_extract({base}, '(?s)^.*?://[^/?#]*(/[^?#]*/|/)', 1) AS fo FROM {source} WHERE l <> ''),
+{name}fu AS (SELECT {key}, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(l, '//') THEN sc || ':' || l WHEN starts_with(l, '#') THEN sc || '://' || ho || qu
+ WHEN starts_with(l, '?') THEN sc || '://' || ho || pa || l WHEN starts_with(l, '/') THEN sc || '://' || ho || l ELSE sc || '://' || ho || coalesce(nullif(fo, ''), '/') || l END AS fu FROM {name}li),
+{name}fp AS (SELECT {key}, fu, regexp_extract(fu, '(?s)^(.*?://[^/?#]*)', 1) AS f1, regexp_extract(fu, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS f2, regexp_extract(fu, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS f3 FROM {name}fu WHERE fu IS NOT NULL),
+{name}ab AS (SELECT {key}, CASE WHEN NOT contains(f2, '/.') THEN fu ELSE f1 || array_to_string(list_reduce(list_prepend([''], list_transform(string_split(CASE WHEN regexp_matches(f2, '/\.\.?$') THEN f2 || '/' ELSE f2 END, '/')[2:], lambda x: [x])),
+ lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' AND len(a) > 1 THEN a[:len(a) - 1] WHEN x[1] = '..' THEN a ELSE list_concat(a, x) END), '/') || f3 END AS target FROM {name}fp)"""
+
     return rf"""
-WITH RECURSIVE src AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
- || list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)) AS links FROM pages),
-li AS (SELECT url, l, regexp_extract(url, '(?s)^(.*?)://', 1) AS sc, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS ho, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS qu,
- regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*/|/)', 1) AS fo FROM (SELECT url, unnest(links) AS l FROM src WHERE strpos(url, '://') > 0) WHERE l <> ''),
-fu AS (SELECT url, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(l, '//') THEN sc || ':' || l WHEN starts_with(l, '#') THEN sc || '://' || ho || qu
- WHEN starts_with(l, '?') THEN sc || '://' || ho || pa || l WHEN starts_with(l, '/') THEN sc || '://' || ho || l ELSE sc || '://' || ho || coalesce(nullif(fo, ''), '/') || l END AS fu FROM li),
-fp AS (SELECT url, fu, regexp_extract(fu, '(?s)^(.*?://[^/?#]*)', 1) AS f1, regexp_extract(fu, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS f2, regexp_extract(fu, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS f3 FROM fu WHERE fu IS NOT NULL),
-ab AS (SELECT url, CASE WHEN NOT contains(f2, '/.') THEN fu ELSE f1 || array_to_string(list_reduce(list_prepend([''], list_transform(string_split(CASE WHEN regexp_matches(f2, '/\.\.?$') THEN f2 || '/' ELSE f2 END, '/')[2:], lambda x: [x])),
- lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' AND len(a) > 1 THEN a[:len(a) - 1] WHEN x[1] = '..' THEN a ELSE list_concat(a, x) END), '/') || f3 END AS target FROM fp),
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, page_id, url, list_filter(regexp_extract_all(html, {q(markup)}), lambda x: regexp_matches(x, {q(f'(?i)^<(?:link|meta|base)[{sp}/]')}) AND ends_with(x, '>')) AS tags FROM pages),
+tg AS (SELECT rid, url, k, lower(t[2:2]) AS kind, {value('rel')} AS rel, {value('href')} AS href, {value('http-equiv')} AS equiv, {value('content')} AS content FROM (SELECT rid, url, unnest(tags) AS t, generate_subscripts(tags, 1) AS k FROM src WHERE strpos(url, '://') > 0)),
+dl AS (SELECT rid, url, k, {clean("CASE WHEN kind = 'l' AND list_contains(regexp_split_to_array(lower(rel), " + q(f"[{sp}]+") + "), 'canonical') THEN href WHEN kind = 'm' AND lower(trim(equiv)) = 'refresh' THEN " + " || ".join(f"regexp_extract(content, {q(later)}, {i})" for i in (1, 2, 3)) + " END")} AS l FROM tg),
+bs AS (SELECT rid, first({clean('href')} ORDER BY k) AS bl FROM tg WHERE kind = 'b' AND href IS NOT NULL GROUP BY rid),
+b0 AS (SELECT rid, url AS b_url, bl AS l FROM bs JOIN src USING (rid)),
+{resolved('b0', 'rid', 'b_url', 'b')},
+se AS (SELECT DISTINCT url AS page, coalesce(bab.target, url) AS url, l FROM dl LEFT JOIN bab USING (rid) WHERE l <> ''),
+{resolved('se', 'page', 'url', '')},
 pa AS (SELECT page_id, url, {parts("url", "u")} FROM src),
 ow AS (SELECT page_id, url, coalesce(uh, '') AS host, coalesce(up, '') AS path, CASE WHEN uh <> '' THEN uh || uq END AS node,
  CASE WHEN uh <> '' THEN regexp_replace(uh, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(up, '/+$', ''), '\.html?$', '') || CASE WHEN length(uq) > length(up) + 1 THEN substr(uq, length(up) + 1) ELSE '' END END AS c FROM pa),
 ju AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS said FROM ow),
-ta AS (SELECT url, {parts("target", "t")} FROM ab WHERE target IS NOT NULL),
+ta AS (SELECT page AS url, {parts("target", "t")} FROM ab WHERE target IS NOT NULL),
 ed AS (SELECT node AS u, c AS v FROM ow WHERE node IS NOT NULL UNION SELECT node, th || tq FROM ow JOIN ta ON ow.url = ta.url WHERE node IS NOT NULL AND th <> ''),
 bo AS (SELECT u, v FROM ed WHERE v IS NOT NULL AND u <> v UNION SELECT v, u FROM ed WHERE v IS NOT NULL AND u <> v),
 re AS (SELECT u, u AS v FROM bo UNION SELECT re.u, bo.v FROM re JOIN bo ON re.v = bo.u),

@@ -1,7 +1,8 @@
 """URL filters with redirect equivalence.
 
 Edges join a page's address to what it redirects to (meta refresh), to its declared canonical link, and to its own
-canonical form; distributed connected components over them make aliases. A page with a rule of its own has that
+canonical form. Markup is read as a browser reads it: tags in comments, scripts and quoted attributes don't count, an attribute is known by its
+whole name, entities are decoded and links are resolved against the page's base. Distributed connected components over them make aliases. A page with a rule of its own has that
 rule's verdict. Addresses that pages only name are judged by the rules as well. Any other page is blocked if an alias is blocked by a rule and no alias is explicitly allowed: an
 explicit allow takes precedence; without either it is allowed.
 """
@@ -15,8 +16,15 @@ from tideline.llm.common import ascii_lower, connected_components, cut
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-CANONICAL = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*?>"
-REFRESH = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?>"
+#: White space of markup; elements whose content is text; the named entities that stand for characters of addresses.
+SPACE = r" \t\n\f\r"
+TEXT_ELEMENTS = ["iframe", "noembed", "noframes", "script", "style", "textarea", "title", "xmp"]
+ENTITIES = {"amp": "&", "apos": "'", "colon": ":", "equals": "=", "gt": ">", "lt": "<", "num": "#", "period": ".", "quest": "?", "quot": '"', "sol": "/"}
+#: To the end of a tag: a quote counts after = only. All repetitions are possessive, so that hostile markup costs one pass and no stack.
+REST = rf"""(?:=[{SPACE}]*+"[^"]*+"|=[{SPACE}]*+'[^']*+'|[^>])*+"""
+#: Comments and text elements as a whole, and start tags; what is not closed goes to the end.
+MARKUP = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<({'|'.join(TEXT_ELEMENTS)})(?:[{SPACE}/]{REST})?>.*?(?:</\1[{SPACE}/>]|\z)|<[a-z]{REST}(?:>|\z)"
+ATTRIBUTE = rf"""(?s)[^{SPACE}/>=]++(?:[{SPACE}]*+=[{SPACE}]*+(?:"[^"]*+"|'[^']*+'|[^{SPACE}>]*+))?"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -44,9 +52,53 @@ def canonical_address(url: Column) -> Column:
     return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", ""), query))
 
 
-def targets(tag: str, name: str) -> Column:
-    """What all tags of this kind name as their target; empty strings where one names none."""
-    return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1))
+def tags(html: Column) -> Column:
+    """The link, meta and base tags of a page, without those in comments, text elements and attributes."""
+    any_ = html.rlike(r"(?i)<(?:link|meta)")
+    found = F.filter(F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0)), lambda x: x.rlike(rf"(?i)^<(?:link|meta|base)[{SPACE}/]") & x.endswith(">"))
+    return F.when(any_, found).otherwise(F.array().cast("array<string>"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, entities decoded; null where it has none."""
+    held = F.regexp_extract_all(F.regexp_replace(tag, r"^<[A-Za-z]+", ""), F.lit(ATTRIBUTE), F.lit(0))
+    mine = F.get(F.filter(held, lambda x: x.rlike(rf"(?i)^{name}[{SPACE}]*(?:=|\z)")), F.lit(0))
+    value = [F.regexp_extract(mine, rf"""(?s)^[^=]*=[{SPACE}]*(?:"([^"]*)"|'([^']*)'|([^"'].*|["'].*))""", i) for i in (1, 2, 3)]
+    return decoded(F.concat(*value))
+
+
+def decoded(text: Column) -> Column:
+    """Numbered entities and those of ENTITIES, decoded once."""
+    named = F.create_map(*[F.lit(x) for k, v in ENTITIES.items() for x in (f"&{k};", v)])
+
+    def one(x: Column) -> Column:
+        number = F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+)", 1)).cast("long")
+        a_character = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(~x.startswith("&") | (x == "&"), x).when(~x.startswith("&#"), F.element_at(named, x)).when(a_character, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(x)
+
+    parts = F.regexp_extract_all(text, F.lit(rf"&(?:#[0-9]{{1,7}}|#[xX][0-9A-Fa-f]{{1,6}}|{'|'.join(ENTITIES)});|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def link_of(written: Column) -> Column:
+    """A link without spaces and controls around it, and without line breaks and tabs in it."""
+    return F.regexp_replace(written, r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]+", "")
+
+
+def target(tag: Column) -> Column:
+    """What a canonical link or a refresh names; null for other tags and where none is named."""
+    rel = F.split(F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))), rf"[{SPACE}]+")
+    canonical = F.when(F.array_contains(rel, "canonical"), link_of(attribute(tag, "href")))
+    content = attribute(tag, "content")
+    later = [F.regexp_extract(content, rf"""(?is)^[{SPACE}]*[0-9.]+[{SPACE}]*[;,{SPACE}][;,{SPACE}]*(?:url[{SPACE}]*=[{SPACE}]*)?(?:"([^"]*)|'([^']*)|([^"'].*))""", i) for i in (1, 2, 3)]
+    refresh = F.when(F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh", link_of(F.concat(*later)))
+    return F.when(tag.rlike("(?i)^<link"), canonical).when(tag.rlike("(?i)^<meta"), refresh)
+
+
+def base_of(page_tags: Column, url: Column) -> Column:
+    """The url against which a page's links are resolved: its first base with a target, else its own."""
+    written = F.get(F.filter(F.transform(F.filter(page_tags, lambda x: x.rlike("(?i)^<base")), lambda x: attribute(x, "href")), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(resolve(link_of(written), url), url)
 
 
 def without_dots(path: Column) -> Column:
@@ -90,9 +142,10 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def edges(pages: DataFrame) -> DataFrame:
     """pages -> (u, v) between addresses."""
-    declared = F.concat(targets(CANONICAL, "href"), targets(REFRESH, "url"))
-    d = pages.select(F.col("url"), address(F.col("url")).alias("u"), canonical_address(F.col("url")).alias("c"), declared.alias("to")).where("u is not null")
-    v = F.concat(F.array("c"), F.transform(F.coalesce("to", F.array().cast("array<string>")), lambda x: address(resolve(x, F.col("url")))))
+    d = pages.select("url", address(F.col("url")).alias("u"), canonical_address(F.col("url")).alias("c"), tags(F.col("html")).alias("tags")).where("u is not null")
+    d = d.select("url", "u", "c", "tags", F.filter(F.transform("tags", target), lambda x: F.coalesce(x, F.lit("")) != "").alias("to"))
+    d = d.select("u", "c", "to", F.when(F.size("to") > 0, base_of(F.col("tags"), F.col("url"))).alias("base"))
+    v = F.concat(F.array("c"), F.transform("to", lambda x: address(resolve(x, F.col("base")))))
     return d.select("u", F.explode(v).alias("v")).where("v is not null and u <> v")
 
 
@@ -100,7 +153,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     """pages -> page_id, host, path, rule, verdict, propagated boolean; one row for each row given.
 
     A url that is null or has no :// has empty host and path, no rule and is allowed. A null or empty html declares nothing; very long
-    ones are read whole, and every tag in them counts. Repeated rows get equal verdicts. Of rules of equal length block comes first. Extra columns are ignored,
+    ones are read whole, and every tag in them counts; a tag, comment or script that is not closed goes to the end and declares nothing. Repeated rows get equal verdicts. Of rules of equal length block comes first. Extra columns are ignored,
     whatever their names; an empty table gives an empty result.
     """
     rules = RULES if rules is None else rules
