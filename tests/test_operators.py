@@ -313,6 +313,30 @@ def test_quantiles_are_exact(spark):
     assert quantiles(d.limit(0), ["k"], "v", {"a": 0.5}).count() == 0
 
 
+def test_quantiles_divide_spans_until_they_are_small(spark):
+    import numpy as np
+
+    from tideline.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(1)
+    data = {
+        "outlier": np.append(rng.normal(1e9, 1, 900), [-1e300, 1e300]),
+        "tail": 10.0 ** rng.uniform(-200, 200, 900),
+        "ties": np.append(np.repeat([3.0, 3.0 + 2**-40], 450), 1e15),
+        "tiny": np.append(rng.integers(0, 9, 300) * 5e-324, 1.0),
+        "one": np.repeat([7.0], 500),
+    }
+    d = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("inf", x) for x in [float("-inf"), 1.0, 2.0, 3.0, float("inf")]], "k string, v double").repartition(5)
+    at = {"a": 0.1, "b": 0.5, "c": 0.75, "d": 0.75}
+    for most in (2, 50):
+        got = {r.k: (r.a, r.b, r.c, r.d) for r in quantiles(d, ["k"], "v", at, most).collect()}
+        assert got.pop("inf")[1:] == (2.0, 3.0, 3.0)
+        want = {r.k: tuple(r[1:]) for r in d.where("k <> 'inf'").groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in at.items()]).collect()}
+        assert set(got) == set(want) == set(data)
+        for k in want:
+            assert np.allclose(got[k], want[k], rtol=1e-15, atol=0), k
+
+
 def test_best_places_and_ties():
     from tideline.operators import neighbours
 

@@ -179,6 +179,14 @@ def consolidated(counts: DataFrame, mapping: DataFrame, keys: list[str], name: s
     return d.groupBy(*keys, "merged").agg(F.sum(n).alias("total"), F.count_distinct(name).alias("names"))
 
 
+def distinct_names(df: DataFrame, name: str, most: int = 1000) -> list[str]:
+    """The distinct names of a column, for a provider that is shown all of them at once; more than it can be shown are refused, none is left out."""
+    rows = df.select(name).where(F.col(name).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct values of {name}")
+    return sorted(r[0] for r in rows)
+
+
 def truth_groups(truth: DataFrame, label: str, groups: list[str], provider: Provider, alike: float = 0.2) -> DataFrame:
     """label, group, reason: the discovered groups that share words with each distinct truth label; a label without any has one row with a null group."""
 

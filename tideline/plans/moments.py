@@ -193,5 +193,5 @@ def merged_activities(spark, sf):
 def truth_label_groups(spark, sf):
     """Truth labels (language and source) as discovered groups (one for each language)."""
     d = read(spark, sf, "documents").where("lang is not null and source is not null")
-    groups = sorted(r["lang"] + " group" for r in d.select("lang").distinct().limit(1000).collect())
+    groups = sorted(x + " group" for x in providers.distinct_names(d, "lang"))
     return providers.truth_groups(d.select(F.concat_ws(" ", "lang", "source").alias("label")), "label", groups, providers.Rules())
