@@ -256,6 +256,20 @@ def test_decontamination_finds_planted_items(spark, sf):
     assert planted <= got
 
 
+def test_decontamination_of_scripts_without_spaces(spark):
+    item, thai = "小明有12个苹果,他给了小红5个,还剩下多少个苹果?", "แม่มีส้ม 12 ผลและให้ลูก 5 ผล"
+    rows = [
+        (1, f"前面的话说了很多{item}后面的话也不少"), (2, item.replace("12", "30").replace("5", "7")), (3, "小红今天去学校,她在路上看到了很多花和树,非常高兴。"), (4, "x" + thai + "y"),
+        (5, "今天天气很好,我有12个朋友,他们都住在5号楼里。"), (6, "Ask: " + item.replace("小明", "Alice")), (7, "日本"), (8, "これは日本です"), (9, None),
+    ]
+    items = spark.createDataFrame([(1, item), (2, thai), (3, "日本語"), (4, "日本")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (6, 1), (7, 4), (8, 4)}
+    texts = [item, thai, "二〇二四年Alice和Bob走了3.5公里", "ガッツポーズ abc日本ABC x5日", "漢\ufe00字 한국어 문장", "𠀀𠀁 ok", "", "日 本 Alice"]
+    d = docs(spark, list(enumerate(texts))).select(F.size(decontam.raw_tokens(F.col("text"))).alias("raw"), F.size(decontam.canonical_tokens(F.col("text"))).alias("canonical"))
+    assert all(r.raw == r.canonical for r in d.collect())
+
+
 # 6
 
 def test_url_filter(spark):

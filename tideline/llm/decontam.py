@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token sequences in which numbers, units after numbers and names (capitalised words inside a sentence) are
+Texts become token sequences (words; characters in scripts written without spaces) in which numbers, units after numbers and names (capitalised words inside a sentence) are
 typed placeholders, so that a question with other numbers or names has the same templates. Windows of five tokens are
 hash-joined between documents and benchmark items; a pair is reported where the document holds 80 % or more of the
 item's distinct windows and its slots are consistent: what one value of the item became in the document must be one
@@ -26,8 +26,11 @@ MOST_BROADCAST = 500_000
 NUM, NAME, UNIT = "¤n", "¤a", "¤u"
 #: Units of measure, as written after a number.
 UNITS = ["cm", "cents", "day", "days", "dollars", "euros", "feet", "g", "grams", "h", "hour", "hours", "inches", "kg", "km", "kmh", "l", "lb", "litres", "liters", "m", "meters", "metres", "mg", "miles", "min", "minute", "minutes", "ml", "mm", "mph", "ms", "percent", "s", "second", "seconds", "week", "weeks", "year", "years"]
-#: A token is a number or a run of letters; canonical tokens stand at the same numbers.
-TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+"
+#: Code points of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}"
+A_CHARACTER = rf"[{UNSPACED}&&[\p{{L}}\p{{M}}]]"
+#: A token is a number, a letter of an unspaced script or a run of other letters; canonical tokens stand at the same numbers.
+TOKEN = rf"\p{{N}}+(?:[.,]\p{{N}}+)*|{A_CHARACTER}|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+"
 A_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 A_NAME = r"(?<=[\p{L}\p{M}\p{N},)] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 A_UNIT = rf"{NUM} ( ?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
@@ -39,8 +42,8 @@ def raw_tokens(text: Column) -> Column:
 
 
 def canonical_tokens(text: Column) -> Column:
-    """Tokens as lower-case words and placeholders, in three passes over the text."""
-    t = F.translate(F.coalesce(text, F.lit("")), "¤", " ")
+    """Tokens as lower-case words and placeholders, in four passes over the text."""
+    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "¤", " "), rf"({A_CHARACTER}) ?", " $1 ")
     t = F.regexp_replace(t, A_NAME, f" {NAME} ")
     t = F.regexp_replace(t, A_NUMBER, f" {NUM} ")
     t = F.regexp_replace(t, A_UNIT, f"{NUM} {UNIT} ")
