@@ -44,6 +44,22 @@ def test_components_match_union_find(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_carry_no_estimates_and_stop_at_stars(spark):
+    sc = spark.sparkContext
+
+    def run(edges):
+        sc.setJobGroup(group := f"components {len(edges)}", "")
+        out = common.connected_components(spark.createDataFrame(edges, "u long, v long"))
+        labels = {(r.node, r.label) for r in out.collect()}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return labels, len(sc.statusTracker().getJobIdsForGroup(group)), int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+    path, _, estimated = run([(i, i + 1) for i in range(100)])
+    assert path == {(i, 0) for i in range(101)} and estimated < 1e6
+    stars, jobs, _ = run([(10 * i + j, 10 * i) for i in range(20) for j in range(1, 10)] + [(0, 5)])
+    assert stars == {(10 * i + j, 10 * i) for i in range(20) for j in range(10)} and jobs <= 10
+
+
 # 1
 
 def test_fingerprints(spark):
@@ -141,6 +157,22 @@ def test_mixing(spark):
     assert all(r.n_tokens == len(r.text.split()) for r in rows)
 
 
+def test_mixing_fits_on_texts_taken_one_by_one():
+    import tracemalloc
+
+    def samples():
+        for k in range(400):
+            yield " ".join([f"word{k % 40}", "bad" if k % 2 else "good"] * 2000), f"q{k % 2}_t0"
+
+    mixing.fit(samples())
+    tracemalloc.start()
+    model = mixing.fit(samples())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6 < sum(len(t) for t, _ in samples())
+    assert (model.posteriors(["good", "bad"]).argmax(axis=1) == [0, 1]).all() and mixing.fit(iter([])) is None
+
+
 def test_mixing_classifier_on_rows_it_has_not_seen(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

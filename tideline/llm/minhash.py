@@ -170,9 +170,9 @@ def near_links(nodes: DataFrame, texts: DataFrame, pairs: DataFrame, size: int,
     about = nodes.select("node", "n", "sketch")
     p = pairs.join(about.toDF("u", "nu", "a"), "u").join(about.toDF("v", "nv", "b"), "v")
     p = p.where(F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")).select("u", "v", "a", "b")
-    p = cut(p.mapInArrow(_alike, "u long, v long"))
+    p = stored(p.mapInArrow(_alike, "u long, v long"))
     full = p.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return cut(full.mapInArrow(_confirm(size, percent), "u long, v long"))
+    return full.mapInArrow(_confirm(size, percent), "u long, v long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def rare_shingles(open_: DataFrame, nodes: DataFrame, texts: DataFrame, size: in
     mine = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "h"))
     known = known.withColumn("at", place).where(F.lit(100) * (F.col("n") - F.col("at") + 1) >= F.lit(percent) * F.col("n"))
-    return cut(known.select("h", "node", "n", "at"))
+    return stored(known.select("h", "node", "n", "at"))
 
 
 def rare_pairs(known: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
@@ -229,16 +229,18 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) ->
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sketch", 1 + w * j, w)) for j in range(BANDS)])
     members = nodes.select("node", F.explode(keys).alias("key"))
     first = members.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("c")).where("c > 1")
-    starred = cut(members.join(first, "key").select("key", "node", "u", "c"))
+    # what joins make is stored: a checkpoint would carry their estimated sizes on into all that follows
+    starred = stored(members.join(first, "key").select("key", "node", "u", "c"))
     texts = shared_texts(docs, starred.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"))
     tested = starred.where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    # labels are stored: a checkpoint would carry the estimated sizes of all rounds' joins on into the next rounds
     labels = stored(connected_components(near_links(nodes, texts, tested, size, percent)))
     named = starred.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     settled = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     known = rare_shingles(named.join(settled, "key").select("node").distinct(), nodes, texts, size, percent)
     for star in (True, False):
-        pairs = cut(rare_pairs(known, labels, percent, star).join(tested, ["u", "v"], "left_anti"))
+        pairs = stored(rare_pairs(known, labels, percent, star).join(tested, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():
+            continue
         tested = tested.unionByName(pairs)
         found = near_links(nodes, texts, pairs, size, percent)
         labels = stored(connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))))

@@ -12,9 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,17 +59,31 @@ class Classifier:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(samples: list[tuple[str, str]]) -> Classifier:
-    """(text, domain) pairs -> classifier. Features are the tokens whose presence differs most, by chi-square, between domains."""
-    domains = sorted({d for _, d in samples})
-    y = np.array([domains.index(d) for _, d in samples], np.int64)
-    held = [set(TOKENS.findall((t or "").lower())) for t, _ in samples]
-    seen = Counter(chain.from_iterable(held))
-    common = [t for t, n in sorted(seen.items()) if n >= 5]
-    row = {t: i for i, t in enumerate(common)}
+def fit(samples: Iterable[tuple[str, str]]) -> Classifier | None:
+    """(text, domain) pairs -> classifier, None without any. Features are the tokens whose presence differs most, by chi-square, between domains.
+
+    Texts are taken one by one, and of each only the numbers of its tokens are held.
+    """
+    number: dict[str, int] = {}
+    held, of = [], []
+    for t, d in samples:
+        ts = set(TOKENS.findall((t or "").lower()))
+        held.append(np.fromiter((number.setdefault(x, len(number)) for x in ts), np.int32, len(ts)))
+        of.append(d)
+    if not of:
+        return None
+    domains = sorted(set(of))
+    y = np.array([domains.index(d) for d in of], np.int64)
+    seen = np.zeros(len(number), np.int64)
+    for ts in held:
+        seen[ts] += 1
+    common = sorted(t for t, i in number.items() if seen[i] >= 5)
+    row = np.full(len(number), -1, np.int32)
+    row[[number[t] for t in common]] = np.arange(len(common))
+    held = [at[at >= 0] for at in (row[ts] for ts in held)]
     counts = np.zeros((len(common), len(domains)))
-    for ts, k in zip(held, y):
-        counts[[row[t] for t in ts if t in row], k] += 1
+    for at, k in zip(held, y):
+        counts[at, k] += 1
     sizes = np.bincount(y, minlength=len(domains)).astype(float)
     expected = counts.sum(axis=1, keepdims=True) * sizes / max(sizes.sum(), 1)
     chi = ((counts - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=1)
@@ -79,12 +91,14 @@ def fit(samples: list[tuple[str, str]]) -> Classifier:
     best = [i for i in best if chi[i] > 25]
     features = [common[i] for i in best]
     model = Classifier(domains, features, np.zeros((len(features), len(domains))), np.log(sizes / sizes.sum()))
-    x = np.zeros((len(samples), len(features)), np.float32)
-    for k, (t, _) in enumerate(samples):
-        x[k, model.present(t or "")] = 1
+    x = np.zeros((len(held), len(features)))  # as wide as the weights: a product of two widths would copy it in every epoch
+    column = np.full(len(common), -1, np.int32)
+    column[best] = np.arange(len(best))
+    for k, at in enumerate(column[at] for at in held):
+        x[k, at[at >= 0]] = 1
     goal = np.eye(len(domains), dtype=np.float32)[y]
     # each feature is scaled by its own curvature, so that rare marks are learned as fast as common ones
-    pace = 1 / (x.mean(axis=0)[:, None] * 0.25 * 8 + 1e-3)
+    pace = 1 / (x.mean(axis=0, dtype=np.float32)[:, None] * 0.25 * 8 + 1e-3)
     w, b, vw, vb = model.weights, model.bias, 0.0, 0.0
     for _ in range(EPOCHS if features else 0):
         z = x @ w + b
@@ -113,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     share = min(1.0, sample / n)
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1e6)).limit(2 * sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "domain").limit(2 * sample)
-    samples = [(r["text"], r["domain"]) for r in rows.toLocalIterator()]
-    return fit(samples) if samples else None
+    return fit((r["text"], r["domain"]) for r in rows.toLocalIterator())
 
 
 def rate_of(p: str | Column, multipliers: list[float]) -> Column:
