@@ -614,6 +614,15 @@ def test_url_filter_reads_hostile_markup_in_one_pass(spark):
     assert len(got) == len(rows) and got[5] == got[6] == "block" and time.monotonic() - began < 60
 
 
+def test_url_filter_writes_a_value_once_in_its_plan(spark):
+    """The driver keeps and logs the plan's text again and again; copies in copies had made it 700,000 characters long."""
+    pages = spark.createDataFrame([(1, "http://a.net/p", "")], "page_id long, url string, html string")
+    plans = [url_filter.edges(pages), pages.select(url_filter.resolve(F.col("html"), F.col("url"))), pages.select(url_filter.attribute(F.col("html"), "href"))]
+    assert [len(p._jdf.queryExecution().optimizedPlan().toString()) < n for p, n in zip(plans, (40_000, 7_000, 6_000))] == [True, True, True]
+    texts = spark.createDataFrame([("x",), (None,)], "t string").select(common.let(F.col("t"), lambda t: F.coalesce(F.concat(t, t), F.lit("-"))).alias("t"))
+    assert {r.t for r in texts.collect()} == {"xx", "-"}
+
+
 def test_addresses_keep_their_query(spark):
     canon = '<link rel="canonical" href="http://x.com/de/1">'
     rows = [(1, "http://only.net/view?id=1", canon), (2, "http://only.net/view?id=2", ""), (3, "http://www.only.net/view?id=1#x", "")]
