@@ -106,3 +106,70 @@ def test_state_is_pruned_and_empty_at_the_end():
         seen += [f.window_end.iloc[0] for f in p.handleExpiredTimer(("a",), now, now)]
         h.timers.discard(at)
     assert most <= 30 and not h.rows and seen == [e * S for e in range(5, 220, 5)]
+
+
+class Counted:
+    """A handle that keeps rows and timers in memory and counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = Kept(), set(), 0
+
+    def getListState(self, *a):  # noqa: N802
+        return self.rows
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, t):  # noqa: N802
+        self.calls += 1
+        self.timers.add(t)
+
+
+class At:
+    def __init__(self, watermark, expiry=0):
+        self.watermark, self.expiry = watermark, expiry
+
+    getCurrentWatermarkInMs = lambda self: self.watermark
+    getExpiryTimeInMs = lambda self: self.expiry
+
+
+def fire(p, h, watermark):
+    """All timers that the watermark has passed, as Spark calls them: those of the batch's start, in order, each deleted after its call."""
+    out = []
+    for at in sorted(x for x in h.timers if x <= watermark):
+        out += [r for f in p.handleExpiredTimer(("a",), At(watermark), At(watermark, at)) for r in f.to_dict("records")]
+        h.timers.discard(at)
+    return out
+
+
+def test_a_key_takes_few_calls_however_many_windows_close():
+    import pandas as pd
+
+    h = Counted()
+    p = closing.ClosingWindows("k", 20 * S, 5 * S, closing.spread)
+    p.init(h)
+    t = np.arange(0, 5000, 5)
+    list(p.handleInputRows(("a",), iter([pd.DataFrame({"t": t * S, "v": t.astype(float)})]), At(0)))
+    got = fire(p, h, 4000 * 1000)
+    assert [r["window_end"] // S for r in got] == list(range(5, 4001, 5)) and {r["n"] for r in got[3:]} == {4.0}
+    got = fire(p, h, 6000 * 1000)
+    assert [r["window_end"] // S for r in got] == list(range(4005, 5016, 5)) and not h.rows and not h.timers
+    assert h.calls <= 20
+
+
+def test_windows_that_are_out_stay_out():
+    import pandas as pd
+
+    h = Counted()
+    p = closing.ClosingWindows("k", 20 * S, 5 * S, closing.spread)
+    p.init(h)
+    feed = lambda t, v, mark: list(p.handleInputRows(("a",), iter([pd.DataFrame({"t": [t * S], "v": [v]})]), At(mark * 1000)))
+    feed(1, 1.0, 0)
+    feed(30, 2.0, 0)
+    assert [(r["window_end"] // S, r["n"]) for r in fire(p, h, 12_000)] == [(5, 1.0), (10, 1.0)]
+    # late: the windows to 5 and 10 are out, that to 15 goes out now, in the batch of the row's arrival
+    feed(4, 9.0, 15)
+    assert [(r["window_end"] // S, r["n"], r["high"]) for r in fire(p, h, 15_000)] == [(15, 1.0, 1.0)]
+    assert [(r["window_end"] // S, r["n"], r["high"]) for r in fire(p, h, 100_000)] == [(20, 2.0, 9.0), (35, 1.0, 2.0), (40, 1.0, 2.0), (45, 1.0, 2.0), (50, 1.0, 2.0)]
+    assert not h.rows and not h.timers

@@ -31,3 +31,12 @@ def test_online_density_scores_full_blocks(spark, sf, tmp_path):
     got = streams.drain(streams.online_density(source(spark, sf, tmp_path, 2), "user_id"), "density")
     sizes = {r.user_id: r["count"] for r in events(spark, sf).groupBy("user_id").count().collect()}
     assert got.count() == sum(max(0, n // 10 - 1) for n in sizes.values())
+
+
+def test_draining_waits_for_a_long_stream(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    wait = StreamingQuery.awaitTermination
+    # a stream that outlasts any time limit
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    assert streams.drain(source(spark, sf, tmp_path).select("event_id"), "long").count() == events(spark, sf).count()

@@ -75,11 +75,12 @@ def online_density(stream: DataFrame, key: str, cfg: Density = Density()) -> Dat
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, block long, score double", "rows string, block long, model string", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append", seconds: int = 300) -> DataFrame:
+def drain(df: DataFrame, name: str, mode: str = "append", seconds: int | None = None) -> DataFrame:
     """Run a stream over what is there into Parquet in the shared folder, and read it.
 
     Executors write it batch by batch, so nothing is gathered on the driver. In complete mode the last batch's table stays. Each call
-    has a place of its own, so that no earlier run's state is taken up.
+    has a place of its own, so that no earlier run's state is taken up. It ends when all is read, however long that takes; only where
+    `seconds` are given is a longer run an error.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/drained/{name}-{uuid.uuid4().hex}"
@@ -90,7 +91,9 @@ def drain(df: DataFrame, name: str, mode: str = "append", seconds: int = 300) ->
 
     q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(seconds):
+        if seconds is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(seconds):
             raise TimeoutError(name)
     finally:
         q.stop()
