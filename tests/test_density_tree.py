@@ -1,6 +1,7 @@
 """Density clusters across partitions against plain Python."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute_density import clusters, prepare, yeo_johnson, yeo_johnson_lambda
 
@@ -131,3 +132,63 @@ def test_search_takes_the_best_quality(spark):
     assert len(got) == 45 and len({(r.dims, r.min_cluster_size, r.min_samples) for r in got}) == 1
     name = {r.id: r.label for r in got}
     assert [name[i] for i in (2, 20, 40)] == [min(i for i in name if name[i] == name[j]) for j in (2, 20, 40)] and len({name[2], name[20], name[40]}) == 3
+
+
+def test_neighbours_from_products_are_exact():
+    """Far from the origin, with copies and equal distances, and blocks shorter than a list."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(0, 1, (130, 4)), 1) + 1000
+    x[40:60] = x[0]
+    blocks = [[x.tobytes() for x in (np.arange(i, j), x[i:j])] for i, j in ((0, 50), (50, 53), (53, 130))]
+    rows = [(one, blocks[k : k + 2]) for one in blocks for k in (0, 2)]
+    got = density_tree._nearest(7)(iter([pd.DataFrame(rows[:3], columns=["one", "many"]), pd.DataFrame(rows[3:], columns=["one", "many"])]))
+    lists = {u: (d, v) for f in got for u, d, v in zip(f["u"], f["d"], f["v"])}
+    d = density_tree.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    for i in range(130):
+        want = np.lexsort((np.arange(130), d[i]))[:7]
+        assert lists[i][1].tolist() == want.tolist() and lists[i][0].tolist() == d[i, want].tolist()
+
+
+def test_least_outgoing_edges_are_exact():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 1, (60, 3)), 1) + 100
+    core, comp = np.round(rng.uniform(0, 1, 60), 1), rng.integers(0, 4, 60)
+    for known in (np.inf, 0.7):
+        w = np.full(20, known)
+        node = np.arange(60)
+        one, two = [z.tobytes() for z in (node[:20], x[:20], core[:20], comp[:20], w)], [z.tobytes() for z in (node, x, core, comp)]
+        got = next(density_tree._least_outgoing(iter([pd.DataFrame({"one": [one], "many": [[two]]})])))
+        d = density_tree.distances(x[:20], x)
+        want = []
+        for c in sorted(set(comp[:20])):
+            edges = [(max(d[i, j], core[i], core[j]), min(i, j), max(i, j)) for i in range(20) for j in range(60) if comp[i] == c != comp[j]]
+            want += [e for e in [min(edges)] if e[0] <= known]
+        assert sorted(want) == sorted((w, u, v) for u, v, w in got.itertuples(index=False))
+
+
+def test_parameters_of_the_same_points_share_neighbours_and_trees(spark, monkeypatch):
+    x = shaped(9, 120)
+    met, rows = density_tree._met, []
+    monkeypatch.setattr(density_tree, "_met", lambda one, many: rows.append(one.count()) or met(one, many))
+    grid = [(k, m) for k in (3, 5) for m in (4, 6)]
+    d = spark.createDataFrame([(f"{k} {m}", "s", i, v.tolist(), k, m) for k, m in grid for i, v in enumerate(x)], "g string, s string, id long, v array<double>, k int, m int")
+    got = {(r.g, r.id): (r.label, round(r.confidence, 9)) for r in density_tree.density_clusters(d).collect()}
+    assert got == wanted({f"{k} {m}": (x, k, m) for k, m in grid})
+    assert rows[0] == 1
+
+
+def test_components_may_wait(spark):
+    """A component that doesn't know its least edge takes none, and the forest is the same."""
+    edges = [(0, 1, 1.0), (1, 2, 5.0), (2, 3, 2.0), (3, 4, 4.0), (0, 4, 9.0)]
+    listed = spark.createDataFrame([(u, v, w, u, v) for u, v, w in edges], "u long, v long, w double, a long, b long")
+    asked = []
+
+    def further(labels, best):
+        names = sorted(r.comp for r in best.collect())
+        asked.append(names)
+        return None, spark.createDataFrame([(c,) for c in names[: len(names) // 2]], "comp long")
+
+    forest, labels = graphs.spanning_forest(spark.range(5).toDF("node"), listed, further)
+    assert {tuple(r) for r in forest.select("u", "v", "w").collect()} == set(edges[:4]) and labels.select("root").distinct().count() == 1
+    assert len(asked) > 2

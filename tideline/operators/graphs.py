@@ -46,13 +46,14 @@ def hooked(least: DataFrame) -> DataFrame:
     return roots(least.join(back, least["to"] == back["_n"], "left").select("node", F.when(mutual, F.col("node")).otherwise(F.col("to")).alias("up")))
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame, further: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None) -> tuple[DataFrame, DataFrame]:
+def spanning_forest(nodes: DataFrame, edges: DataFrame, further: Callable[[DataFrame, DataFrame], tuple[DataFrame | None, DataFrame | None]] | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes (node); edges (u, v, w, a, b: ends u < v, and an order by (w, a, b) that is the same for no two edges of different ends)
     -> (the minimum spanning forest's edges, (node, root)).
 
     Each round every component takes its least outgoing edge and contracts along it, so at most log2(nodes) rounds are made. The edges may be
     a choice of a larger graph: further(labels, best) gets (node, comp) and each component's (comp, w, a, b, u, v) and returns
-    edges in the columns u, v, w, a, b that may be less than those, or None.
+    edges in the columns u, v, w, a, b that may be less than those, or None, and the components (comp) that take no edge in this round, or None. A
+    component that is not among them must have its least edge of all then, and as long as any graph has edges to take, not all of its components may wait.
     """
     labels = cut(nodes.select("node", F.col("node").alias("comp")))
     edges, forest, order = cut(edges.select("u", "v", "w", "a", "b")), None, F.struct("w", "a", "b", "u", "v")
@@ -64,9 +65,11 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, further: Callable[[DataF
         best = ends(out)
         if further is not None:
             best = cut(best)
-            more = further(labels, best.select("comp", "x.*"))
+            more, waiting = further(labels, best.select("comp", "x.*"))
             if more is not None:
                 best = ends(out.unionByName(outgoing(more)))
+            if waiting is not None:
+                best = best.join(waiting, "comp", "left_anti")
         best = cut(best.select("comp", "x.*"))
         if best.head() is None:
             return (forest if forest is not None else edges.limit(0)), labels.toDF("node", "root")
